@@ -33,30 +33,38 @@ def _utc(instant: Column) -> Column:
     )
 
 
-# A zone at the end of a date text: offset, Z, or a short zone name after the time.
-_ZONED = r"(?:[+-]\d{2}:?\d{2}|Z|[\d:]\s+[A-Za-z]{1,5})$"
-_RFC_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+# Optional parts cover dates without time, without seconds, and numeric or named zones.
+_RFC_FORMAT = "d MMM yyyy[ HH:mm[:ss]][ Z][ z]"
+_IS_ISO = r"^\d{4}-\d{2}-\d{2}"
+
+
+def _iso_instant(text: Column) -> Column:
+    """ISO text as an instant; UTC is written in where the text names no zone, so the session zone never counts."""
+    timed = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    zoned = F.regexp_replace(timed, r"^(\d{4}-\d{2}-\d{2}[Tt ][\d:.]+)$", "$1Z")
+    return zoned.try_cast("timestamp")
+
+
+def _rfc_instant(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
+    zoned = F.regexp_replace(bare, r"^(\d{1,2} [A-Za-z]{3} \d{4}(?: \d{2}:\d{2}(?::\d{2})?)?)$", "$1 +0000")
+    return F.try_to_timestamp(zoned, F.lit(_RFC_FORMAT))
 
 
 def feed_date(text: Column) -> Column:
     """Feed date (RFC 822 or ISO 8601) -> naive UTC, NULL when unreadable [X11]."""
-    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", "")
-    dated = F.when(bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}$"), F.concat(bare, F.lit(" 00:00:00"))).otherwise(bare)
-    zoned = F.when(dated.rlike(_ZONED), dated).otherwise(F.concat(dated, F.lit(" +0000")))
-    rfc = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f)) for f in _RFC_FORMATS])
-    return F.coalesce(iso_date(dated), _utc(rfc))
+    clean = F.trim(text)
+    return _utc(F.when(clean.rlike(_IS_ISO), _iso_instant(clean)).otherwise(_rfc_instant(clean)))
 
 
 def iso_date(text: Column) -> Column:
     """ISO date or date-time -> naive UTC; a text without a zone is taken as it is, bad text is NULL [X8]."""
-    is_iso = text.rlike(r"^\d{4}-\d{2}-\d{2}")
-    return F.when(is_iso & text.rlike(r"(?:[+-]\d{2}:?\d{2}|[Zz])$") & text.contains(":"),
-                  _utc(text.try_cast("timestamp"))).when(is_iso, text.try_cast("timestamp_ntz"))
+    return _utc(F.when(text.rlike(_IS_ISO), _iso_instant(text)))
 
 
 def iso_wall_time(text: Column) -> Column:
     """ISO date argument with its zone dropped [X12]."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(_IS_ISO), text.try_cast("timestamp_ntz"))
 
 
 def long_date(ts: Column) -> Column:

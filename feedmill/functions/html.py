@@ -11,7 +11,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from feedmill import fixed_values as fv
 from feedmill.functions.dates import iso_date
@@ -26,43 +26,59 @@ _KNOWN = "|".join(name[1:-1] for name, _ in _ENTITIES)
 _OTHER_ENTITY = rf"&(?!(?:{_KNOWN});)[a-zA-Z#]"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"<[a-zA-Z/!?][^>]*>"
-_ODD_QUOTES = r"""<[a-zA-Z][^>"]*(?:"[^">]*"[^>"]*)*"[^">]*>|<[a-zA-Z][^>"']*'[^'>"]*>"""
-_SPACE = r"[\s\x1c-\x1f]"
-_LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
-_MARK = "\u0001"
+# A tag whose quotes do not pair up before its first ">".
+_ODD_TAG = r"""[a-zA-Z][^>"]*(?:"[^">]*"[^>"]*)*"[^">]*>|[a-zA-Z][^>"']*'[^'>"]*>"""
+_BLANKS = (
+    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_LINE_END = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+)
+_KEEPS_PARAGRAPH = frozenset("button caption object table td th".split())
 
 
 def _elements(names: tuple[str, ...]) -> str:
     return rf"(?is)<({'|'.join(names)})\b[^>]*>.*?</\1\s*>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def _decoded(text: Column) -> Column:
+    plain = text
     for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+def _pieces(text: Column, separator: str) -> Column:
+    """The non-blank pieces between matches of ``separator``, decoded and stripped."""
+    stripped = F.transform(F.split(text, separator), lambda piece: F.btrim(_decoded(piece), F.lit(_BLANKS)))
+    return F.filter(stripped, lambda piece: piece != "")
 
 
-def _nodes(markup: Column, separator: str) -> Column:
-    """Text nodes, each stripped, blanks dropped, joined by ``separator``."""
-    marked = _decoded(F.regexp_replace(markup, _TAG, _MARK))
-    joined = F.regexp_replace(marked, rf"(?U){_SPACE}*{_MARK}[\s\x1c-\x1f{_MARK}]*", _MARK)
-    return F.replace(F.regexp_replace(joined, rf"(?U)^[\s\x1c-\x1f{_MARK}]+|[\s\x1c-\x1f{_MARK}]+$", ""),
-                     F.lit(_MARK), F.lit(separator))
+def _nodes(markup: Column, joined_by: str) -> Column:
+    """Text nodes, each stripped, blanks dropped, joined."""
+    return F.array_join(_pieces(markup, _TAG), joined_by)
 
 
 def _without(html: Column, names: tuple[str, ...], put: str) -> Column:
     return F.regexp_replace(F.regexp_replace(html, _COMMENT, put), _elements(names), put)
 
 
-def _readable(markup: Column, names: tuple[str, ...]) -> Column:
-    """True when removing elements by expression gave what a tree would give."""
-    left_over = rf"(?i)</?(?:{'|'.join(names)})\b|<!--|<!\[CDATA"
-    return ~markup.rlike(left_over) & ~markup.rlike(_ODD_QUOTES) & ~markup.rlike(_OTHER_ENTITY)
+def _left_over(names: tuple[str, ...]) -> str:
+    """Signs that removing elements by expression was not what a tree would have done."""
+    return rf"/?(?:{'|'.join(names)})\b|!--|!\[CDATA"
+
+
+def _puzzling(markup: Column, names: tuple[str, ...]) -> Column:
+    """True when the page needs the tree reader."""
+    return markup.rlike(rf"(?i)<(?:{_left_over(names)}|{_ODD_TAG})|{_OTHER_ENTITY}")
 
 
 def _meta(html: Column, attribute: str, value: str) -> tuple[Column, Column]:
@@ -79,40 +95,56 @@ def _attribute(tag: Column, name: str) -> Column:
 # --- JVM path -----------------------------------------------------------------------------
 
 
+def _article_text(body: Column) -> Column:
+    """Stripped lines of an article element's content, NULL when it holds more articles or too little text."""
+    text = F.array_join(_pieces(body, rf"{_TAG}|\n"), "\n")
+    single = ~body.rlike(r"(?i)</?article\b")
+    return F.when(single, _let(text, lambda t: F.when(F.length(t) > fv.PAGE_TEXT_MIN_CHARS, t)))
+
+
 def _jvm_main_text(html: Column) -> Column:
     """Text of the page's single article element, NULL when the tree reader is needed."""
-    markup = _without(html, fv.PAGE_NOISE_TAGS, "<!>")
-    single = (F.regexp_count(markup, F.lit(r"(?i)<article\b")) == 1) & (
-        F.regexp_count(markup, F.lit(r"(?i)</article\s*>")) == 1
+    body = r"(?is)<article\b[^>]*>(.*)</article\s*>"
+    return _let(
+        _without(html, fv.PAGE_NOISE_TAGS, "<!>"),
+        lambda m: F.when(~_puzzling(m, fv.PAGE_NOISE_TAGS), _let(F.regexp_extract(m, body, 1), _article_text)),
     )
-    body = F.regexp_extract(markup, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    text = F.regexp_replace(_nodes(body, "\n"), rf"(?U){_SPACE}*\n{_SPACE}*", "\n")
-    return F.when(_readable(markup, fv.PAGE_NOISE_TAGS) & single & (F.length(text) > fv.PAGE_TEXT_MIN_CHARS), text)
 
 
 def _jvm_title(html: Column) -> Column:
     """Title by h1, social meta tags, title element; NULL when the tree reader is needed."""
-    markup = _without(html, fv.PLAIN_TEXT_NOISE_TAGS, "<!>")
     heading = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
     title = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-    has_og, og = _meta(markup, "property", "og:title")
-    has_twitter, twitter = _meta(markup, "name", "twitter:title")
-    picked = (
-        F.when(markup.rlike(heading), _nodes(F.regexp_extract(markup, heading, 1), ""))
-        .when(has_og, F.coalesce(og, F.lit(fv.NO_TITLE)))
-        .when(has_twitter, F.coalesce(twitter, F.lit(fv.NO_TITLE)))
-        .when(markup.rlike(title), _nodes(F.regexp_extract(markup, title, 1), ""))
-        .otherwise(F.lit(fv.NO_TITLE))
-    )
-    return F.when(_readable(markup, fv.PLAIN_TEXT_NOISE_TAGS), picked)
+
+    def text(fragment: Column) -> Column:
+        return F.when(~_puzzling(fragment, ("h1", "title")), _nodes(fragment, ""))
+
+    def pick(markup: Column) -> Column:
+        has_og, og = _meta(markup, "property", "og:title")
+        has_twitter, twitter = _meta(markup, "name", "twitter:title")
+        return (
+            F.when(markup.rlike(rf"(?i)<(?:{_left_over(fv.PLAIN_TEXT_NOISE_TAGS)})"), F.lit(None))
+            .when(markup.rlike(heading), _let(F.regexp_extract(markup, heading, 1), text))
+            .when(_puzzling(markup, ("h1",)), F.lit(None))
+            .when(has_og, F.coalesce(og, F.lit(fv.NO_TITLE)))
+            .when(has_twitter, F.coalesce(twitter, F.lit(fv.NO_TITLE)))
+            .when(markup.rlike(title), _let(F.regexp_extract(markup, title, 1), text))
+            .otherwise(F.lit(fv.NO_TITLE))
+        )
+
+    return _let(_without(html, fv.PLAIN_TEXT_NOISE_TAGS, "<!>"), pick)
 
 
 def _jvm_plain_text(html: Column) -> Column:
     """All text outside script and style, one trimmed phrase per line; NULL for the tree reader."""
-    markup = _without(html, fv.PLAIN_TEXT_NOISE_TAGS, "")
-    text = _decoded(F.regexp_replace(markup, _TAG, ""))
-    lines = F.regexp_replace(text, rf"(?U){_SPACE}*(?:{_LINE_END}|  ){_SPACE}*", "\n")
-    return F.when(_readable(markup, fv.PLAIN_TEXT_NOISE_TAGS), _stripped(lines))
+
+    def text(markup: Column) -> Column:
+        return F.array_join(_pieces(F.regexp_replace(markup, _TAG, ""), rf"{_LINE_END}|  "), "\n")
+
+    return _let(
+        _without(html, fv.PLAIN_TEXT_NOISE_TAGS, ""),
+        lambda m: F.when(~_puzzling(m, fv.PLAIN_TEXT_NOISE_TAGS), text(m)),
+    )
 
 
 # --- tree reader --------------------------------------------------------------------------
@@ -150,13 +182,21 @@ class _TreeReader(HTMLParser):
         self.open = [_Node("", {})]
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.open[-1].tag == "p":
-            self.open.pop()
+        if tag in _ENDS_PARAGRAPH:
+            self._end_paragraph()
         node = _Node(tag, dict(attrs))
         self.open[-1].kids.append(node)
         if tag not in _VOID:
             self.open.append(node)
 
+    def _end_paragraph(self):
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag in _KEEPS_PARAGRAPH:
+                return
+            if self.open[depth].tag == "p":
+                del self.open[depth:]
+                return
+
     def handle_startendtag(self, tag, attrs):
         self.open[-1].kids.append(_Node(tag, dict(attrs)))
 
@@ -246,23 +286,27 @@ _title_udf = _tree_udf(tree_title)
 _plain_text_udf = _tree_udf(tree_plain_text)
 
 
-def _jvm_first(html: Column, fast: Column, slow) -> Column:
-    return F.coalesce(fast, slow(F.when(fast.isNull(), html)))
+def _with(pages: DataFrame, html: str, out: str, fast: Column, slow) -> DataFrame:
+    """``pages`` with ``out``; the fast answer is a column of its own, so it is computed once."""
+    first = f"_{out}_jvm"
+    answered = pages.withColumn(first, fast)
+    tree = slow(F.when(F.col(first).isNull(), F.col(html)))
+    return answered.withColumn(out, F.coalesce(first, tree)).drop(first)
 
 
-def main_text(html: Column) -> Column:
-    """Main content of a page [X6]."""
-    return _jvm_first(html, _jvm_main_text(html), _main_text_udf)
+def with_main_text(pages: DataFrame, html: str = "html", out: str = "page_text") -> DataFrame:
+    """Main content of every page [X6]."""
+    return _with(pages, html, out, _jvm_main_text(F.col(html)), _main_text_udf)
 
 
-def page_title(html: Column) -> Column:
-    """Title of a page [X7]."""
-    return _jvm_first(html, _jvm_title(html), _title_udf)
+def with_title(pages: DataFrame, html: str = "html", out: str = "title") -> DataFrame:
+    """Title of every page [X7]."""
+    return _with(pages, html, out, _jvm_title(F.col(html)), _title_udf)
 
 
-def plain_text(html: Column) -> Column:
+def with_plain_text(pages: DataFrame, html: str = "html", out: str = "content") -> DataFrame:
     """Every visible text of a page, one phrase per line [X5]."""
-    return _jvm_first(html, _jvm_plain_text(html), _plain_text_udf)
+    return _with(pages, html, out, _jvm_plain_text(F.col(html)), _plain_text_udf)
 
 
 def published_date(html: Column) -> Column:
@@ -295,4 +339,4 @@ def markdown(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)\s*<br\b[^>]*>\s*", "\n")
     text = F.regexp_replace(text, r"(?i)\s*</?(?:p|div|article|section|main|ul|ol|h[1-6]|body|html)\b[^>]*>\s*", "\n\n")
     text = _decoded(F.regexp_replace(text, _TAG, ""))
-    return _stripped(F.regexp_replace(text, r"\n\n+", "\n\n"))
+    return F.btrim(F.regexp_replace(text, r"\n\n+", "\n\n"), F.lit(_BLANKS))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -146,10 +145,6 @@ class CellIndex:
     def __init__(self, spark: SparkSession, path: str, centres: np.ndarray):
         self.spark, self.path, self.centres = spark, path, centres
 
-    @staticmethod
-    def default_cells(n_vectors: int) -> int:
-        return max(1, min(MAX_DIMENSION, round(math.sqrt(n_vectors))))
-
     @classmethod
     def build(
         cls,
@@ -159,19 +154,30 @@ class CellIndex:
         key: str = "article_id",
         vector: str = "embedding",
         seed: int = 7,
-        iterations: int = 20,
+        iterations: int = 10,
+        training_per_cell: int = 256,
         files_per_cell: int = 8,
     ) -> "CellIndex":
-        """Fit the cells, assign every vector with a direction and write the partitioned table."""
+        """Fit the cells, assign every vector with a direction and write the partitioned table.
+
+        The centres are fitted on about ``training_per_cell`` vectors per cell, since every
+        iteration passes over them; all vectors are then assigned in a single pass.
+        """
         spark = embeddings.sparkSession
         usable = embeddings.select(
             F.col(key).cast("long").alias("article_id"), F.col(vector).cast("array<float>").alias("embedding"),
             unit(F.col(vector)).alias("_unit"),
         ).filter(F.col("_unit").isNotNull())
         featured = usable.withColumn("_features", array_to_vector("_unit"))
-        model: KMeansModel = KMeans(
-            k=cells, seed=seed, maxIter=iterations, featuresCol="_features", predictionCol="cell"
-        ).fit(featured)
+        share = min(1.0, cells * training_per_cell / max(1, embeddings.count()))
+        chosen = F.pmod(F.xxhash64("article_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+        training = featured.filter(chosen).select("_features").persist()
+        try:
+            model: KMeansModel = KMeans(
+                k=cells, seed=seed, maxIter=iterations, featuresCol="_features", predictionCol="cell"
+            ).fit(training)
+        finally:
+            training.unpersist()
         assigned = model.transform(featured).select("article_id", "embedding", "cell")
         spread = assigned.repartition("cell", F.pmod(F.xxhash64("article_id"), F.lit(files_per_cell)))
         spread.write.mode("errorifexists").partitionBy("cell").parquet(path)

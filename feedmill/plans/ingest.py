@@ -10,6 +10,7 @@ from feedmill.functions.dates import literal_time
 from feedmill.operators.aggregates import ingest_stats
 from feedmill.operators.dedup import label_candidates
 from feedmill.operators.filters import active_rows
+from feedmill.session import staged
 from feedmill.sources.feeds import blog_routes, channel_entries, channel_feeds, feed_entries, recent_entries
 from feedmill.sources.pages import read_page_features
 
@@ -97,9 +98,13 @@ def ingest(
     hours: float | None = None,
     source_id: int | None = None,
 ) -> DataFrame:
-    """Labelled candidates of all sources, or of one [S14, S15]; only ``created`` rows are stored."""
+    """Labelled candidates of all sources, or of one [S14, S15]; only ``created`` rows are stored.
+
+    The parsed candidates are staged, because labelling reads them twice.
+    """
     chosen = sources if source_id is None else sources.filter(F.col("id") == source_id)
-    return label_candidates(scan_sources(chosen, landed_feeds, landed_pages, as_of, hours), store)
+    candidates = staged(scan_sources(chosen, landed_feeds, landed_pages, as_of, hours), "candidates")
+    return label_candidates(candidates, store)
 
 
 def new_articles(labelled: DataFrame, as_of: datetime | str) -> DataFrame:

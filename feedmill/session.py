@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "feedmill") -> SparkSession:
@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "feedmi
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FEEDMILL_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -43,3 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below :func:`shared_folder`; never reused, so reruns cannot mix."""
     return f"{shared_folder(spark)}/feedmill/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back.
+
+    For rows that are expensive to make and read more than once: they are made once, later reads
+    take only the columns they need, and a lost executor costs no recomputation of what came before.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -71,6 +71,7 @@ def feed_entries(landed: DataFrame, use_updated: bool = False) -> DataFrame:
     date stands in for a missing publication date [S3].
 
     Other columns of ``landed`` travel along.  ``entry_seq`` is the entry's place in its document.
+    The outer explode keeps Spark from inferring a size filter that would parse every document twice.
     """
     carried = [c for c in landed.columns if c != "xml"]
     none = F.array().cast("array<struct<title:string,url:string,published:string,updated:string,summary:string,video_id:string>>")
@@ -79,7 +80,8 @@ def feed_entries(landed: DataFrame, use_updated: bool = False) -> DataFrame:
     rows = (
         _document(landed)
         .select(*carried, F.concat(items, entries).alias("_all"))
-        .select(*carried, F.posexplode("_all").alias("entry_seq", "_e"))
+        .select(*carried, F.posexplode_outer("_all").alias("entry_seq", "_e"))
+        .filter(F.col("_e").isNotNull())
     )
     published = feed_date(F.col("_e.published"))
     if use_updated:

@@ -12,17 +12,13 @@ def read_page_features(pages: DataFrame) -> DataFrame:
 
     Features nobody selects are pruned together with the function that makes them.
     """
-    source = F.col("html")
-    return pages.select(
-        *[c for c in pages.columns if c != "html"],
-        html.page_title(source).alias("title"),
-        html.published_date(source).alias("published_at"),
-        html.main_text(source).alias("page_text"),
-    )
+    carried = [c for c in pages.columns if c != "html"]
+    dated = pages.withColumn("published_at", html.published_date(F.col("html")))
+    return html.with_main_text(html.with_title(dated)).select(*carried, "title", "published_at", "page_text")
 
 
 def extracted_pages(pages: DataFrame) -> DataFrame:
     """(url, content, extraction_method) of the extraction stage [X5]."""
-    return pages.select(
-        "url", html.plain_text(F.col("html")).alias("content"), F.lit("beautifulsoup").alias("extraction_method")
+    return html.with_plain_text(pages.select("url", "html")).select(
+        "url", "content", F.lit("beautifulsoup").alias("extraction_method")
     )
