@@ -26,12 +26,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
-def unit(a: Column) -> Column:
-    """The vector scaled to length one, NULL when it has no direction."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
-
-
 def literal_vector(values: Sequence[float]) -> Column:
     """A constant ``array<double>``."""
     return F.array(*[F.lit(float(v)) for v in values])

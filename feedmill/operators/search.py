@@ -11,7 +11,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from feedmill import fixed_values as fv
-from feedmill.functions.vectors import unit
 
 MAX_QUERIES = 1024
 MAX_DIMENSION = 4096
@@ -165,16 +164,16 @@ class CellIndex:
         """
         spark = embeddings.sparkSession
         usable = embeddings.select(
-            F.col(key).cast("long").alias("article_id"), F.col(vector).cast("array<float>").alias("embedding"),
-            unit(F.col(vector)).alias("_unit"),
-        ).filter(F.col("_unit").isNotNull())
-        featured = usable.withColumn("_features", array_to_vector("_unit"))
+            F.col(key).cast("long").alias("article_id"), F.col(vector).cast("array<float>").alias("embedding")
+        ).filter(F.exists("embedding", lambda x: x != 0))
+        featured = usable.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
         share = min(1.0, cells * training_per_cell / max(1, embeddings.count()))
         chosen = F.pmod(F.xxhash64("article_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
         training = featured.filter(chosen).select("_features").persist()
         try:
             model: KMeansModel = KMeans(
-                k=cells, seed=seed, maxIter=iterations, featuresCol="_features", predictionCol="cell"
+                k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine",
+                featuresCol="_features", predictionCol="cell",
             ).fit(training)
         finally:
             training.unpersist()

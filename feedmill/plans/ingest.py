@@ -6,12 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedmill.functions.dates import literal_time
+from feedmill.functions.dates import cutoff, literal_time
+from feedmill.functions.urls import video_id
 from feedmill.operators.aggregates import ingest_stats
 from feedmill.operators.dedup import label_candidates
 from feedmill.operators.filters import active_rows
 from feedmill.session import staged
-from feedmill.sources.feeds import blog_routes, channel_entries, channel_feeds, feed_entries, recent_entries
+from feedmill.sources.feeds import blog_routes, channel_feeds, feed_entries
 from feedmill.sources.pages import read_page_features
 
 CANDIDATE = ("source_id", "title", "url", "content", "published_at", "video_id", "category", "ingest_seq")
@@ -47,30 +48,30 @@ def scan_sources(
     """Candidate articles of all active video and blog sources [S14, U1].
 
     ``landed_feeds`` is (feed_url, feed_seq, xml), ``landed_pages`` (url, html).  Other source types
-    are skipped.
+    are skipped.  Video and blog feeds go through one scan and one parse; the look-back window
+    applies to videos only.
     """
-    active = active_rows(sources).filter(F.col("source_type").isin(list(SCANNED_TYPES)))
-    ids = active.select(F.col("id").alias("source_id"), "source_type", "url")
-    channels = channel_feeds(ids.filter(F.col("source_type") == "youtube")).select("source_id", "feed_url")
-    blogs = blog_routes(ids.filter(F.col("source_type") == "blog"))
-    feeds = blogs.filter(F.col("route") == "feed").select("source_id", F.col("url").alias("feed_url"))
+    ids = scanned_sources(sources).select(F.col("id").alias("source_id"), "source_type", "url")
+    is_video = F.col("source_type") == "youtube"
+    channels = channel_feeds(ids.filter(is_video)).select("source_id", "source_type", "feed_url")
+    blogs = blog_routes(ids.filter(~is_video))
+    feeds = blogs.filter(F.col("route") == "feed").select("source_id", "source_type", F.col("url").alias("feed_url"))
     single = blogs.filter(F.col("route") == "page").select("source_id", "url")
 
-    video_rows = recent_entries(channel_entries(landed_feeds.join(channels, "feed_url")), as_of, hours)
-    blog_rows = feed_entries(landed_feeds.join(feeds, "feed_url"))
+    entries = feed_entries(landed_feeds.join(channels.unionByName(feeds), "feed_url"))
+    if hours is not None:
+        recent = F.col("published_at").isNull() | (F.col("published_at") >= cutoff(as_of, hours))
+        entries = entries.filter(~is_video | recent)
     page_rows = (
         read_page_features(landed_pages.join(single, "url"))
         .withColumn("feed_seq", F.lit(0).cast("long"))
         .withColumn("entry_seq", F.lit(0))
     )
-    sequenced = [df.withColumn("ingest_seq", _sequence()) for df in (video_rows, blog_rows, page_rows)]
-    nothing = F.lit(None)
-    parts = [
-        save_rows(sequenced[0], F.col("summary"), nothing, F.col("video_id")),
-        save_rows(sequenced[1], F.col("summary"), nothing),
-        save_rows(sequenced[2], F.col("page_text"), nothing),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    nothing = F.lit(None).cast("string")
+    video = F.when(is_video, F.coalesce(video_id(F.col("url")), F.col("video_id")))
+    return save_rows(entries.withColumn("ingest_seq", _sequence()), F.col("summary"), nothing, video).unionByName(
+        save_rows(page_rows.withColumn("ingest_seq", _sequence()), F.col("page_text"), nothing)
+    )
 
 
 def resolve_category(entries: DataFrame, category_feeds: DataFrame, sources: DataFrame) -> DataFrame:
