@@ -254,17 +254,17 @@ def tree_main_text(root: _Node) -> str:
 
 def tree_title(root: _Node) -> str:
     """Title by h1, og:title, twitter:title, title [X7]."""
-    none = frozenset()
-    metas = root.nodes(none, "meta")
-    headings = root.nodes(none, "h1")
+    skip = frozenset(fv.PLAIN_TEXT_NOISE_TAGS)
+    metas = root.nodes(skip, "meta")
+    headings = root.nodes(skip, "h1")
     if headings:
-        return headings[0].joined(none, "")
+        return headings[0].joined(skip, "")
     for attribute, value in (("property", "og:title"), ("name", "twitter:title")):
         for meta in metas:
             if meta.attrs.get(attribute) == value:
                 return meta.attrs.get("content") or fv.NO_TITLE
-    titles = root.nodes(none, "title")
-    return titles[0].joined(none, "") if titles else fv.NO_TITLE
+    titles = root.nodes(skip, "title")
+    return titles[0].joined(skip, "") if titles else fv.NO_TITLE
 
 
 def tree_plain_text(root: _Node) -> str:
