@@ -28,7 +28,7 @@ FEED_DOCUMENT = f"channel struct<item: array<struct<{_ITEM}>>>, entry array<stru
 
 def landed_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Feed documents landed as files, one row per file (feed_url is the file's path)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.input_file_name().alias("feed_url"), F.col("value").alias("xml"))
 
 

@@ -50,9 +50,16 @@ def append_articles(articles: DataFrame, path: str) -> None:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """The partitioned article table; a filter on ``scraped_date`` prunes folders."""
+    """The partitioned article table, empty before the first run; a filter on ``scraped_date``
+    prunes folders."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.ARTICLES.fields)
-    return spark.read.schema(f"{columns}, scraped_date date").parquet(path)
+    layout = f"{columns}, scraped_date date"
+    try:
+        return spark.read.schema(layout).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], layout)
 
 
 def append_features(features: DataFrame, existing: DataFrame, path: str, model: str | None = None) -> None:
