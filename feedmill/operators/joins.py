@@ -29,24 +29,31 @@ def with_summaries(articles: DataFrame, summaries: DataFrame, how: str = "inner"
 def one_summary(summaries: DataFrame) -> DataFrame:
     """The summary with the lowest id per article [W6].
 
-    The ids are reduced first and the wide rows follow by their unique id, so texts are neither
-    carried through the aggregate nor gathered by article.
+    A map-side combined aggregate: an article with very many summaries sends one row per task, and
+    the result is already partitioned by article for the joins that follow.
     """
-    lowest = summaries.groupBy("article_id").agg(F.min("id").alias("id")).select("id")
-    return summaries.join(lowest, "id", "left_semi")
+    rest = [c for c in summaries.columns if c != "article_id"]
+    lowest = summaries.groupBy("article_id").agg(F.min_by(F.struct(*rest), "id").alias("_s"))
+    return lowest.select("article_id", "_s.*")
 
 
 def lineage(articles: DataFrame, state: DataFrame, summaries: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Articles with state and feature presence; several summaries repeat the article [J5, P18]."""
+    """Articles with state and feature presence; several summaries repeat the article [J5, P18].
+
+    Feature rows always hold their feature, so the presence of a row is the flag and neither texts
+    nor vectors are read.
+    """
+    has_s, has_e = F.lit(True).alias("has_summary"), F.lit(True).alias("has_embedding")
+    absent = F.lit(False)
     return (
         articles.select("id", "title")
         .join(state.select(F.col("article_id").alias("id"), "status", "retry_count"), "id", "left")
-        .join(summaries.select(F.col("article_id").alias("id"), "summary"), "id", "left")
-        .join(embeddings.select(F.col("article_id").alias("id"), "embedding"), "id", "left")
+        .join(summaries.select(F.col("article_id").alias("id"), has_s), "id", "left")
+        .join(embeddings.select(F.col("article_id").alias("id"), has_e), "id", "left")
         .select(
             "id", "title", "status", "retry_count",
-            F.col("summary").isNotNull().alias("has_summary"),
-            F.col("embedding").isNotNull().alias("has_embedding"),
+            F.coalesce("has_summary", absent).alias("has_summary"),
+            F.coalesce("has_embedding", absent).alias("has_embedding"),
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from feedmill import fixed_values as fv
 from feedmill.operators.filters import published_within, scraped_within
+from feedmill.session import staged
 
 
 def newest_first() -> list[Column]:
@@ -16,21 +17,31 @@ def newest_first() -> list[Column]:
     return [F.col("published_at").desc_nulls_first(), F.col("id").asc()]
 
 
-def top_per_group(
+def top_keys(
     rows: DataFrame, group: str, n: int, order: Sequence[Column], position: str = "position", key: str = "id"
 ) -> DataFrame:
-    """The first ``n`` rows of every group with their 1-based position [W1, W2, W3].
+    """(key, position) of the first ``n`` rows of every group.
 
     Only group, key and order columns are ranked: the per-task group limit keeps at most ``n`` rows
-    of a group before the shuffle, so a dominant group is cut where it is read.  The wide columns
-    come back by ``key`` for the rows that remain.
+    of a group before the shuffle, so a dominant group is cut where it is read.
     """
     needed = [c for c in (group, key, "published_at") if c in rows.columns]
     ranked = rows.select(*dict.fromkeys(needed)).withColumn(
         position, F.row_number().over(W.partitionBy(group).orderBy(*order))
     )
-    kept = ranked.filter(F.col(position) <= n).select(key, position)
-    return rows.join(kept, key)
+    return ranked.filter(F.col(position) <= n).select(key, position)
+
+
+def top_per_group(
+    rows: DataFrame, group: str, n: int, order: Sequence[Column], position: str = "position", key: str = "id"
+) -> DataFrame:
+    """The first ``n`` rows of every group with their 1-based position [W1, W2, W3].
+
+    The wide columns come back by ``key`` for the rows that remain.  Those keys are staged first: the
+    planner then knows how few they are and broadcasts them, instead of shuffling the wide rows to
+    meet them.
+    """
+    return rows.join(staged(top_keys(rows, group, n, order, position, key), "top"), key)
 
 
 def recent_articles(

@@ -20,6 +20,11 @@ def check_arguments(query_text: str, limit: int) -> None:
     """Argument contract of the text search [P19]."""
     if len(query_text) < fv.SEARCH_MIN_QUERY_CHARS:
         raise ValueError(f"query needs at least {fv.SEARCH_MIN_QUERY_CHARS} characters")
+    check_limit(limit)
+
+
+def check_limit(limit: int) -> None:
+    """Allowed number of search results [P19]."""
     if not fv.SEARCH_MIN_LIMIT <= limit <= fv.SEARCH_MAX_LIMIT:
         raise ValueError(f"limit must be between {fv.SEARCH_MIN_LIMIT} and {fv.SEARCH_MAX_LIMIT}")
 
@@ -137,8 +142,9 @@ def model_summary(embeddings: DataFrame, expected_dim: int = fv.EMBEDDING_DIM) -
 class CellIndex:
     """A coarse inverted-file index: vectors grouped into k-means cells on the unit sphere [V4].
 
-    The table on disk is partitioned by cell, so a search reads only the probed cells.  Large cells
-    are spread over many files when written and split over many tasks when read.
+    The table on disk is partitioned by cell, so a search reads only the probed cells.  Rows are
+    rebalanced when written: small cells are one file, a cell with very many vectors is split over
+    tasks and files of about the advisory size.
     """
 
     def __init__(self, spark: SparkSession, path: str, centres: np.ndarray):
@@ -155,7 +161,6 @@ class CellIndex:
         seed: int = 7,
         iterations: int = 10,
         training_per_cell: int = 256,
-        files_per_cell: int = 8,
     ) -> "CellIndex":
         """Fit the cells, assign every vector with a direction and write the partitioned table.
 
@@ -178,8 +183,7 @@ class CellIndex:
         finally:
             training.unpersist()
         assigned = model.transform(featured).select("article_id", "embedding", "cell")
-        spread = assigned.repartition("cell", F.pmod(F.xxhash64("article_id"), F.lit(files_per_cell)))
-        spread.write.mode("errorifexists").partitionBy("cell").parquet(path)
+        assigned.hint("rebalance", "cell").write.mode("errorifexists").partitionBy("cell").parquet(path)
         return cls(spark, path, np.array(model.clusterCenters()))
 
     def probed_cells(self, query: Sequence[float], probes: int) -> list[int]:

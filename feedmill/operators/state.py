@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from feedmill import fixed_values as fv
 from feedmill.functions.dates import moment
 from feedmill.operators.filters import dead_letter_condition, scraped_since
+from feedmill.session import staged
 
 IS_ERROR = "error IS NOT NULL AND error <> ''"
 
@@ -48,33 +49,34 @@ def fold_state(state: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def running_count(
-    rows: DataFrame, key: str, time: str, tie: str, name: str, bucket: Column | None = None
-) -> DataFrame:
+def running_count(rows: DataFrame, key: str, time: str, tie: str, name: str) -> DataFrame:
     """1-based position of every row within its key by (time, tie), skew-safe [W5].
 
-    A plain window would sort all rows of a hot key in one task.  Here rows are numbered inside
-    (key, time bucket) and shifted by the number of rows in the key's earlier buckets, which is a
-    window over the few pre-aggregated buckets of the key.
+    A plain window would sort all rows of a hot key in one task.  Here the rows are range-partitioned
+    by (key, time, tie), which cuts a hot key into stretches of bounded size wherever its rows lie in
+    time.  Rows are numbered inside their stretch and shifted by the sizes of the key's earlier
+    stretches; only a key that runs over a partition's edge has a shift, so there are at most as many
+    shifts as partitions.  The stretches are staged, because the range bounds are sampled and must
+    be the same for the sizes and for the rows.
     """
-    bucketed = rows.withColumn("_bucket", bucket if bucket is not None else F.date_trunc("hour", F.col(time)))
-    sizes = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_size"))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(key, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(W.partitionBy(key, "_bucket").orderBy(time, tie))
+    ranged = rows.repartitionByRange(key, time, tie).withColumn("_stretch", F.spark_partition_id())
+    kept = staged(ranged, "stretches")
+    sizes = kept.groupBy(key, "_stretch").agg(F.count("*").alias("_size"))
+    earlier = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(key, "_stretch", F.sum("_size").over(earlier).alias("_shift")).filter("_shift IS NOT NULL")
+    inside = F.row_number().over(W.partitionBy(key, "_stretch").orderBy(time, tie))
     return (
-        bucketed.join(shifts, [key, "_bucket"])
-        .withColumn(name, F.col("_shift") + inside)
-        .drop("_bucket", "_shift")
+        kept.withColumn(name, inside)
+        .join(shifts, [key, "_stretch"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_shift", F.lit(0)))
+        .drop("_stretch", "_shift")
     )
 
 
-def dead_letters(
-    events: DataFrame, max_retries: int = fv.MAX_RETRIES, first_only: bool = False, bucket: Column | None = None
-) -> DataFrame:
+def dead_letters(events: DataFrame, max_retries: int = fv.MAX_RETRIES, first_only: bool = False) -> DataFrame:
     """A dead letter for every failure at or past the retry limit, or only the first of them [T3]."""
     failures = events.filter(IS_ERROR)
-    counted = running_count(failures, "article_id", "ts", "event_id", "retry_count", bucket)
+    counted = running_count(failures, "article_id", "ts", "event_id", "retry_count")
     limit = F.col("retry_count") == max_retries if first_only else F.col("retry_count") >= max_retries
     return counted.filter(limit).select(*dead_letter_columns())
 

@@ -55,7 +55,9 @@ def daily_run(
         return stats
     failed = 0
     if stats["articles_new"] > 0:
-        append_articles(ingest.new_articles(labelled, as_of), store.path("articles"))
+        last_id = held.agg(F.max("id")).first()[0]
+        first_id = 0 if last_id is None else last_id + 1
+        append_articles(ingest.new_articles(labelled, as_of, first_id), store.path("articles"))
         articles = recent_window(read_articles(spark, store.path("articles")), as_of, hours)
         items = staged(digests.scored_digest(articles, sources, as_of, hours, scorer=scorer), "digest")
         stamp = literal_time(as_of).alias("run_at")

@@ -19,6 +19,7 @@ from feedmill.operators.filters import active_rows, published_within, scraped_wi
 from feedmill.operators.joins import with_source, with_summaries
 from feedmill.operators.ranking import newest_first, top_per_group
 from feedmill.operators.scoring import OFFLINE_MODEL, Scorer, longest_sentences, score
+from feedmill.session import staged
 
 BRAND = "Daily News Digest"
 BASE_URL = "http://localhost:8000"
@@ -34,9 +35,14 @@ def digest(
     hours: float = fv.DEFAULT_HOURS_BACK,
     source_name: str | None = None,
 ) -> DataFrame:
-    """Published, summarised articles of the window, newest first [M1]; of one source name [M3]."""
+    """Published, summarised articles of the window, newest first [M1]; of one source name [M3].
+
+    The window's slim article rows are staged, so the planner knows their size: a window that is
+    small beside the whole history is broadcast and the summary texts are streamed past it without
+    a shuffle; a larger one is joined by shuffle.
+    """
     recent = published_within(articles.select("id", "source_id", "title", "url", "published_at"), as_of, hours)
-    named = with_source(recent, sources, source_name)
+    named = staged(with_source(recent, sources, source_name), "window")
     return digest_rows(with_summaries(named, summaries)).orderBy(*newest_first(), "model")
 
 

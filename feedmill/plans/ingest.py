@@ -108,11 +108,13 @@ def ingest(
     return label_candidates(candidates, store)
 
 
-def new_articles(labelled: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Created rows in article shape, stamped with the scrape time; the id is derived from the URL,
-    so a rerun of the same batch gives the same ids."""
+def new_articles(labelled: DataFrame, as_of: datetime | str, first_id: int = 0) -> DataFrame:
+    """Created rows in article shape, stamped with the scrape time and numbered from ``first_id``.
+
+    Ids are unique but follow the partitions, so write the rows once and read them back.
+    """
     return labelled.filter(F.col("outcome") == "created").select(
-        F.xxhash64("url").alias("id"),
+        (F.lit(first_id) + F.monotonically_increasing_id()).alias("id"),
         "source_id", "title", "url", "content", "published_at",
         literal_time(as_of).alias("scraped_at"),
         "video_id", "category",

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 from feedmill.operators.aggregates import count_by, queue_depth
 from feedmill.operators.filters import active_rows, scraped_within
 from feedmill.operators.joins import lineage
+from feedmill.session import staged
 
 
 def lineage_report(
     articles: DataFrame, state: DataFrame, summaries: DataFrame, embeddings: DataFrame,
     as_of: datetime | str, hours: float = 24,
 ) -> DataFrame:
-    """Lineage of the articles scraped in the window [M6]."""
-    return lineage(scraped_within(articles, as_of, hours), state, summaries, embeddings)
+    """Lineage of the articles scraped in the window [M6].
+
+    The window's ids are staged, so a window that is small beside the feature tables is broadcast.
+    """
+    window = staged(scraped_within(articles.select("id", "title", "scraped_at"), as_of, hours), "window")
+    return lineage(window, state, summaries, embeddings)
 
 
 def pipeline_status(state: DataFrame) -> DataFrame:

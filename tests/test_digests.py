@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from feedmill.operators import assembly
-from feedmill.operators.ranking import newest_first, top_per_group
+from feedmill.operators.ranking import newest_first, top_keys, top_per_group
 from feedmill.plans import digests
 
 ARTICLES = """select * from values
@@ -90,7 +90,10 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     )
     top = top_per_group(rows, "g", 2, newest_first())
     assert top.groupBy("g").count().filter("count <> 2").count() == 0
-    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in top._jdf.queryExecution().executedPlan().toString()
+    keys = top_keys(rows, "g", 2, newest_first())
+    assert keys._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert "WindowGroupLimit" in keys._jdf.queryExecution().executedPlan().toString()
 
 
 def test_transcripts_in_parts_and_by_language(spark):

@@ -30,10 +30,19 @@ def test_source_holds_no_hints_and_no_driver_side_shortcuts():
             assert word not in text, f"{word} in {path}"
 
 
-def test_wide_text_stays_out_of_the_window(spark, small):
+def test_wide_text_is_not_ranked(spark, small):
+    from feedmill.operators.ranking import newest_first, top_keys
+    from feedmill.plans import views
+
+    articles = views.view(spark, small, "articles")
+    scan = top_keys(articles, "source_id", 5, newest_first())._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in scan[scan.index("ReadSchema"):]
+
+
+def test_the_window_is_broadcast_and_summaries_are_not_shuffled(spark, small):
     from feedmill.plans import digests, views
 
-    articles, sources = (views.view(spark, small, n) for n in ("articles", "sources"))
-    plan = digests.top_articles(articles, sources, views.AS_OF, 168)._jdf.queryExecution().optimizedPlan().toString()
-    window = plan[plan.index("Window "):]
-    assert "content" not in window.split("Filter")[0].split("Project")[0]
+    articles, summaries, sources = (views.view(spark, small, n) for n in ("articles", "article_summaries", "sources"))
+    flat = summaries.select("id", "article_id", "model", "summary", "key_points")
+    plan = digests.digest(articles, flat, sources, views.AS_OF, 168)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

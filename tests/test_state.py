@@ -49,16 +49,18 @@ def test_folding_in_two_steps_equals_one(spark):
 
 
 def test_a_hot_article_is_counted_in_many_tasks(spark):
-    """Half of all failures belong to one article; they are numbered bucket by bucket."""
+    """Half of all failures belong to one article, a third of them at the same moment."""
     rows = spark.range(20000, numPartitions=8).select(
         F.col("id").alias("event_id"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.xxhash64("id"), F.lit(6000)).cast("int"))).alias("ts"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.when(F.col("id") % 3 == 0, F.lit(30)).otherwise(F.pmod(F.xxhash64("id"), F.lit(6000))).cast("int"))).alias("ts"),
         F.when(F.col("id") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("id") % 50).alias("article_id"),
     ).persist()
     counted = state.running_count(rows, "article_id", "ts", "event_id", "n")
     hot = [r.n for r in counted.filter("article_id = 0").orderBy("ts", "event_id").select("n").collect()]
     assert hot == list(range(1, 10001))
     assert counted.count() == 20000
+    stretches = rows.repartitionByRange(8, "article_id", "ts", "event_id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in stretches.collect()) < 5000
     rows.unpersist()
 
 
