@@ -34,16 +34,19 @@ def digest(
     as_of: datetime | str,
     hours: float = fv.DEFAULT_HOURS_BACK,
     source_name: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Published, summarised articles of the window, newest first [M1]; of one source name [M3].
 
     The window's slim article rows are staged, so the planner knows their size: a window that is
     small beside the whole history is broadcast and the summary texts are streamed past it without
-    a shuffle; a larger one is joined by shuffle.
+    a shuffle; a larger one is joined by shuffle.  ``ordered=False`` leaves out the global sort, which
+    Spark prepares by a sampling pass over the join, for callers that count or write parts.
     """
     recent = published_within(articles.select("id", "source_id", "title", "url", "published_at"), as_of, hours)
     named = staged(with_source(recent, sources, source_name), "window")
-    return digest_rows(with_summaries(named, summaries)).orderBy(*newest_first(), "model")
+    rows = digest_rows(with_summaries(named, summaries))
+    return rows.orderBy(*newest_first(), "model") if ordered else rows
 
 
 def digest_rows(joined: DataFrame) -> DataFrame:

@@ -136,7 +136,8 @@ from (select a.id, a.title, a.url, a.published_at, strftime(a.published_at, {_LO
 
 @query("digest_parts", "X19 X20", _PARTS, "articles article_summaries sources")
 def digest_parts(t):
-    return digests.digest_parts(digests.digest(t.articles, t.article_summaries, t.sources, AS_OF, WEEK))
+    items = digests.digest(t.articles, t.article_summaries, t.sources, AS_OF, WEEK, ordered=False)
+    return digests.digest_parts(items)
 
 
 _BAR = "repeat('=', 80)"
@@ -162,7 +163,7 @@ from (select *, regexp_matches(email, '{fv.EMAIL_PATTERN}') as ok,
     "subscriber_deliveries", "M4 J11 P5 X21 X24", _DELIVERIES, "articles article_summaries sources subscribers"
 )
 def subscriber_deliveries(t):
-    items = digests.digest(t.articles, t.article_summaries, t.sources, AS_OF, WEEK)
+    items = digests.digest(t.articles, t.article_summaries, t.sources, AS_OF, WEEK, ordered=False)
     return digests.deliveries(t.subscribers, items, AS_OF)
 
 

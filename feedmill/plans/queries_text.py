@@ -73,7 +73,20 @@ def snippet_text(t):
     )
 
 
-@query("page_markdown", "X10")
+def _markdown_sql() -> str:
+    text = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "nav", "footer", "head"):
+        text = rf"regexp_replace({text}, '(?s)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    text = rf"regexp_replace({text}, '\s+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '\s*<h1\b[^>]*>\s*', E'\n\n# ', 'g')"
+    text = rf"regexp_replace({text}, '\s*<li\b[^>]*>\s*', E'\n- ', 'g')"
+    text = rf"regexp_replace({text}, '\s*<br\b[^>]*>\s*', E'\n', 'g')"
+    text = rf"regexp_replace({text}, '\s*</?(?:p|div|article|section|main|ul|ol|h[1-6]|body|html)\b[^>]*>\s*', E'\n\n', 'g')"
+    text = _decode(f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')")
+    return rf"trim(regexp_replace({text}, '\n\n+', E'\n\n', 'g'), E' \t\n\r')"
+
+
+@query("page_markdown", "X10", f"select page_id, {_markdown_sql()} as markdown from pages")
 def page_markdown(t):
     return t.pages.select("page_id", html.markdown(F.col("html")).alias("markdown"))
 

@@ -11,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-01-31 00:00:00"
-GIVEN = ("documents", "labels", "embeddings", "events", "pages", "conversations", "customer", "supplier", "orders")
+GIVEN: dict[str, str] = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+}
 
 VIEWS: dict[str, str] = {
     "articles": """
@@ -116,8 +125,8 @@ def _check_hours(expression: str) -> str:
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One of the given Parquet tables, with its explicit schema."""
+    return spark.read.schema(GIVEN[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
