@@ -50,6 +50,7 @@ EMBEDDING_FAILED = "Embedding generation failed"
 
 # --- Fixed values: URL shapes and patterns ------------------------------------------------
 CHANNEL_FEED_PREFIX = "https://www.youtube.com/feeds/videos.xml?channel_id="
+CHANNEL_PAGE_MARKS = ("youtube.com/@", "youtube.com/c/", "youtube.com/user/")
 FEED_URL_SUFFIXES = (".xml", ".rss", "/feed", "/rss")
 VIDEO_ID_PATTERNS = (
     r"(?:v=|\/)([0-9A-Za-z_-]{11}).*",

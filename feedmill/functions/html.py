@@ -309,6 +309,11 @@ def with_plain_text(pages: DataFrame, html: str = "html", out: str = "content")
     return _with(pages, html, out, _jvm_plain_text(F.col(html)), _plain_text_udf)
 
 
+def document_title(html: Column) -> Column:
+    """Content of the title element as it stands, '' without one [X5]."""
+    return _let(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), _decoded)
+
+
 def published_date(html: Column) -> Column:
     """First readable date among the publication meta tags and the time element [X8]."""
     markup = _without(html, fv.PLAIN_TEXT_NOISE_TAGS, "<!>")

@@ -21,6 +21,14 @@ def channel_id(url: Column) -> Column:
     )
 
 
+def is_channel_page(url: Column) -> Column:
+    """True for handle and name URLs, whose channel id only the landed page tells [X2]."""
+    named = F.lit(False)
+    for mark in fv.CHANNEL_PAGE_MARKS:
+        named = named | url.contains(mark)
+    return named & channel_id(url).isNull()
+
+
 def channel_id_from_page(html: Column) -> Column:
     """Channel id written in a landed channel page: meta tag first, then the script forms [X2]."""
     meta = _capture(html, r"""(?is)<meta\b(?=[^>]*\bitemprop\s*=\s*["']channelId["'])[^>]*\bcontent\s*=\s*["']([^"']+)["']""")

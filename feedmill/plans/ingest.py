@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedmill.functions.dates import cutoff, literal_time
 from feedmill.functions.urls import video_id
 from feedmill.operators.aggregates import ingest_stats
-from feedmill.operators.dedup import label_candidates
+from feedmill.operators.dedup import absent_keys, label_candidates
 from feedmill.operators.filters import active_rows
+from feedmill.operators.joins import resolve_sources
 from feedmill.session import staged
 from feedmill.sources.feeds import blog_routes, channel_feeds, feed_entries
 from feedmill.sources.pages import read_page_features
@@ -38,6 +39,21 @@ def save_rows(entries: DataFrame, content: Column, category: Column, video: Colu
     )
 
 
+def save_origin(
+    entries: DataFrame, sources: DataFrame, content: Column, category: Column, video: Column | None = None
+) -> DataFrame:
+    """Rows of one origin under the source its feed URL names [S16, J7]; entries of a feed that no
+    source names are skipped as a whole and reported by :func:`unmatched_feeds`."""
+    resolved = resolve_sources(entries, sources)
+    return save_rows(resolved.filter(F.col("source_id").isNotNull()), content, category, video)
+
+
+def unmatched_feeds(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(feed_url, skipped) of the feeds without a source [J7].  Entries are counted per feed first."""
+    per_feed = entries.groupBy("feed_url").agg(F.count("*").alias("skipped"))
+    return absent_keys(per_feed, sources.select(F.col("url").alias("feed_url")), "feed_url")
+
+
 def scan_sources(
     sources: DataFrame,
     landed_feeds: DataFrame,
@@ -53,7 +69,7 @@ def scan_sources(
     """
     ids = scanned_sources(sources).select(F.col("id").alias("source_id"), "source_type", "url")
     is_video = F.col("source_type") == "youtube"
-    channels = channel_feeds(ids.filter(is_video)).select("source_id", "source_type", "feed_url")
+    channels = channel_feeds(ids.filter(is_video), pages=landed_pages).select("source_id", "source_type", "feed_url")
     blogs = blog_routes(ids.filter(~is_video))
     feeds = blogs.filter(F.col("route") == "feed").select("source_id", "source_type", F.col("url").alias("feed_url"))
     single = blogs.filter(F.col("route") == "page").select("source_id", "url")

@@ -183,6 +183,26 @@ def origin_totals(t):
     return aggregates.origin_totals(_labelled(t).join(origins, "source_id"))
 
 
+@query(
+    "saved_entries", "S16 J7",
+    f"""select source_id, title, url, summary as content, published_at, video_id, 'blog' as category, feed_seq as ingest_seq
+    from ({_ENTRIES}) e where active""",
+    "articles sources",
+)
+def saved_entries(t):
+    entries = feeds.feed_entries(t.landed_feeds).withColumn("ingest_seq", F.col("feed_seq"))
+    found = feeds.video_id(F.when(F.col("url").startswith("https://www.youtube.com/"), F.col("url")))
+    return ingest.save_origin(entries, t.sources.filter("active"), F.col("summary"), F.lit("blog"), found)
+
+
+@query(
+    "unmatched_feeds", "J7",
+    f"select feed_url, count(*) as skipped from ({_ENTRIES}) e where not active group by feed_url", "articles sources",
+)
+def unmatched_feeds(t):
+    return ingest.unmatched_feeds(feeds.feed_entries(t.landed_feeds), t.sources.filter("active"))
+
+
 @query(
     "category_resolution", "J7",
     f"""select url, title, case category when 'en' then c.id end as source_id,

@@ -27,6 +27,7 @@ def page_text(t):
 
 
 _NO_SCRIPT = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:script|style)>.*?</(?:script|style)>', '{0}', 'g')"
+_TITLE = _decode("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 _PLAIN = (
     "array_to_string(list_filter(list_transform(regexp_split_to_array("
     + _decode(rf"regexp_replace({_NO_SCRIPT.format('')}, '<[a-zA-Z/!][^>]*>', '', 'g')")
@@ -34,7 +35,7 @@ _PLAIN = (
 )
 
 
-@query("page_plain_text", "X5", f"select url, {_PLAIN} as content, 'beautifulsoup' as extraction_method from pages")
+@query("page_plain_text", "X5", f"select url, {_TITLE} as title, {_PLAIN} as content, 'beautifulsoup' as extraction_method from pages")
 def page_plain_text(t):
     return pages.extracted_pages(t.landed_pages)
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedmill import fixed_values as fv, schemas
 from feedmill.functions.dates import feed_date
-from feedmill.functions.urls import channel_feed_url, channel_id, is_feed_url, video_id
+from feedmill.functions.urls import (
+    channel_feed_url, channel_id, channel_id_from_page, is_channel_page, is_feed_url, video_id,
+)
 from feedmill.operators.filters import published_within
 from feedmill.operators.joins import with_page_text
 
@@ -111,12 +113,20 @@ def tagged_entries(landed: DataFrame, categories: DataFrame, use_updated: bool =
     return feed_entries(listed, use_updated)
 
 
-def channel_feeds(channels: DataFrame, url: str = "url") -> DataFrame:
-    """Channels with the feed URL to read: built from the channel id, else the URL itself [S4]."""
-    channel = channel_id(F.col(url))
-    return channels.withColumn("channel_id", channel).withColumn(
-        "feed_url", F.coalesce(channel_feed_url(channel), F.col(url))
-    )
+def channel_feeds(channels: DataFrame, url: str = "url", pages: DataFrame | None = None) -> DataFrame:
+    """Channels with the feed URL to read: built from the channel id, else the URL itself [S4].
+
+    ``pages`` (url, html) resolves handle and name URLs.  The few such URLs meet the landed pages in
+    an inner join, so the pages are streamed past them, and only ids come back.
+    """
+    named = channels.withColumn("channel_id", channel_id(F.col(url)))
+    if pages is not None:
+        handles = named.filter(is_channel_page(F.col(url))).select(F.col(url).alias("url")).distinct()
+        found = pages.select("url", "html").join(handles, "url").select(
+            F.col("url").alias(url), channel_id_from_page(F.col("html")).alias("_in_page")
+        )
+        named = named.join(found, url, "left").withColumn("channel_id", F.coalesce("channel_id", "_in_page")).drop("_in_page")
+    return named.withColumn("feed_url", F.coalesce(channel_feed_url(F.col("channel_id")), F.col(url)))
 
 
 def channel_entries(landed: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,8 @@ def read_page_features(pages: DataFrame) -> DataFrame:
 
 
 def extracted_pages(pages: DataFrame) -> DataFrame:
-    """(url, content, extraction_method) of the extraction stage [X5]."""
-    return html.with_plain_text(pages.select("url", "html")).select(
-        "url", "content", F.lit("beautifulsoup").alias("extraction_method")
+    """(url, title, content, extraction_method) of the extraction stage [X5]."""
+    titled = pages.select("url", "html", html.document_title(F.col("html")).alias("title"))
+    return html.with_plain_text(titled).select(
+        "url", "title", "content", F.lit("beautifulsoup").alias("extraction_method")
     )

@@ -65,6 +65,21 @@ def test_tagging_and_transcripts(spark, landed):
     assert bronze.columns == schemas.FEED_ENTRIES.names
 
 
+def test_handles_are_resolved_by_their_page(spark):
+    channels = spark.createDataFrame(
+        [(1, "https://www.youtube.com/@known"), (2, "https://www.youtube.com/@lost"), (3, "https://www.youtube.com/channel/UCa"), (4, "https://e.com/feed.xml")],
+        "id long, url string",
+    )
+    pages = spark.createDataFrame(
+        [("https://www.youtube.com/@known", '{"channelId":"UCk-1"}'), ("https://e.com/feed.xml", '"externalId":"UCno"')], "url string, html string"
+    )
+    got = {r.id: (r.channel_id, r.feed_url) for r in feeds.channel_feeds(channels, pages=pages).collect()}
+    prefix = "https://www.youtube.com/feeds/videos.xml?channel_id="
+    assert got == {
+        1: ("UCk-1", prefix + "UCk-1"), 2: (None, "https://www.youtube.com/@lost"), 3: ("UCa", prefix + "UCa"), 4: (None, "https://e.com/feed.xml"),
+    }
+
+
 def test_blog_content_prefers_page_text(spark, landed):
     pages = spark.createDataFrame([("https://e.com/1", "full"), ("https://e.com/3", "")], "url string, page_text string")
     got = {r.title: r.content for r in feeds.blog_entries(landed.filter("feed_url = 'rss'"), pages).collect()}

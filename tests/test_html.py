@@ -58,6 +58,7 @@ def test_plain_text(spark):
     page = "<title>T</title><style>s</style><p> one  two </p>\r\n<p>th<b>ree</b></p><script>no</script><!-- c -->&copy; x"
     rows = spark.createDataFrame([("u", page)], "url string, html string")
     row = extracted_pages(rows).first()
+    assert row.title == "T"
     assert row.content == "T one\ntwo\nthree© x"
     assert row.content == html.tree_plain_text(html._tree(page))
 
