@@ -8,6 +8,7 @@ the JVM already answered and therefore costs nothing for those.
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -273,6 +274,17 @@ def tree_plain_text(root: _Node) -> str:
     return "\n".join(p.strip() for line in text.splitlines() for p in line.split("  ") if p.strip())
 
 
+def tree_document_title(root: _Node) -> str:
+    """Text of the title element, untouched [X5]."""
+    titles = root.nodes(frozenset(), "title")
+    return "".join(titles[0].texts(frozenset())) if titles else ""
+
+
+def tree_snippet(root: _Node) -> str:
+    """Text nodes joined by one blank [X9]."""
+    return root.joined(frozenset(fv.SNIPPET_NOISE_TAGS), " ")
+
+
 def _tree_udf(read):
     @F.pandas_udf(T.StringType())
     def apply(pages: pd.Series) -> pd.Series:
@@ -284,6 +296,13 @@ def _tree_udf(read):
 _main_text_udf = _tree_udf(tree_main_text)
 _title_udf = _tree_udf(tree_title)
 _plain_text_udf = _tree_udf(tree_plain_text)
+_document_title_udf = _tree_udf(tree_document_title)
+_snippet_udf = _tree_udf(tree_snippet)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else unescape(text))
 
 
 def _with(pages: DataFrame, html: str, out: str, fast: Column, slow) -> DataFrame:
@@ -309,9 +328,11 @@ def with_plain_text(pages: DataFrame, html: str = "html", out: str = "content")
     return _with(pages, html, out, _jvm_plain_text(F.col(html)), _plain_text_udf)
 
 
-def document_title(html: Column) -> Column:
+def with_document_title(pages: DataFrame, html: str = "html", out: str = "title") -> DataFrame:
     """Content of the title element as it stands, '' without one [X5]."""
-    return _let(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), _decoded)
+    element = F.regexp_extract(F.col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    fast = _let(element, lambda e: F.when(~_puzzling(e, ("title",)) & ~e.contains("<"), _decoded(e)))
+    return _with(pages, html, out, fast, _document_title_udf)
 
 
 def published_date(html: Column) -> Column:
@@ -323,9 +344,13 @@ def published_date(html: Column) -> Column:
     return F.coalesce(*[iso_date(text) for text in (published, publish, timed)])
 
 
-def snippet_text(content: Column) -> Column:
+def with_snippet_text(rows: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
     """Feed snippet -> text nodes joined by one blank [X9]."""
-    return _nodes(_without(content, fv.SNIPPET_NOISE_TAGS, "<!>"), " ")
+    fast = _let(
+        _without(F.col(content), fv.SNIPPET_NOISE_TAGS, "<!>"),
+        lambda m: F.when(~_puzzling(m, ("script", "style", "video")), _nodes(m, " ")),
+    )
+    return _with(rows, content, out, fast, _snippet_udf)
 
 
 def snippet_method(content: Column) -> Column:
@@ -333,8 +358,7 @@ def snippet_method(content: Column) -> Column:
     return F.when(content.isNull(), F.lit("raw")).otherwise(F.lit("rss_parse"))
 
 
-def markdown(html: Column) -> Column:
-    """Headings, paragraphs, list items and line breaks of a page as Markdown [X10, subset]."""
+def _raw_markdown(html: Column) -> Column:
     text = _without(html, fv.PAGE_NOISE_TAGS, "")
     text = F.regexp_replace(text, r"(?is)<head\b.*?</head\s*>", "")
     text = F.regexp_replace(text, r"\s+", " ")
@@ -343,5 +367,18 @@ def markdown(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)\s*<li\b[^>]*>\s*", "\n- ")
     text = F.regexp_replace(text, r"(?i)\s*<br\b[^>]*>\s*", "\n")
     text = F.regexp_replace(text, r"(?i)\s*</?(?:p|div|article|section|main|ul|ol|h[1-6]|body|html)\b[^>]*>\s*", "\n\n")
-    text = _decoded(F.regexp_replace(text, _TAG, ""))
-    return F.btrim(F.regexp_replace(text, r"\n\n+", "\n\n"), F.lit(_BLANKS))
+    return F.regexp_replace(F.regexp_replace(text, _TAG, ""), r"\n\n+", "\n\n")
+
+
+def with_markdown(pages: DataFrame, html: str = "html", out: str = "markdown") -> DataFrame:
+    """Headings, paragraphs, list items and line breaks of a page as Markdown [X10, subset].
+
+    Only texts with entities beyond the usual ones are decoded in Python.
+    """
+    raw, first = f"_{out}_raw", f"_{out}_jvm"
+    text = F.col(raw)
+    staged_text = pages.withColumn(raw, _raw_markdown(F.col(html))).withColumn(
+        first, F.when(~text.rlike(_OTHER_ENTITY), _decoded(text))
+    )
+    rest = _unescape_udf(F.when(F.col(first).isNull(), text))
+    return staged_text.withColumn(out, F.btrim(F.coalesce(first, rest), F.lit(_BLANKS))).drop(raw, first)

@@ -87,10 +87,11 @@ def blog_routes(t):
 
 
 # Main text of a page whose content sits in its article element, said in SQL.
+# The semicolon of these entities may be missing where a text was cut.
 def _decode(text: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
-                       ("&middot;", "·"), ("&amp;", "&")):
-        text = f"replace({text}, '{name}', '{char}')"
+    for name, char in (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "''"), ("&copy", "©"),
+                       ("&middot", "·"), ("&amp", "&")):
+        text = f"regexp_replace({text}, '{name};?', '{char}', 'g')"
     return text
 
 

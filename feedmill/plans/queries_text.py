@@ -69,8 +69,8 @@ def page_dates(t):
     + r""", E' \t\n\r')), lambda x: x <> ''), ' ') as content, 'rss_parse' as method from pages""",
 )
 def snippet_text(t):
-    return t.pages.select(
-        "page_id", html.snippet_text(F.col("html")).alias("content"), html.snippet_method(F.col("html")).alias("method")
+    return html.with_snippet_text(t.pages, "html", "content").select(
+        "page_id", "content", html.snippet_method(F.col("html")).alias("method")
     )
 
 
@@ -89,7 +89,7 @@ def _markdown_sql() -> str:
 
 @query("page_markdown", "X10", f"select page_id, {_markdown_sql()} as markdown from pages")
 def page_markdown(t):
-    return t.pages.select("page_id", html.markdown(F.col("html")).alias("markdown"))
+    return html.with_markdown(t.pages).select("page_id", "markdown")
 
 
 _CHANNEL = "concat('UC', substr(md5(cast(doc_id as varchar)), 1, 22))"

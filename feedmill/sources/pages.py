@@ -19,7 +19,7 @@ def read_page_features(pages: DataFrame) -> DataFrame:
 
 def extracted_pages(pages: DataFrame) -> DataFrame:
     """(url, title, content, extraction_method) of the extraction stage [X5]."""
-    titled = pages.select("url", "html", html.document_title(F.col("html")).alias("title"))
+    titled = html.with_document_title(pages.select("url", "html"))
     return html.with_plain_text(titled).select(
         "url", "title", "content", F.lit("beautifulsoup").alias("extraction_method")
     )

@@ -22,6 +22,7 @@ PAGES = {
     "nested noise": (f"<article>{LONG}<aside>x<aside>y</aside>z</aside></article>", "No Title", LONG.strip()),
     "odd quotes": (f'<article title="a > b"><p>{LONG}</p></article>', "No Title", LONG.strip()),
     "rare entity": (f"<article><h1>a&eacute;b</h1>{LONG}</article>", "aéb", f"aéb\n{LONG.strip()}"),
+    "cut entity": (f"<article><h1>a &amp; b&amp</h1>{LONG}</article>", "a & b&", f"a & b&\n{LONG.strip()}"),
     "lone signs": (f"<article>1 < 2 &amp; 3 {LONG}</article>", "No Title", f"1 < 2 & 3 {LONG.strip()}"),
     "comment": (f"<!-- <article>{LONG}no</article> --><article>{LONG}<!-- c -->tail</article>", "No Title", f"{LONG.strip()}\ntail"),
     "meta without content": ('<meta property="og:title"><p>x</p>', "No Title", "x"),
@@ -65,10 +66,13 @@ def test_plain_text(spark):
 
 def test_snippets_and_markdown(spark):
     one = spark.createDataFrame([("<p>Hello <b>big</b></p> <img src='x'><script>no</script>world &amp; co",), (None,)], "c string")
-    got = one.select(html.snippet_text(F.col("c")).alias("t"), html.snippet_method(F.col("c")).alias("m")).collect()
+    got = html.with_snippet_text(one, "c", "t").select("t", html.snippet_method(F.col("c")).alias("m")).collect()
     assert [tuple(r) for r in got] == [("Hello big world & co", "rss_parse"), (None, "raw")]
     page = spark.createDataFrame([("<head><title>t</title></head><h2>Head</h2><p>a<br>b</p><ul><li>x</li><li>y</li></ul><nav>n</nav>",)], "c string")
-    assert page.select(html.markdown(F.col("c"))).first()[0] == "## Head\n\na\nb\n\n- x\n- y"
+    odd = spark.createDataFrame([("<script>x<p>a&eacute;&amp</p>",), ("<p>a&eacute;&amp</p>",)], "c string")
+    assert [r.t for r in html.with_snippet_text(odd, "c", "t").collect()] == ["", "aé&"]
+    assert html.with_markdown(odd, "c", "m").collect()[1].m == "aé&"
+    assert html.with_markdown(page, "c", "m").first().m == "## Head\n\na\nb\n\n- x\n- y"
 
 
 _WORD = st.sampled_from(["text", " two  words ", "a &amp; b", "&copy;", "x\ny", "1 < 2", " ", ""])
