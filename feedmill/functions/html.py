@@ -82,15 +82,16 @@ def _puzzling(markup: Column, names: tuple[str, ...]) -> Column:
     return markup.rlike(rf"(?i)<(?:{_left_over(names)}|{_ODD_TAG})|{_OTHER_ENTITY}")
 
 
-def _meta(html: Column, attribute: str, value: str) -> tuple[Column, Column]:
-    """(tag present, its content) of the first meta tag with ``attribute="value"``."""
-    tag = F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b{attribute}\s*=\s*["']{value}["'])[^>]*>""", 0)
-    return tag != "", _attribute(tag, "content")
+def _meta_tag(html: Column, attribute: str, value: str) -> Column:
+    """The first meta tag with ``attribute="value"``, '' without one."""
+    return F.regexp_extract(html, rf"""(?is)<meta\b(?=[^>]*\b{attribute}\s*=\s*["']{value}["'])[^>]*>""", 0)
 
 
 def _attribute(tag: Column, name: str) -> Column:
+    """Decoded value of a tag's attribute, NULL when missing or empty."""
     quoted = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.nullif(_decoded(F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))), F.lit(""))
+    value = F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
+    return _let(value, lambda v: F.when(v != "", _decoded(v)))
 
 
 # --- JVM path -----------------------------------------------------------------------------
@@ -121,14 +122,13 @@ def _jvm_title(html: Column) -> Column:
         return F.when(~_puzzling(fragment, ("h1", "title")), _nodes(fragment, ""))
 
     def pick(markup: Column) -> Column:
-        has_og, og = _meta(markup, "property", "og:title")
-        has_twitter, twitter = _meta(markup, "name", "twitter:title")
+        og, twitter = _meta_tag(markup, "property", "og:title"), _meta_tag(markup, "name", "twitter:title")
         return (
             F.when(markup.rlike(rf"(?i)<(?:{_left_over(fv.PLAIN_TEXT_NOISE_TAGS)})"), F.lit(None))
             .when(markup.rlike(heading), _let(F.regexp_extract(markup, heading, 1), text))
             .when(_puzzling(markup, ("h1",)), F.lit(None))
-            .when(has_og, F.coalesce(og, F.lit(fv.NO_TITLE)))
-            .when(has_twitter, F.coalesce(twitter, F.lit(fv.NO_TITLE)))
+            .when(og != "", F.coalesce(_attribute(og, "content"), F.lit(fv.NO_TITLE)))
+            .when(twitter != "", F.coalesce(_attribute(twitter, "content"), F.lit(fv.NO_TITLE)))
             .when(markup.rlike(title), _let(F.regexp_extract(markup, title, 1), text))
             .otherwise(F.lit(fv.NO_TITLE))
         )
@@ -337,11 +337,19 @@ def with_document_title(pages: DataFrame, html: str = "html", out: str = "title"
 
 def published_date(html: Column) -> Column:
     """First readable date among the publication meta tags and the time element [X8]."""
-    markup = _without(html, fv.PLAIN_TEXT_NOISE_TAGS, "<!>")
-    _, published = _meta(markup, "property", "article:published_time")
-    _, publish = _meta(markup, "name", "publish_date")
-    timed = _attribute(F.regexp_extract(markup, r"(?is)<time\b[^>]*\bdatetime\s*=[^>]*>", 0), "datetime")
-    return F.coalesce(*[iso_date(text) for text in (published, publish, timed)])
+    time_tag = r"(?is)<time\b[^>]*\bdatetime\s*=[^>]*>"
+
+    def dated(tag: Column, attribute: str) -> Column:
+        return _let(_attribute(tag, attribute), iso_date)
+
+    def first_date(markup: Column) -> Column:
+        return F.coalesce(
+            dated(_meta_tag(markup, "property", "article:published_time"), "content"),
+            dated(_meta_tag(markup, "name", "publish_date"), "content"),
+            dated(F.regexp_extract(markup, time_tag, 0), "datetime"),
+        )
+
+    return _let(_without(html, fv.PLAIN_TEXT_NOISE_TAGS, "<!>"), first_date)
 
 
 def with_snippet_text(rows: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
@@ -359,14 +367,15 @@ def snippet_method(content: Column) -> Column:
 
 
 def _raw_markdown(html: Column) -> Column:
+    blocks = r"(?i) ?</?(?:p|div|article|section|main|ul|ol|h[1-6]|body|html)\b[^>]*> ?"
     text = _without(html, fv.PAGE_NOISE_TAGS, "")
     text = F.regexp_replace(text, r"(?is)<head\b.*?</head\s*>", "")
     text = F.regexp_replace(text, r"\s+", " ")
     for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i)\s*<h{level}\b[^>]*>\s*", f"\n\n{'#' * level} ")
-    text = F.regexp_replace(text, r"(?i)\s*<li\b[^>]*>\s*", "\n- ")
-    text = F.regexp_replace(text, r"(?i)\s*<br\b[^>]*>\s*", "\n")
-    text = F.regexp_replace(text, r"(?i)\s*</?(?:p|div|article|section|main|ul|ol|h[1-6]|body|html)\b[^>]*>\s*", "\n\n")
+        text = F.regexp_replace(text, rf"(?i) ?<h{level}\b[^>]*> ?", f"\n\n{'#' * level} ")
+    text = F.regexp_replace(text, r"(?i) ?<li\b[^>]*> ?", "\n- ")
+    text = F.regexp_replace(text, r"(?i) ?<br\b[^>]*> ?", "\n")
+    text = F.regexp_replace(text, blocks, "\n\n")
     return F.regexp_replace(F.regexp_replace(text, _TAG, ""), r"\n\n+", "\n\n")
 
 
