@@ -40,6 +40,10 @@ NO_PROMPT_TITLE = "N/A"
 DEFAULT_READER = "Reader"
 ELLIPSIS = "..."
 NO_LINK = "#"
+LINK_BASE_URL = "http://localhost:8000"
+PAGE_METHOD = "beautifulsoup"    # label of the plain-text extraction
+SNIPPET_METHOD = "rss_parse"     # label of a parsed feed snippet
+RAW_METHOD = "raw"               # label of a snippet kept as it came
 
 # --- Fixed values: error texts ------------------------------------------------------------
 EXTRACTION_FAILED = "Content extraction failed"

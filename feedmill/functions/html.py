@@ -363,7 +363,7 @@ def with_snippet_text(rows: DataFrame, content: str = "content", out: str = "tex
 
 def snippet_method(content: Column) -> Column:
     """How :func:`snippet_text` got its text: parsed, or the raw value kept."""
-    return F.when(content.isNull(), F.lit("raw")).otherwise(F.lit("rss_parse"))
+    return F.when(content.isNull(), F.lit(fv.RAW_METHOD)).otherwise(F.lit(fv.SNIPPET_METHOD))
 
 
 def _raw_markdown(html: Column) -> Column:

@@ -22,7 +22,7 @@ from feedmill.operators.scoring import OFFLINE_MODEL, Scorer, longest_sentences,
 from feedmill.session import staged
 
 BRAND = "Daily News Digest"
-BASE_URL = "http://localhost:8000"
+BASE_URL = fv.LINK_BASE_URL
 RULE = "-" * 80
 DOUBLE_RULE = "=" * 80
 

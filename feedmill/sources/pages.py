@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from feedmill import fixed_values as fv
 from feedmill.functions import html
 
 
@@ -21,5 +22,5 @@ def extracted_pages(pages: DataFrame) -> DataFrame:
     """(url, title, content, extraction_method) of the extraction stage [X5]."""
     titled = html.with_document_title(pages.select("url", "html"))
     return html.with_plain_text(titled).select(
-        "url", "title", "content", F.lit("beautifulsoup").alias("extraction_method")
+        "url", "title", "content", F.lit(fv.PAGE_METHOD).alias("extraction_method")
     )
