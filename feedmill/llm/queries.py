@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import bpe, decontaminate, repeats, shards, simhash
+from feedmill.llm import bpe, decontaminate, quality, repeats, shards, simhash, topk
 
 
 @dataclass(frozen=True)
@@ -104,3 +104,31 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 200 bytes that occur more than once."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+OP10_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as c
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, d.vec_id, list_inner_product(q.c, d.c)::bigint as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from s)
+where rank <= 5
+"""
+
+
+@query("op10_topk", OP10_SQL)
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
