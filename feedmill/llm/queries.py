@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import bpe, decontaminate, quality, repeats, shards, simhash, topk
+from feedmill.llm import bpe, decontaminate, lm, quality, repeats, shards, simhash, topk
 
 
 @dataclass(frozen=True)
@@ -132,3 +132,11 @@ where rank <= 5
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for each vector whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_lm")
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is what the labels call good and not toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return lm.score(docs, docs.join(good, "doc_id", "left_semi"))

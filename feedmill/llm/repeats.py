@@ -35,12 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedmill.llm.blocks import RangeHash, as_bytes, blocks
+from feedmill.llm.blocks import RangeHash, as_bytes, packed_chunks, unpacked
 
 LENGTH = 200
 PERIOD = 57
@@ -191,10 +190,6 @@ def _whole(chunk: Chunk, number: int, buckets: int) -> tuple[list[bytes], list[l
     return names, dealt
 
 
-def _read(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
 def _from_answers(chunk: Chunk, number: int, buckets: int, rows: list[dict]):
     """(candidate starts, repeated texts) as the first answers say."""
     by_kind: dict[int, dict[int, bytes]] = {SAMPLE: {}, WHOLE: {}, STRING: {}}
@@ -231,20 +226,6 @@ def remove_repeats(
     total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     buckets = max(32, -(-total * len(COVER) // (PERIOD * bucket)))
 
-    def pack(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            sizes = [len(t) for t in as_bytes(batch.column(0))]
-            for own in blocks(sizes, CHUNK_BYTES):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
-                    stream.write_batch(batch.slice(own.start, own.stop - own.start))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "blob"]
-                )
-                number += 1
-
     def questions(rows) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         columns = list(zip(*rows)) or [[]] * 5
@@ -253,7 +234,7 @@ def remove_repeats(
     def first(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chunk = Chunk(as_bytes(_read(blob).column(0).combine_chunks()), length)
+                chunk = Chunk(as_bytes(unpacked(blob).column(0).combine_chunks()), length)
                 if chunk.texts:
                     yield questions(_ask(number, SAMPLE, chunk.sample_names()[1], buckets))
                     texts, dealt = _whole(chunk, number, buckets)
@@ -263,7 +244,7 @@ def remove_repeats(
 
     def second(rows: pa.Table, answers: pa.Table) -> pa.Table:
         number, blob = rows["chunk"][0].as_py(), rows["blob"][0].as_py()
-        chunk = Chunk(as_bytes(_read(blob).column(0).combine_chunks()), length)
+        chunk = Chunk(as_bytes(unpacked(blob).column(0).combine_chunks()), length)
         asked = []
         if chunk.texts:
             starts, _, _ = _from_answers(chunk, number, buckets, answers.to_pylist())
@@ -272,7 +253,7 @@ def remove_repeats(
 
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
         number, blob = rows["chunk"][0].as_py(), rows["blob"][0].as_py()
-        table = _read(blob)
+        table = unpacked(blob)
         texts = as_bytes(table.column(0).combine_chunks())
         chunk = Chunk(texts, length)
         found: dict[bytes, tuple[bytes, int, int]] = {}
@@ -297,7 +278,7 @@ def remove_repeats(
         out += [pa.array([r[k] for r in result], pa.int64()) for k in (1, 2)]
         return pa.table([table.column(c) for c in columns] + out, names=columns + [f.name for f in added])
 
-    packed = docs.select(text, *columns).mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
+    packed = packed_chunks(docs.select(text, *columns), text, CHUNK_BYTES).repartition("chunk")
     asked = packed.mapInArrow(first, _QUESTIONS)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS).repartition("chunk")
     more = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(second, _QUESTIONS)

@@ -1,0 +1,49 @@
+import collections
+import math
+
+from feedmill.llm import lm, queries
+
+
+def model(texts):
+    after = collections.defaultdict(collections.Counter)
+    for t in texts:
+        t = bytes(4) + (t or "").encode()
+        for i in range(4, len(t)):
+            after[t[i - 4 : i]][t[i]] += 1
+    return after
+
+
+def loss(after, t):
+    t, out = bytes(4) + (t or "").encode(), 0.0
+    for i in range(4, len(t)):
+        seen = after.get(t[i - 4 : i], {})
+        n, types = sum(seen.values()), len(seen)
+        out -= math.log((seen.get(t[i], 0) + types / 256) / (n + types) if n else 1 / 256)
+    return out / max(1, len(t) - 4)
+
+
+def check(out, docs, target):
+    own, back = model(target), model([t for _, t in docs])
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.target_loss, 4), round(r.background_loss, 4), round(r.score, 4)) for r in out)
+    want = sorted((str(d), len((t or "").encode()), round(loss(own, t), 4), round(loss(back, t), 4), round(loss(own, t) - loss(back, t), 4)) for d, t in docs)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and all(abs(x - y) < 3e-4 for x, y in zip(a[2:], b[2:])), (a, b)
+
+
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 50)
+    docs = [(i, f"the cat {'sat on' if i % 3 else 'was'} the mat é{i}") for i in range(60)] + [(1, None), (2, ""), (None, "x"), (3, "long " * 400), (3, "long " * 400)]
+    target = ["the cat sat", None, "on the mat"]
+    df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id long, text string, score string").repartition(4)
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    check(lm.score(df, goal).collect(), docs, target)
+    check(lm.score(df, goal.limit(0), bucket_bytes=64).collect(), docs, [])
+    assert lm.score(df.limit(0), goal).count() == 0
+
+
+def test_query(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
+    out = queries.QUERIES["op2_lm"].run(spark, small).collect()
+    check(out, docs, [t for d, t in docs if d in good])
