@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import bpe, decontaminate, lm, quality, repeats, shards, simhash, topk
+from feedmill.llm import bpe, chat, decontaminate, licenses, lm, quality, repeats, shards, simhash, topk
 
 
 @dataclass(frozen=True)
@@ -140,3 +140,36 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     return lm.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families of every document."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_notices", F.array_join("families", ",").alias("families"), F.array_join("confirmed", ",").alias("confirmed"))
+
+
+#: Tool traffic read off the turns of ``conversations``: an assistant turn calls a tool and the next turn of a user
+#: is its result.  Every third call names the call two turns before; some arguments break their schema.
+CALLS = """
+select conv_id, turn, concat('c', turn) as call_id,
+  case when length(text) % 3 = 0 then 'search' when length(text) % 3 = 1 then 'measure' else 'open' end as name,
+  concat('{"text": "', regexp_replace(substring(text, 1, 20), '[^A-Za-z ]', ''), '", "size": ',
+    case when length(text) % 7 = 0 then '"many"' else cast(length(text) as string) end,
+    case when turn >= 3 and length(text) % 3 = 0 then concat(', "after": "$c', turn - 2, '"') else '' end, '}') as arguments
+from conversations where role = 'assistant'
+"""
+RESULTS = "select conv_id, turn, concat('c', turn - 1) as call_id, text as content from conversations where role = 'user' and turn > 0"
+SCHEMAS = """
+select * from values ('search', 'text', 'string', true), ('search', 'size', 'integer', true), ('search', 'after', 'string', false),
+  ('measure', 'text', 'string', true), ('measure', 'size', 'number', false), ('measure', 'unit', 'string', true) as t(tool, field, type, required)
+"""
+
+
+@query("op9_chat")
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered and validated calls and results of every conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    read = lambda sql: spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("from conversations", "from {turns}"), turns=turns)
+    found = chat.linked(read(CALLS), read(RESULTS), spark.sql(SCHEMAS))
+    return found.withColumn("errors", F.array_join("errors", "; "))
