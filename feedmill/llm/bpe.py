@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,102 +40,80 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """The merge queue: a heap of list positions per rank, and a three-level bitmap of ranks in use.
+class Merger:
+    """Encodes one pre-token at a time by a queue of merges; the queue is empty between calls.
 
-    Find-first-set on each level gives the lowest rank in use in constant time.  A bucket hands out its
-    leftmost position first.  Entries are never removed when a neighbour merges: the reader skips
-    positions whose pair has changed since.
+    A bucket per rank holds positions of the linked list of parts.  A two-level bitmap marks the ranks with
+    buckets: ``words`` has 256 ranks in each word, and a bit of ``top`` marks each word in use, so finding
+    the first set bit on both levels gives the lowest rank in constant time.  A bucket hands out its
+    leftmost position first.  Entries are not removed when a neighbour merges; positions whose pair has
+    changed since are skipped when they are read.  (The loops are written out for speed.)
     """
 
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            if bucket[-1] <= position:
-                bucket.append(position)
-            else:
-                insort(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def first(self) -> int:
-        """The lowest rank in use, or -1."""
-        if not self.top:
-            return -1
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[high]
-        word = (high << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        return (word << 6) + (bits & -bits).bit_length() - 1
-
-    def clear(self, rank: int) -> None:
-        del self.buckets[rank]
-        word = rank >> 6
-        self.low[word] &= ~(1 << (rank & 63))
-        if not self.low[word]:
-            self.mid[word >> 6] &= ~(1 << (word & 63))
-            if not self.mid[word >> 6]:
-                self.top &= ~(1 << (word >> 6))
-
-
-class Merger:
-    """Encodes one pre-token at a time; the queue is empty between calls."""
-
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.bits = [1 << k for k in range(max(256, len(self.words)))]
 
     def encode(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, self.queue
+        n, top, buckets, words, bits = len(piece), 0, self.buckets, self.words, self.bits
         # Part i is piece[i:end[i]]; it is alive while end[i] > 0, and previous[i] starts the part before it.
         end, previous = list(range(1, n + 1)), list(range(-1, n - 1))
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            bucket, at = queue.buckets[rank], 0
-            lower = False
-            while at < len(bucket) and not lower:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    top |= bits[rank >> 8]
+                    words[rank >> 8] |= bits[rank & 255]
+        while top:
+            word = (top & -top).bit_length() - 1
+            used = words[word]
+            rank = (word << 8) + (used & -used).bit_length() - 1
+            words[word] = used = used & (used - 1)
+            if not used:
+                top ^= bits[word]
+            bucket, at, lower = buckets.pop(rank), 0, False
+            while at < len(bucket):
+                if lower:  # a merge made a pair of lower rank: put the rest back
+                    buckets[rank] = bucket[at:]
+                    top |= bits[rank >> 8]
+                    words[rank >> 8] |= bits[rank & 255]
+                    break
                 i = bucket[at]
                 at += 1
                 middle = end[i]
-                if not middle or middle >= n or ranks.get(piece[i : end[middle]]) != rank:
+                if not middle or middle == n or get(piece[i : end[middle]]) != rank:
                     continue  # stale: a side of this pair has merged with something else
                 last = end[i] = end[middle]
                 end[middle] = 0
+                new = []
                 if last < n:
                     previous[last] = i
-                    after = ranks.get(piece[i : end[last]])
-                    if after is not None:
-                        queue.push(after, i)
-                        lower = after < rank
+                    new.append((get(piece[i : end[last]]), i))
                 left = previous[i]
                 if left >= 0:
-                    before = ranks.get(piece[left:last])
-                    if before is not None:
-                        queue.push(before, left)
-                        lower = lower or before < rank
-            if at == len(bucket):
-                queue.clear(rank)
-            else:
-                del bucket[:at]
+                    new.append((get(piece[left:last]), left))
+                for made, where in new:
+                    if made is None:
+                        continue
+                    if made in buckets:
+                        insort(buckets[made], where)
+                    else:
+                        buckets[made] = [where]
+                        top |= bits[made >> 8]
+                        words[made >> 8] |= bits[made & 255]
+                    lower = lower or made < rank
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : end[i]]])
+            ids.append(get(piece[i : end[i]]))
             i = end[i]
         return ids
 
@@ -207,14 +186,14 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merger, self.classes, self.hash = Merger(ranks), character_classes(), RangeHash()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, list[int]] = {}
 
-    def _ids(self, piece: bytes) -> np.ndarray:
+    def _ids(self, piece: bytes) -> list[int]:
         ids = self.known.get(piece)
         if ids is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = np.array(self.merger.encode(piece), np.uint32)
+            ids = self.merger.encode(piece)
             if len(piece) < 64:
                 self.known[piece] = ids
         return ids
@@ -238,7 +217,8 @@ class Encoder:
         found = [self._ids(data[b:e]) for b, e in zip(begin[example].tolist(), finish[example].tolist())]
         lengths = np.array([len(f) for f in found])
         token_lengths = lengths[which]
-        ids = gather(np.concatenate(found), (np.cumsum(lengths) - lengths)[which], token_lengths).astype("<u4").tobytes()
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        ids = gather(flat, (np.cumsum(lengths) - lengths)[which], token_lengths).astype("<u4").tobytes()
         before = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(token_lengths, out=before[1:])
         edges = 4 * before[np.searchsorted(starts, np.append(text_starts, len(points)))]

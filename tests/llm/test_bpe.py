@@ -63,7 +63,7 @@ def test_any_rank_table_merges_lowest_and_leftmost_first(piece, seed):
     want = [ranks[piece]] if piece in ranks else [ranks[p] for p in parts]
     merger = bpe.Merger(ranks)
     assert merger.encode(piece) == want
-    assert merger.queue.first() == -1 and not merger.queue.buckets
+    assert not merger.buckets and not any(merger.words)
 
 
 def test_long_text_in_pieces(monkeypatch):
