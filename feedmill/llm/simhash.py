@@ -44,6 +44,7 @@ WORDS = 4
 SEED = 42
 MAX_BITS = 4
 MOST_CHECKS = 1 << 20
+MARKS_PER_TASK = 8192
 
 #: Segments of the fingerprint: (first bit, bits), and their halves.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -200,7 +201,8 @@ def _apart(a: str, b: str) -> Column:
 
 def groups(marks: DataFrame, most_checks: int = MOST_CHECKS) -> DataFrame:
     """(fp, label) of different fingerprints ``marks`` (fp); linked ones share a label."""
-    keyed = _keyed(marks)
+    tasks = marks.count() // MARKS_PER_TASK + 1  # a task makes about a hundred keys of each fingerprint
+    keyed = _keyed(marks.select("fp").repartition(tasks))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
     members = staged(keyed.join(shared, "key"), "members")
     star = members.filter((F.col("fp") != F.col("first")) & (_apart("fp", "first") <= MAX_BITS))
