@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,6 +21,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_sizes(column: pa.Array) -> list[int]:
+    """Lengths of the values in bytes, without copying them; null is empty."""
+    return pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of one column, so that few values are copied at a time."""
+    for batch in batches:
+        for part in blocks(byte_sizes(batch.column(batch.schema.get_field_index(name))), limit):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def blocks(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[slice]:
     """Stretches of consecutive items of about ``limit`` bytes; an item is never cut."""
     start, total = 0, 0
@@ -89,7 +102,7 @@ def packed_chunks(df: DataFrame, text: str, limit: int) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            sizes = [len(t) for t in as_bytes(batch.column(batch.schema.get_field_index(text)))]
+            sizes = byte_sizes(batch.column(batch.schema.get_field_index(text)))
             for own in blocks(sizes, limit):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:

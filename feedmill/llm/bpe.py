@@ -9,7 +9,7 @@ batches, so there is no shuffle and a lost executor costs one partition.
 * Bytes that are not UTF-8 become the replacement character before encoding.
 * Repeated rows, and all other columns, are kept as they are; a column that is named like an added
   one is replaced.
-* A text is never cut inside a pre-token.  Texts of any length are worked off in pieces of about 2 MB,
+* A text is never cut inside a pre-token.  Texts of any length are worked off in pieces of bounded size,
   and a pre-token of n bytes takes O(n) queue steps.
 """
 
@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from feedmill.llm.blocks import BLOCK_BYTES, RangeHash, as_bytes, blocks, gather
+from feedmill.llm.blocks import BLOCK_BYTES, RangeHash, as_bytes, blocks, gather, in_slices
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
 #: Pre-tokens remembered per task; the memory is cleared when it is full.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -258,7 +258,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFr
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in in_slices(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
             texts = [t.decode("utf-8", "replace") for t in as_bytes(column)]
             ids = [found for _, found in encoder.many(texts)]
@@ -294,7 +294,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
                 out.append(gather(flat, starts[own], lengths[own]).tobytes())
             return b"".join(out)
 
-        for batch in batches:
+        for batch in in_slices(batches, ids):
             packed = as_bytes(batch.column(batch.schema.get_field_index(ids)))
             yield from _batches(
                 batch, kept, [3 * len(p) for p in packed],

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedmill.llm.blocks import as_bytes
+from feedmill.llm.blocks import as_bytes, in_slices
 
 MOST_EXAMPLES = 10_000
 FOLDS = 5
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     texts = rows.join(chosen, "_id").filter(F.col("_text").isNotNull()).dropDuplicates(["_id", "_good"])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, "_text"):
             x = [features(t).tobytes() for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "good"])
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     names = [f.name for f in kept]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, text):
             x = np.array([features(t) for t in as_bytes(batch.column(batch.schema.get_field_index(text)))], np.float64).reshape(-1, DIMENSION)
             s = model.scores(x)
             own = [batch.column(batch.schema.get_field_index(c)) for c in names]

@@ -16,7 +16,7 @@ Names replace comparing long ties byte by byte: a 64-bit hash of the string, of
 correctness; two different candidate strings get one name with a chance of 2**-63 or less per pair.
 Lexicographic order is not needed and not made: the buckets are ranges of names.
 
-Texts travel once, as compressed chunks of about 4 MB, and stay with their chunk; questions go out and
+Texts travel once, as compressed chunks of about 2 MB, and stay with their chunk; questions go out and
 answers (one bit per question) come back by chunk.  Inside a chunk equal names are asked once.  A text that
 occurs several times as a whole is named by 128 bits and only one copy asks for its strings, so a
 text held by a third of all rows costs little more than one.  Buckets hold about ``BUCKET`` questions
@@ -45,8 +45,8 @@ LENGTH = 200
 PERIOD = 57
 #: A perfect difference set: every difference modulo 57 occurs (fixed values).
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-CHUNK_BYTES = 4 << 20
-PIECE_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 BUCKET = 2_000_000
 
 SAMPLE, WHOLE, STRING = 0, 1, 2
@@ -100,7 +100,7 @@ class Chunk:
         reach = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(reach, np.maximum(flagged - (PERIOD - 1), 0), 1)
         np.add.at(reach, flagged + 1, -1)
-        possible = np.cumsum(reach[:-1]) > 0
+        possible = np.cumsum(reach[:-1], dtype=np.int32) > 0
         for i in np.flatnonzero(repeated).tolist():
             possible[self.offsets[i] : self.offsets[i] + self.sizes[i]] = first[i]
         for o, s in zip(self.offsets.tolist(), self.sizes.tolist()):
@@ -264,7 +264,7 @@ def remove_repeats(
             depth = np.zeros(len(chunk.data) + 1, np.int32)
             depth[starts] += 1
             depth[starts + length] -= 1  # starts differ, so no index occurs twice
-            covered = np.cumsum(depth[:-1]) > 0
+            covered = np.cumsum(depth[:-1], dtype=np.int32) > 0
             for i, t in enumerate(chunk.texts):
                 own = slice(chunk.offsets[i], chunk.offsets[i] + chunk.sizes[i])
                 gone = np.ones(len(t), bool) if repeated[i] else covered[own]

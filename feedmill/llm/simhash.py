@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.llm.blocks import BLOCK_BYTES, as_bytes
+from feedmill.llm.blocks import BLOCK_BYTES, as_bytes, in_slices
 from feedmill.llm.components import components
 from feedmill.session import staged
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             marks = np.array([fingerprint(t) for t in as_bytes(batch.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(marks, pa.int64())], names=["doc_id", "text_key", "fingerprint"]
