@@ -5,6 +5,7 @@ bigrams and trigrams.  Classes are none, unknown (a licence notice of no known f
 is trained here: the cue patterns below label paragraphs of a bounded sample of documents, and the standard
 notices of each family are added.  Every fifth example is held out of training; a temperature fitted on them
 calibrates the probabilities.  A notice whose best family stays below ``CERTAIN`` is called unknown.
+Only n-grams that occur in more notices than other paragraphs of the training set have weights.
 
 A predicted family is confirmed if its notice template and the paragraph share at least ``CONFIRMED``
 of the template's bigrams.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +111,10 @@ def fit(docs: DataFrame, text: str = "text", most: int = MOST_DOCUMENTS) -> tupl
     examples = examples.withColumn("fold", F.pmod(F.xxhash64("p"), F.lit(5)))
     template = F.col("p").isin(list(NOTICES.values()))
     examples = staged(examples.filter(F.size("grams") > 0).withColumn("training", (F.col("fold") != 0) | template), "examples")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=VOCABULARY, binary=True).fit(examples.filter("label > 0 AND training"))
+    seen = examples.filter("training").select(F.explode("grams").alias("gram"), (F.col("label") > 0).alias("notice"))
+    telling = seen.groupBy("gram").agg(F.count_if("notice").alias("n"), F.count_if(~F.col("notice")).alias("other")).filter("n > other")
+    grams = [r.gram for r in telling.orderBy(F.desc("n"), "gram").limit(VOCABULARY).collect()]
+    vocabulary = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="x").setBinary(True)
     vectors = vocabulary.transform(examples).coalesce(4)  # a bounded sample
     learner = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=30)
     model = learner.fit(vectors.filter("training"))
