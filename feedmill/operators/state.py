@@ -38,13 +38,14 @@ def fold_state(state: DataFrame, events: DataFrame) -> DataFrame:
     """Current state plus a batch of events -> next state; unseen articles get a row [D4]."""
     new = article_state(events)
     old = state.select(*new.columns)
+    late = F.col("n.updated_at") < F.col("o.updated_at")  # an older event adds its retries and replaces nothing
     both = old.alias("o").join(new.alias("n"), "article_id", "full_outer")
     return both.select(
         "article_id",
-        F.coalesce("n.status", "o.status").alias("status"),
-        F.coalesce("n.current_stage", "o.current_stage").alias("current_stage"),
+        F.when(late, F.coalesce("o.status", "n.status")).otherwise(F.coalesce("n.status", "o.status")).alias("status"),
+        F.when(late, F.coalesce("o.current_stage", "n.current_stage")).otherwise(F.coalesce("n.current_stage", "o.current_stage")).alias("current_stage"),
         (F.coalesce("o.retry_count", F.lit(0)) + F.coalesce("n.retry_count", F.lit(0))).alias("retry_count"),
-        F.coalesce("n.error_message", "o.error_message").alias("error_message"),
+        F.when(late, F.coalesce("o.error_message", "n.error_message")).otherwise(F.coalesce("n.error_message", "o.error_message")).alias("error_message"),
         F.greatest("o.updated_at", "n.updated_at").alias("updated_at"),
     )
 
@@ -65,11 +66,12 @@ def running_count(rows: DataFrame, key: str, time: str, tie: str, name: str) ->
     earlier = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(key, "_stretch", F.sum("_size").over(earlier).alias("_shift")).filter("_shift IS NOT NULL")
     inside = F.row_number().over(W.partitionBy(key, "_stretch").orderBy(time, tie))
+    shifts = shifts.select(F.col(key).alias("_of"), F.col("_stretch").alias("_at"), "_shift")
     return (
         kept.withColumn(name, inside)
-        .join(shifts, [key, "_stretch"], "left")
+        .join(shifts, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_stretch") == F.col("_at")), "left")
         .withColumn(name, F.col(name) + F.coalesce("_shift", F.lit(0)))
-        .drop("_stretch", "_shift")
+        .drop("_stretch", "_shift", "_of", "_at")
     )
 
 

@@ -132,3 +132,15 @@ def test_subscription_log(spark):
     requests = spark.createDataFrame([(1, "a@b.co"), (2, "bad"), (3, "n@e.co"), (4, "n@e.co")], "request_seq long, email string")
     outcome = {r.request_seq: r.outcome for r in changes.new_subscriptions(requests, subs).collect()}
     assert outcome == {1: "exists", 2: "invalid", 3: "created", 4: "exists"}
+
+
+def test_null_keys_are_numbered_like_any_other(spark):
+    rows = spark.createDataFrame([(None, i, i) for i in range(40)] + [(1, i, i) for i in range(40)], "k long, t long, e long")
+    out = state.running_count(rows.repartition(8), "k", "t", "e", "n").collect()
+    assert sorted(r.n for r in out if r.k is None) == sorted(r.n for r in out if r.k == 1) == list(range(1, 41))
+
+
+def test_a_late_event_does_not_replace_newer_state(spark):
+    newer = state.article_state(events(spark, [(2, 100, 1, "completed", "embed", None, None, None)]))
+    folded = state.fold_state(newer, events(spark, [(1, 1, 1, "pending", "extract", None, None, None)])).collect()
+    assert [(r.status, r.current_stage, r.updated_at.hour) for r in folded] == [("completed", "embed", 1)]
