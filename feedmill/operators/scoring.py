@@ -99,8 +99,15 @@ def score(
     return prompts.mapInPandas(run, SCORED)
 
 
-def encode(text: Column, encoder: Encoder) -> Column:
-    """Vectors of a text column by ``encoder``; blank texts and failed batches are NULL [F3, F4]."""
+def _limited(text: Column, limit: int | None) -> Column:
+    return embeddable(text) if limit is None else truncated(embeddable(text), limit)
+
+
+def encode(text: Column, encoder: Encoder, limit: int | None = None) -> Column:
+    """Vectors of a text column by ``encoder``; blank texts and failed batches are NULL [F3, F4].
+
+    Whole texts are read; ``limit`` cuts them for encoders that take no more.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -115,17 +122,18 @@ def encode(text: Column, encoder: Encoder) -> Column:
                 out = [None] * len(texts)
             yield pd.Series(out, dtype=object)
 
-    return vectors(truncated(embeddable(text), fv.EMBEDDING_CHARS))
+    return vectors(_limited(text, limit))
 
 
 def hashed_vectors(
-    rows: DataFrame, text: str, key: str = "id", dimension: int = fv.EMBEDDING_DIM, out: str = "embedding"
+    rows: DataFrame, text: str, key: str = "id", dimension: int = fv.EMBEDDING_DIM, out: str = "embedding",
+    limit: int | None = None,
 ) -> DataFrame:
     """(key, vector) by hashed term counts of unit length, computed by Spark ML in the JVM [F3, F4].
 
-    Blank texts have a NULL vector.
+    Whole texts are read unless a ``limit`` is given.  Blank texts have a NULL vector.
     """
-    prepared = rows.select(key, truncated(embeddable(F.col(text)), fv.EMBEDDING_CHARS).alias("_text"))
+    prepared = rows.select(key, _limited(F.col(text), limit).alias("_text"))
     filled = prepared.withColumn("_filled", F.coalesce("_text", F.lit("")))
     words = RegexTokenizer(inputCol="_filled", outputCol="_words", pattern=r"\s+", gaps=True)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension)

@@ -52,7 +52,7 @@ def test_encoder_batches_keep_blanks_in_place(spark):
 
     rows = spark.createDataFrame([(1, "abc"), (2, " "), (3, None), (4, "x" * 6000)], "id long, t string")
     got = {r.article_id: r.embedding for r in scoring.embed(rows, "t", encoder, "m").collect()}
-    assert got == {1: [3.0, 1.0], 2: None, 3: None, 4: [5000.0, 1.0]}
+    assert got == {1: [3.0, 1.0], 2: None, 3: None, 4: [6000.0, 1.0]}
 
     def broken(texts):
         raise RuntimeError("no model")
@@ -77,3 +77,11 @@ def test_outcome_events(spark):
         1: ("pending", "summarization", None, None), 2: ("pending", "embedding", None, None),
         3: ("completed", "embedding", None, None), 4: ("failed", "embedding", "e", "embedding"),
     }
+
+
+def test_vectors_read_whole_texts(spark):
+    head = "word " * 3000
+    rows = spark.createDataFrame([(1, head + "alpha"), (2, head + "beta")], "id long, text string")
+    whole = {r.id: r.embedding for r in scoring.hashed_vectors(rows, "text").collect()}
+    cut = {r.id: r.embedding for r in scoring.hashed_vectors(rows, "text", limit=5000).collect()}
+    assert whole[1] != whole[2] and cut[1] == cut[2]
