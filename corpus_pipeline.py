@@ -41,8 +41,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the checksum of the text that they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks), ranks)
-    return decoded.select(
+    return bpe.round_trip(docs, ranks).select(
         "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a hierarchical-bitmap rank queue, and decoding [op1].
 
 ``encode`` adds ``ids`` (token ids as little-endian unsigned 32-bit integers, one after another) and
-``n_tokens``; ``decode`` adds ``decoded`` (the bytes of the ids).  Both work row by row inside Arrow
+``n_tokens``; ``decode`` adds ``decoded`` (the bytes of the ids); ``round_trip`` does both.  They work row by row inside Arrow
 batches, so there is no shuffle and a lost executor costs one partition.
 
 * Each match of the pattern (a pre-token) is encoded separately; special tokens are ordinary text.
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import base64
 from bisect import insort
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,6 +33,11 @@ LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
 #: Pre-tokens remembered per task; the memory is cleared when it is full.
 REMEMBERED = 3 << 17
+#: Bytes of texts, or of ids, that a task holds unpacked at a time.
+SLICE_BYTES = 2 << 20
+
+IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+DECODED = [T.StructField("decoded", T.BinaryType())]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -186,14 +192,16 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merger, self.classes, self.hash = Merger(ranks), character_classes(), RangeHash()
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, piece: bytes) -> list[int]:
+    def _ids(self, piece: bytes) -> bytes:
+        """Packed ids, which take half the memory of a list."""
         ids = self.known.get(piece)
         if ids is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = self.merger.encode(piece)
+            own = self.merger.encode(piece)
+            ids = pack(f"<{len(own)}I", *own)
             if len(piece) < 64:
                 self.known[piece] = ids
         return ids
@@ -215,9 +223,9 @@ class Encoder:
         self.hash.load(np.frombuffer(data, np.uint8))
         _, example, which = np.unique(self.hash.names(begin, finish), return_index=True, return_inverse=True)
         found = [self._ids(data[b:e]) for b, e in zip(begin[example].tolist(), finish[example].tolist())]
-        lengths = np.array([len(f) for f in found])
+        lengths = np.array([len(f) for f in found]) // 4
         token_lengths = lengths[which]
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        flat = np.frombuffer(b"".join(found), "<u4")
         ids = gather(flat, (np.cumsum(lengths) - lengths)[which], token_lengths).astype("<u4").tobytes()
         before = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(token_lengths, out=before[1:])
@@ -250,15 +258,10 @@ def _batches(batch: pa.RecordBatch, kept: list[str], sizes: list[int], columns)
         )
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
-    """Every row with the ids of its text."""
-    fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    kept, schema = _with_columns(df, fields)
-    shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: its size does not depend on the data
-
+def _encoding(shared: Broadcast, kept: list[str], text: str) -> Callable:
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in in_slices(batches, text):
+        for batch in in_slices(batches, text, SLICE_BYTES):
             column = batch.column(batch.schema.get_field_index(text))
             texts = [t.decode("utf-8", "replace") for t in as_bytes(column)]
             ids = [found for _, found in encoder.many(texts)]
@@ -270,14 +273,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFr
                 ],
             )
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """Every row with the bytes of its ids.  An id that the ranks do not have is an error."""
-    kept, schema = _with_columns(df, [T.StructField("decoded", T.BinaryType())])
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-
+def _decoding(shared: Broadcast, kept: list[str], ids: str) -> Callable:
     def run(batches):
         tokens = sorted((rank, token) for token, rank in shared.value.items())
         lengths = np.full(tokens[-1][0] + 1, -1, np.int64)
@@ -294,11 +293,40 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
                 out.append(gather(flat, starts[own], lengths[own]).tobytes())
             return b"".join(out)
 
-        for batch in in_slices(batches, ids):
+        for batch in in_slices(batches, ids, SLICE_BYTES):
             packed = as_bytes(batch.column(batch.schema.get_field_index(ids)))
             yield from _batches(
                 batch, kept, [3 * len(p) for p in packed],
                 [("decoded", lambda part: pa.array([text_of(p) for p in packed[part]], pa.binary()))],
             )
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def _shared(df: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
+    return df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: its size does not depend on the data
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """Every row with the ids of its text."""
+    kept, schema = _with_columns(df, IDS)
+    return df.mapInArrow(_encoding(_shared(df, ranks), kept, text), schema)
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
+    """Every row with the bytes of its ids.  An id that the ranks do not have is an error."""
+    kept, schema = _with_columns(df, DECODED)
+    return df.mapInArrow(_decoding(_shared(df, ranks), kept, ids), schema)
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """Every row, without its text, with its ids and the bytes that those decode to.
+
+    The same as ``encode`` and then ``decode``, in one Python worker for each task instead of two.
+    """
+    shared = _shared(df, ranks)
+    names = {f.name for f in IDS + DECODED} | {text}
+    carried = [f for f in df.schema.fields if f.name not in names]
+    kept = [f.name for f in carried]
+    encoding, decoding = _encoding(shared, kept, text), _decoding(shared, kept + [f.name for f in IDS], "ids")
+    return df.mapInArrow(lambda batches: decoding(encoding(batches)), T.StructType(carried + IDS + DECODED))

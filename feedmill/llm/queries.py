@@ -38,8 +38,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks).drop("text")
-    return bpe.decode(encoded, ranks).select(
+    return bpe.round_trip(docs, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -81,6 +81,9 @@ def test_operator(spark):
         text = r.text or ""
         assert bytes(r.decoded) == text.encode() and r.n_tokens == len(TIK.encode_ordinary(text))
     assert bpe.decode(bpe.encode(df.limit(0), RANKS), RANKS).count() == 0
+    both = bpe.round_trip(df, RANKS)
+    assert "text" not in both.columns and both.limit(0).count() == 0
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(bpe.encode(df, RANKS), RANKS).select(both.columns).collect()))
 
 
 def test_query_equals_the_library(spark, small):
