@@ -119,17 +119,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_risk(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk by Adam over all examples."""
+    """Minimise the non-negative risk by Adam over all examples, which are kept in single precision."""
     if not len(positives) or not len(unlabelled):
         return Model(prior)
-    both = np.concatenate([positives, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+    many = len(positives) + len(unlabelled)
+    mean = (positives.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / many
+    squares = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (positives, unlabelled)) / many
+    scale = np.sqrt(np.maximum(squares - mean**2, 0))
     scale = np.where(scale > 1e-6, scale, np.inf)
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(both.shape[1]), 0.0
-    m = v = np.zeros(both.shape[1] + 1)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        out = x.astype(np.float32)
+        out -= mean.astype(np.float32)
+        out /= scale.astype(np.float32)
+        return out
+
+    p, u = scaled(positives), scaled(unlabelled)
+    w, b = np.zeros(len(mean)), 0.0
+    m = v = np.zeros(len(mean) + 1)
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
+        sp, su = (_sigmoid(x @ w.astype(np.float32) + b).astype(np.float32) for x in (p, u))
         risk = np.mean(-np.log(np.maximum(1 - su, 1e-12))) - prior * np.mean(-np.log(np.maximum(1 - sp, 1e-12)))
         rest = np.append(su @ u, su.sum()) / len(u) - prior * np.append(sp @ p, sp.sum()) / len(p)
         if risk < 0:
@@ -168,9 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "good"])
 
     found = texts.select("_text", "_good").mapInArrow(run, "x binary, good boolean").toArrow()  # 2 * most rows at most
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, DIMENSION).astype(np.float64)
-    known = np.array(found["good"].to_pylist(), bool)
-    return fit_risk(x[known], x[~known], float(np.clip(prior, 0.01, 0.99)))
+    known = found["good"].to_numpy()
+    x, at = np.empty((len(known), DIMENSION), np.float32), 0
+    for value in found["x"]:
+        x[at] = np.frombuffer(value.as_buffer(), np.float32)
+        at += 1
+    del found
+    positives, unlabelled = x[known], x[~known]
+    del x
+    return fit_risk(positives, unlabelled, float(np.clip(prior, 0.01, 0.99)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
