@@ -159,13 +159,12 @@ class _Node:
 
     def walk(self, skip: frozenset[str]):
         """This node and its descendants in page order, leaving out ``skip`` elements."""
-        yield self
-        for kid in self.kids:
-            if isinstance(kid, _Node):
-                if kid.tag not in skip:
-                    yield from kid.walk(skip)
-            elif kid:
-                yield kid
+        waiting: list[_Node | str] = [self]
+        while waiting:
+            found = waiting.pop()
+            yield found
+            if isinstance(found, _Node):
+                waiting += [k for k in reversed(found.kids) if (k.tag not in skip if isinstance(k, _Node) else k)]
 
     def texts(self, skip: frozenset[str]) -> list[str]:
         return [t for t in self.walk(skip) if isinstance(t, str)]

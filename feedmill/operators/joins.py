@@ -29,11 +29,14 @@ def with_summaries(articles: DataFrame, summaries: DataFrame, how: str = "inner"
 def one_summary(summaries: DataFrame) -> DataFrame:
     """The summary with the lowest id per article [W6].
 
+    Summaries without an id come after all others, the first by time and model.
+
     A map-side combined aggregate: an article with very many summaries sends one row per task, and
     the result is already partitioned by article for the joins that follow.
     """
     rest = [c for c in summaries.columns if c != "article_id"]
-    lowest = summaries.groupBy("article_id").agg(F.min_by(F.struct(*rest), "id").alias("_s"))
+    first = [F.col("id").isNull().alias("_no_id"), *(c for c in ("id", "created_at", "model") if c in rest)]
+    lowest = summaries.groupBy("article_id").agg(F.min_by(F.struct(*rest), F.struct(*first)).alias("_s"))
     return lowest.select("article_id", "_s.*")
 
 

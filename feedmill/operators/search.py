@@ -164,17 +164,17 @@ class CellIndex:
     ) -> "CellIndex":
         """Fit the cells, assign every vector with a direction and write the partitioned table.
 
-        The centres are fitted on about ``training_per_cell`` vectors per cell, since every
-        iteration passes over them; all vectors are then assigned in a single pass.
+        The centres are fitted on a sample of ``training_per_cell`` vectors per cell (all, if
+        fewer), chosen by a hash of the key, since every iteration passes over them; all vectors
+        are then assigned in a single pass.
         """
         spark = embeddings.sparkSession
         usable = embeddings.select(
             F.col(key).cast("long").alias("article_id"), F.col(vector).cast("array<float>").alias("embedding")
         ).filter(F.exists("embedding", lambda x: x != 0))
         featured = usable.withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
-        share = min(1.0, cells * training_per_cell / max(1, embeddings.count()))
-        chosen = F.pmod(F.xxhash64("article_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-        training = featured.filter(chosen).select("_features").persist()
+        sample = usable.orderBy(F.xxhash64("article_id"), "article_id").limit(cells * training_per_cell)
+        training = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("_features")).persist()
         try:
             model: KMeansModel = KMeans(
                 k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine",

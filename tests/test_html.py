@@ -100,3 +100,9 @@ def test_the_jvm_path_says_what_the_tree_says(spark, pages):
         assert row.main is None or row.main == html.tree_main_text(tree)
         assert row.plain is None or row.plain == html.tree_plain_text(tree)
         assert row.title is None or row.title == html.tree_title(tree)
+
+
+def test_a_deep_page_is_read(spark):
+    page = "<html><body><article>" + "<font>" * 3000 + "word " * 60 + "</article></body></html>"
+    row = html.with_plain_text(html.with_main_text(spark.createDataFrame([(page,)], "html string"))).head()
+    assert row.page_text.startswith("word word") and row.content.startswith("word word")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from feedmill.functions.dates import literal_time
-from feedmill.operators import changes, state
+from feedmill.operators import changes, joins, state
 
 EVENT = "event_id long, ts timestamp_ntz, article_id long, status string, stage string, error string, queue_name string, model string"
 
@@ -144,3 +144,9 @@ def test_a_late_event_does_not_replace_newer_state(spark):
     newer = state.article_state(events(spark, [(2, 100, 1, "completed", "embed", None, None, None)]))
     folded = state.fold_state(newer, events(spark, [(1, 1, 1, "pending", "extract", None, None, None)])).collect()
     assert [(r.status, r.current_stage, r.updated_at.hour) for r in folded] == [("completed", "embed", 1)]
+
+
+def test_summaries_without_id_are_kept(spark):
+    rows = [(None, 1, "b", "second"), (None, 1, "a", "first"), (7, 2, "b", "with id"), (None, 2, "a", "without")]
+    found = joins.one_summary(spark.createDataFrame(rows, "id long, article_id long, model string, summary string"))
+    assert {r.article_id: r.summary for r in found.collect()} == {1: "first", 2: "with id"}
