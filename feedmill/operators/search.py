@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from feedmill import fixed_values as fv
 
-MAX_QUERIES = 1024
-MAX_DIMENSION = 4096
+#: Numbers of query vectors that travel in one task closure; more queries are worked off in blocks.
+QUERY_FLOATS = 1 << 20
+MAX_GROUPS = 1024
 
 
 def check_arguments(query_text: str, limit: int) -> None:
@@ -30,13 +32,12 @@ def check_limit(limit: int) -> None:
 
 
 def _query_matrix(queries: Mapping[int, Sequence[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit rows of the queries.  They travel inside the task closure, so their number and
-    size are checked; a caller with more of them searches in several calls."""
-    if not 1 <= len(queries) <= MAX_QUERIES:
-        raise ValueError(f"give between 1 and {MAX_QUERIES} query vectors per search")
+    """Ids and unit rows of the queries."""
+    if not queries:
+        raise ValueError("give at least one query vector")
     matrix = np.array([list(v) for v in queries.values()], dtype="float64")
-    if matrix.ndim != 2 or matrix.shape[1] > MAX_DIMENSION:
-        raise ValueError(f"query vectors must share one dimension of at most {MAX_DIMENSION}")
+    if matrix.ndim != 2 or not matrix.shape[1]:
+        raise ValueError("query vectors must share one dimension")
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     if (lengths == 0).any():
         raise ValueError("a query vector of length zero has no direction")
@@ -49,16 +50,53 @@ def nearest(
     k: int,
     key: str = "article_id",
     vector: str = "embedding",
+    query_floats: int = QUERY_FLOATS,
 ) -> DataFrame:
     """(query_id, key, similarity, position) of the ``k`` most similar candidates per query [V1, V3].
 
     Every task scores its batches by one matrix product and hands on at most ``k`` rows per query
     (a map-side combined top-k); the final ranking sees tasks x k rows per query.  NULL vectors,
     other dimensions and zero vectors have no similarity and are left out; ties go to the lower key.
+    Queries of more than ``query_floats`` numbers are searched in blocks, one scan for each.
     """
     if k < 1:
         raise ValueError("k must be positive")
     ids, matrix = _query_matrix(queries)
+    block = max(1, query_floats // matrix.shape[1])
+    parts = [_nearest(candidates, ids[at : at + block], matrix[at : at + block], k, key, vector) for at in range(0, len(ids), block)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _usable(candidates: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
+    return candidates.filter(F.size(vector) == dimension).select(
+        F.col(key).cast("long").alias("candidate"), F.col(vector).cast("array<float>").alias("vector")
+    )
+
+
+def _directions(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit rows of the vectors with a direction."""
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(keys), dimension)
+    lengths = np.linalg.norm(rows, axis=1)
+    real = lengths > 0
+    return keys[real], rows[real] / lengths[real, None]
+
+
+def similarities(candidates: DataFrame, query: Sequence[float], key: str = "article_id", vector: str = "embedding") -> DataFrame:
+    """(key, similarity) of every candidate with a direction: scored in the scan, so vectors are never shuffled [V1]."""
+    _, matrix = _query_matrix({0: query})
+    unit, dimension = matrix[0], matrix.shape[1]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = _directions(batch, dimension)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows @ unit)], names=["candidate", "similarity"])
+
+    found = _usable(candidates, key, vector, dimension).mapInArrow(scored, "candidate long, similarity double")
+    return found.withColumnRenamed("candidate", key)
+
+
+def _nearest(candidates: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, key: str, vector: str) -> DataFrame:
     dimension = matrix.shape[1]
     scored_type = "query_id long, candidate long, similarity double"
 
@@ -72,12 +110,7 @@ def nearest(
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [(np.empty(0, "int64"), np.empty(0, "float64")) for _ in ids]
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64")
-            rows = flat.reshape(len(keys), dimension)
-            lengths = np.linalg.norm(rows, axis=1)
-            real = lengths > 0
-            keys, rows = keys[real], rows[real] / lengths[real, None]
+            keys, rows = _directions(batch, dimension)
             scores = rows @ matrix.T
             for i in range(len(ids)):
                 both_keys = np.concatenate([kept[i][0], keys])
@@ -91,10 +124,7 @@ def nearest(
                     names=["query_id", "candidate", "similarity"],
                 )
 
-    usable = candidates.filter(F.size(vector) == dimension).select(
-        F.col(key).cast("long").alias("candidate"), F.col(vector).cast("array<float>").alias("vector")
-    )
-    partials = usable.mapInArrow(partial, scored_type)
+    partials = _usable(candidates, key, vector, dimension).mapInArrow(partial, scored_type)
     ranked = partials.withColumn(
         "position",
         F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate")),
@@ -109,7 +139,7 @@ def nearest_to(
     return nearest(candidates, {0: query}, k, key, vector).drop("query_id")
 
 
-def group_centres(embeddings: DataFrame, group: str, vector: str = "embedding", max_groups: int = MAX_QUERIES) -> dict[int, list[float]]:
+def group_centres(embeddings: DataFrame, group: str, vector: str = "embedding", max_groups: int = MAX_GROUPS) -> dict[int, list[float]]:
     """Mean vector per group, for searching around each group's centre.
 
     At most ``max_groups`` small rows reach the driver; more groups are refused, not cut.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from feedmill.operators.joins import one_summary
 from feedmill.operators.scoring import Encoder, embed
-from feedmill.operators.search import check_arguments, check_limit, nearest_to
+from feedmill.operators.search import check_arguments, check_limit, similarities
 
 
 def search(
@@ -23,20 +23,21 @@ def search(
 ) -> DataFrame:
     """The ``limit`` best rows with article, source and summary [V1, J4].
 
-    The vectors are cut to ``limit`` (at most 50) rows before anything wide is read; those few ids
-    are then pushed into the scans of the article and summary tables.  An article with several
+    Vectors are scored where they are scanned and only (id, similarity) goes on; it is cut to ``limit``
+    (at most 50) rows before anything wide is read, and those few ids are pushed into the scans of the
+    article and summary tables.  An article with several
     summaries takes several places, unless ``per_article`` picks one summary each.  Vectors without
     article or source never take a place; ``trusted_keys`` skips that semi join where the store
     already enforces the references.
     """
     check_limit(limit)
-    candidates = embeddings.select("article_id", "embedding")
+    scored = similarities(embeddings, query)
     if not trusted_keys:
         present = articles.select(F.col("id").alias("article_id"), "source_id").join(
             sources.select(F.col("id").alias("source_id")), "source_id", "left_semi"
         )
-        candidates = candidates.join(present.select("article_id"), "article_id", "left_semi")
-    best = nearest_to(candidates, query, limit).select("article_id", "similarity").collect()
+        scored = scored.join(present.select("article_id"), "article_id", "left_semi")
+    best = scored.orderBy(F.desc("similarity"), "article_id").limit(limit).collect()
     ids = [row["article_id"] for row in best]
     hits = embeddings.sparkSession.createDataFrame(best, "article_id long, similarity double")
     found = articles.filter(F.col("id").isin(ids)).select(

@@ -38,7 +38,7 @@ def test_many_equal_scores_keep_the_lowest_ids(spark):
     assert [r.article_id for r in got] == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.parametrize("queries", [{}, {0: [0.0, 0.0]}, {i: [1.0] for i in range(knn.MAX_QUERIES + 1)}])
+@pytest.mark.parametrize("queries", [{}, {0: [0.0, 0.0]}, {0: [1.0], 1: [1.0, 2.0]}])
 def test_bad_queries_are_refused(spark, queries):
     with pytest.raises(ValueError):
         knn.nearest(table(spark, [[1, 1]]), queries, 1)
@@ -103,3 +103,19 @@ def test_centres_and_model_summary(spark):
         knn.group_centres(rows, "label", max_groups=1)
     got = {r.model: (r.n_vectors, r.min_dim, r.max_dim, r.wrong_dim) for r in knn.model_summary(rows, 2).collect()}
     assert got == {"m": (2, 2, 2, 0), "n": (1, 2, 2, 0)}
+
+
+def test_many_queries_are_worked_off_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i), float(7 - i)]) for i in range(8)], "article_id long, embedding array<float>")
+    queries = {i: [float(i + 1), 3.0] for i in range(9)}
+    whole, parts = (
+        sorted((r.query_id, r.position, r.article_id, round(r.similarity, 9)) for r in knn.nearest(rows, queries, 3, query_floats=n).collect())
+        for n in (knn.QUERY_FLOATS, 4)
+    )
+    assert len(whole) == 27 and parts == whole
+
+
+def test_similarities_equal_the_ranking(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [1.0])], "article_id long, embedding array<float>")
+    got = {r.article_id: round(r.similarity, 6) for r in knn.similarities(rows, [2.0, 0.0]).collect()}
+    assert got == {1: 1.0, 4: 0.707107}
