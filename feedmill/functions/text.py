@@ -26,20 +26,26 @@ def truncated(text: Column, limit: int, mark: str = "", always: bool = False) ->
     return cut if always else F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def summary_prompt(title: Column, content: Column, system_prompt: str = fv.SUMMARY_SYSTEM_PROMPT) -> Column:
-    """Instructions, title and content for the JSON summary [X14]."""
+def _body(content: Column, limit: int | None, mark: str = "") -> Column:
+    return content if limit is None else truncated(content, limit, mark)
+
+
+def summary_prompt(
+    title: Column, content: Column, system_prompt: str = fv.SUMMARY_SYSTEM_PROMPT, limit: int | None = fv.SUMMARY_PROMPT_CHARS
+) -> Column:
+    """Instructions, title and content for the JSON summary [X14]; the whole content without a ``limit``."""
     return F.concat(
         F.lit(f"{system_prompt}\n\n{fv.SUMMARY_PROMPT_HEAD}\n\nTitle: "),
         F.coalesce(present(title), F.lit(fv.NO_PROMPT_TITLE)),
         F.lit("\n\nContent:\n"),
-        truncated(content, fv.SUMMARY_PROMPT_CHARS, fv.ELLIPSIS),
+        _body(content, limit, fv.ELLIPSIS),
         F.lit(f"\n\n{fv.SUMMARY_PROMPT_TAIL}"),
     )
 
 
-def short_prompt(title: Column, content: Column, system_prompt: str) -> Column:
+def short_prompt(title: Column, content: Column, system_prompt: str, limit: int | None = fv.SHORT_PROMPT_CHARS) -> Column:
     """Two-to-three sentence prompt of the digest; missing content falls back to the title [X15]."""
-    body = F.coalesce(truncated(present(content), fv.SHORT_PROMPT_CHARS), title)
+    body = F.coalesce(_body(present(content), limit), title)
     return F.concat(
         F.lit(f"{system_prompt}\n\n{fv.SHORT_PROMPT_HEAD}\n\nTitle: "), title,
         F.lit("\nContent: "), body, F.lit("\n\nSummary:"),

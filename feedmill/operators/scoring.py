@@ -77,13 +77,16 @@ def score(
     attempts: int = fv.SCORER_ATTEMPTS,
     wait: tuple[float, float] = fv.SCORER_WAIT_SECONDS,
     spread: int | None = None,
+    content: Column | None = None,
 ) -> DataFrame:
     """One row per input row: summary and key points, or NULLs and the error [F1, F2].
 
-    Only the key and the prompt reach Python.  ``spread`` repartitions the rows first, for slow
+    Only the key and the prompt reach Python.  The offline scorer follows no instructions, so it reads
+    ``content`` instead, where that is given.  ``spread`` repartitions the rows first, for slow
     remote scorers whose calls should be in flight on many tasks.
     """
-    prompts = rows.select(F.col(key).cast("long").alias("article_id"), prompt.alias("prompt"))
+    read = content if scorer is longest_sentences and content is not None else prompt
+    prompts = rows.select(F.col(key).cast("long").alias("article_id"), read.alias("prompt"))
     if spread is not None:
         prompts = prompts.repartition(spread, "article_id")
 

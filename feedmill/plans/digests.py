@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedmill import fixed_values as fv
 from feedmill.functions.dates import literal_time, long_date, short_date
-from feedmill.functions.text import display_name, escape_html, prompt_entry, short_prompt, subject_line
+from feedmill.functions.text import best_text, display_name, escape_html, prompt_entry, short_prompt, subject_line
 from feedmill.functions.urls import subscriber_link, valid_email
 from feedmill.operators.filters import active_rows, published_within, scraped_within
 from feedmill.operators.joins import with_source, with_summaries
@@ -85,13 +85,18 @@ def scored_digest(
     scorer: Scorer = longest_sentences,
     model: str = OFFLINE_MODEL,
     system_prompt: str = "",
+    prompt_chars: int | None = None,
 ) -> DataFrame:
-    """Top articles scored at read time; failed ones drop out, without replacement [M2]."""
+    """Top articles scored at read time; failed ones drop out, without replacement [M2].
+
+    Whole contents are scored; ``prompt_chars`` cuts them for scorers that take no more.
+    """
     chosen = top_articles(articles, sources, as_of, hours, per_source).select(
         "id", "source_name", "title", "url", "published_at", "content", "position"
     )
-    prompt = short_prompt(F.col("title"), F.col("content"), system_prompt)
-    scored = score(chosen, prompt, scorer, model).filter(F.coalesce("summary", F.lit("")) != "")
+    prompt = short_prompt(F.col("title"), F.col("content"), system_prompt, prompt_chars)
+    content = best_text(F.col("content"), F.col("title"))
+    scored = score(chosen, prompt, scorer, model, content=content).filter(F.coalesce("summary", F.lit("")) != "")
     return chosen.drop("content").join(scored.select(F.col("article_id").alias("id"), "summary"), "id")
 
 

@@ -56,7 +56,7 @@ def digest_top_per_source(t):
     return top.select("id", "source_name", "title", "url", "published_at", "position")
 
 
-# The offline scorer in SQL: the three longest sentences of the prompt, in reading order.
+# The offline scorer in SQL: the three longest sentences of the whole content, in reading order.
 _SENTENCES = r"list_transform(regexp_extract_all({text}, '[^.!?]+[.!?]*'), lambda x: trim(x, E' \t\n\r\f\v'))"
 
 
@@ -68,13 +68,11 @@ def _longest_sql(text: str) -> str:
         order by length(sentence) desc, i limit 3) w)"""
 
 
-_SHORT_PROMPT = (
-    f"concat(E'\\n\\n{fv.SHORT_PROMPT_HEAD}\\n\\nTitle: ', title, E'\\nContent: ', "
-    "coalesce(substr(nullif(content, ''), 1, 2000), title), E'\\n\\nSummary:')"
-)
 _SCORED = f"""
-select id, source_name, title, url, published_at, position, {_longest_sql('prompt')} as summary
-from (select *, {_SHORT_PROMPT} as prompt from ({_TOP}) x) y"""
+select * from (
+  select id, source_name, title, url, published_at, position, {_longest_sql('body')} as summary
+  from (select *, coalesce(nullif(content, ''), title) as body from ({_TOP}) x) y) z
+where coalesce(summary, '') <> ''"""
 
 
 @query("digest_scored", "M2 F1 X15", _SCORED, "articles sources")

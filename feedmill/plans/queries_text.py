@@ -258,15 +258,15 @@ def parsed_responses(t):
 
 @query(
     "score_articles", "F1 F2 P10 X14 X17",
-    f"""select id as article_id, 'longest-sentences' as model, {_longest_sql('prompt')} as summary
-    from (select id, {SUMMARY_PROMPT} as prompt
-      from (select id, title, coalesce(nullif(full_content, ''), content) as content from articles) a
-      where length(content) >= 50) p""",
+    f"""select id as article_id, 'longest-sentences' as model, coalesce({_longest_sql('content')}, '') as summary
+    from (select id, coalesce(nullif(full_content, ''), content) as content from articles) a
+    where length(content) >= 50""",
     "articles",
 )
 def score_articles(t):
     accepted = gates.summary_gate(t.articles).filter("accepted")
-    scored = scoring.score(accepted, text.summary_prompt(F.col("title"), F.col("gate_text")))
+    prompt = text.summary_prompt(F.col("title"), F.col("gate_text"), limit=None)
+    scored = scoring.score(accepted, prompt, content=F.col("gate_text"))
     return scored.select("article_id", "model", "summary")
 
 

@@ -1,11 +1,13 @@
 """The three chained feature stages as incremental jobs: land -> extract -> summarise -> embed [T1].
 
 Each stage reads what the stage before has written since its last run and keeps its own
-checkpoint.  Every stage keeps one row per article, so running it again adds nothing.
+checkpoint.  Every stage keeps one row per article, and per model where a model makes the rows, so
+running it again adds nothing.  Failed calls are rows of ``failed`` and are tried again by the next run.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,8 +17,10 @@ from feedmill.functions.text import summary_prompt
 from feedmill.functions.urls import canonical_url
 from feedmill.operators.gates import embeddable
 from feedmill.operators.scoring import OFFLINE_MODEL, Encoder, Scorer, embed, longest_sentences, score
+from feedmill.operators.dedup import absent_keys
+from feedmill.session import staged
 from feedmill.sources.pages import read_page_features
-from feedmill.streaming.tables import file_stream, insert_if_absent, read_batches, run_available
+from feedmill.streaming.tables import file_stream, insert_if_absent, read_batches, run_available, write_batch
 
 LANDED = "page_id long, url string, html string"
 _L, _S = T.LongType(), T.StringType()
@@ -25,6 +29,7 @@ SILVER = T.StructType([T.StructField("id", _L), T.StructField("url", _S), T.Stru
 GOLD = T.StructType(
     [T.StructField("id", _L), T.StructField("model", _S), T.StructField("summary", _S), T.StructField("key_points", T.ArrayType(_S))]
 )
+FAILED = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("attempts", T.IntegerType()), T.StructField("error", _S)])
 VECTORS = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
@@ -58,23 +63,57 @@ def extract_stage(spark: SparkSession, layout: Layout) -> None:
     run_available(kept, insert_if_absent(layout.table("silver"), "id"), layout.checkpoint("silver"))
 
 
+def _model_number(batch: int, model: str) -> int:
+    """The folder number of one model's batch: models never share one, and a model's numbers ascend."""
+    return (batch << 32) + zlib.crc32(model.encode())
+
+
+def _summarise(layout: Layout, work: DataFrame, number: int, scorer: Scorer, model: str) -> None:
+    """Score articles once; summaries go to gold, failed calls with their error to ``failed``."""
+    prompt = summary_prompt(F.col("title"), F.col("content"), limit=None)
+    scored = score(work, prompt, scorer, model, content=F.col("content"))
+    scored = staged(scored.withColumnRenamed("article_id", "id"), "scored")
+    done = F.col("summary").isNotNull()
+    write_batch(scored.filter(done).select(*GOLD.names), layout.table("gold"), number)
+    write_batch(scored.filter(~done).select(*FAILED.names), layout.table("failed"), number)
+
+
 def summary_stage(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL) -> None:
-    """Silver -> gold: scored summaries; failed calls stop here and are read again by a backfill."""
-    silver = file_stream(spark, layout.table("silver"), SILVER)
-    scored = score(silver, summary_prompt(F.col("title"), F.col("content")), scorer, model)
-    kept = scored.filter(F.col("summary").isNotNull()).select(
-        F.col("article_id").alias("id"), "model", "summary", "key_points"
-    )
-    run_available(kept, insert_if_absent(layout.table("gold"), "id"), layout.checkpoint("gold"))
+    """Silver -> gold: one summary per article and model; articles that have theirs are not scored again."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        number = _model_number(batch_id, model)
+        earlier = read_batches(batch.sparkSession, layout.table("gold"), GOLD, before=number)
+        _summarise(layout, absent_keys(batch, earlier.filter(F.col("model") == model), "id"), number, scorer, model)
+
+    run_available(file_stream(spark, layout.table("silver"), SILVER), sink, layout.checkpoint(f"gold-{zlib.crc32(model.encode())}"))
+
+
+def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL) -> None:
+    """Score the articles again whose calls failed and that still have no summary of the model.
+
+    Retries are numbered downwards from -1, apart from the batches of the stream.
+    """
+    of_model = F.col("model") == model
+    failed = read_batches(spark, layout.table("failed"), FAILED).filter(of_model)
+    open_ids = absent_keys(failed.select("id").distinct(), read_stage(spark, layout, "gold").filter(of_model), "id")
+    work = staged(read_stage(spark, layout, "silver").join(open_ids, "id", "left_semi"), "retries")
+    if work.isEmpty():
+        return
+    least = failed.agg(F.min("batch_id")).first()[0]
+    retries = -(least >> 32) if least < 0 else 0
+    _summarise(layout, work, _model_number(-(retries + 1), model), scorer, model)
 
 
-def embedding_stage(spark: SparkSession, layout: Layout, encoder: Encoder | None = None) -> None:
-    """Gold -> vectors of the summaries."""
-    gold = file_stream(spark, layout.table("gold"), GOLD)
+def embedding_stage(
+    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL
+) -> None:
+    """Gold -> vectors of one model's summaries."""
+    gold = file_stream(spark, layout.table("gold"), GOLD).filter(F.col("model") == summary_model)
     long_enough = gold.filter(F.length(embeddable(F.col("summary"))) >= fv.EMBEDDING_MIN_CHARS)
     vectors = embed(long_enough, "summary", encoder).filter(F.col("embedding").isNotNull())
     kept = vectors.select(F.col("article_id").alias("id"), "model", "embedding")
-    run_available(kept, insert_if_absent(layout.table("vectors"), "id"), layout.checkpoint("vectors"))
+    run_available(kept, insert_if_absent(layout.table("vectors"), ["id", "model"]), layout.checkpoint("vectors"))
 
 
 def run_stages(
@@ -85,6 +124,7 @@ def run_stages(
     layout = Layout(root)
     ingest_pages(spark, landed, layout, files_per_batch, glob)
     extract_stage(spark, layout)
+    retry_summaries(spark, layout, scorer)
     summary_stage(spark, layout, scorer)
     embedding_stage(spark, layout, encoder)
     return layout
@@ -92,5 +132,5 @@ def run_stages(
 
 def read_stage(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
     """The current rows of one stage table."""
-    schema = {"bronze": BRONZE, "silver": SILVER, "gold": GOLD, "vectors": VECTORS}[name]
+    schema = {"bronze": BRONZE, "silver": SILVER, "gold": GOLD, "failed": FAILED, "vectors": VECTORS}[name]
     return read_batches(spark, layout.table(name), schema).drop("batch_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -44,21 +44,23 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def insert_if_absent(path: str, key: str, order: str | None = None) -> Callable[[DataFrame, int], None]:
+def insert_if_absent(path: str, key: str | Sequence[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that keeps one row per key over all batches [T7, D1, D6].
 
     With ``order`` the first row of a key in the batch wins; without it the rows of a key are equal.
     It compares with earlier batches only, so repeating a batch after a failure gives the same rows.
     """
 
+    keys = [key] if isinstance(key, str) else list(key)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         earlier = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
         if order is None:
-            write_batch(absent_keys(batch.dropDuplicates([key]), earlier, key), path, batch_id)
+            write_batch(absent_keys(batch.dropDuplicates(keys), earlier, keys), path, batch_id)
             return
         rows = batch.persist()
         try:
-            write_batch(insert_new(rows, earlier, key, order, required=(key,)), path, batch_id)
+            write_batch(insert_new(rows, earlier, keys[0], order, required=keys), path, batch_id)
         finally:
             rows.unpersist()
 

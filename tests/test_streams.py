@@ -63,3 +63,33 @@ def test_streams_equal_batch_over_several_files(spark, small, tmp_path):
     assert sorted(letters.collect()) == sorted(dead_letters(events).select(*letters.columns).collect())
     state.update_dead_letters(file_stream(spark, landed, events.schema, files_per_batch=1), str(tmp_path / "dead"), str(tmp_path / "c2"))
     assert state.read_dead_letters(spark, str(tmp_path / "dead")).count() == letters.count()
+
+
+def test_failed_summaries_are_tried_again_and_models_do_not_exclude_each_other(spark, tmp_path):
+    landed, layout = str(tmp_path / "landed"), stages.Layout(str(tmp_path / "out"))
+    land(spark, landed, [(i, f"https://e.com/{i}", html(i)) for i in range(3)])
+    calls = str(tmp_path / "calls")
+
+    def down(prompt):
+        raise RuntimeError("down")
+
+    def counted(prompt):
+        with open(calls, "a") as log:
+            log.write("x")
+        return '{"summary": "fine, and long enough"}'
+
+    def rows(name):
+        return stages.read_stage(spark, layout, name)
+
+    stages.ingest_pages(spark, landed, layout)
+    stages.extract_stage(spark, layout)
+    stages.summary_stage(spark, layout, lambda p: down(p) if "Page 1" in p else counted(p), "m1")
+    assert sorted(r.id for r in rows("gold").collect()) == [0, 2]
+    assert [(r.id, r.model, r.error) for r in rows("failed").collect()] == [(1, "m1", "RuntimeError: down")]
+    for scorer in (down, counted, counted):
+        stages.retry_summaries(spark, layout, scorer, "m1")
+    assert sorted(r.id for r in rows("gold").collect()) == [0, 1, 2] and rows("failed").count() == 2
+    stages.summary_stage(spark, layout, counted, "m2")
+    stages.summary_stage(spark, layout, counted, "m2")
+    assert sorted((r.id, r.model) for r in rows("gold").collect()) == [(i, m) for i in range(3) for m in ("m1", "m2")]
+    assert len(open(calls).read()) == 6
