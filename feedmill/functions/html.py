@@ -94,6 +94,12 @@ def _attribute(tag: Column, name: str) -> Column:
     return _let(value, lambda v: F.when(v != "", _decoded(v)))
 
 
+def _meta_title(tag: Column) -> Column:
+    """Content of a title's meta tag; empty stays empty, only a missing attribute has the default."""
+    given = tag.rlike(r"""(?is)\bcontent\s*=\s*(?:"[^"]*"|'[^']*')""")
+    return F.coalesce(_attribute(tag, "content"), F.when(given, F.lit("")), F.lit(fv.NO_TITLE))
+
+
 # --- JVM path -----------------------------------------------------------------------------
 
 
@@ -127,8 +133,8 @@ def _jvm_title(html: Column) -> Column:
             F.when(markup.rlike(rf"(?i)<(?:{_left_over(fv.PLAIN_TEXT_NOISE_TAGS)})"), F.lit(None))
             .when(markup.rlike(heading), _let(F.regexp_extract(markup, heading, 1), text))
             .when(_puzzling(markup, ("h1",)), F.lit(None))
-            .when(og != "", F.coalesce(_attribute(og, "content"), F.lit(fv.NO_TITLE)))
-            .when(twitter != "", F.coalesce(_attribute(twitter, "content"), F.lit(fv.NO_TITLE)))
+            .when(og != "", _meta_title(og))
+            .when(twitter != "", _meta_title(twitter))
             .when(markup.rlike(title), _let(F.regexp_extract(markup, title, 1), text))
             .otherwise(F.lit(fv.NO_TITLE))
         )
@@ -262,7 +268,7 @@ def tree_title(root: _Node) -> str:
     for attribute, value in (("property", "og:title"), ("name", "twitter:title")):
         for meta in metas:
             if meta.attrs.get(attribute) == value:
-                return meta.attrs.get("content") or fv.NO_TITLE
+                return fv.NO_TITLE if meta.attrs.get("content") is None else meta.attrs["content"]
     titles = root.nodes(skip, "title")
     return titles[0].joined(skip, "") if titles else fv.NO_TITLE
 

@@ -14,14 +14,14 @@ from feedmill.operators.filters import active_rows
 from feedmill.operators.joins import resolve_sources
 from feedmill.session import staged
 from feedmill.sources.feeds import blog_routes, channel_feeds, feed_entries
-from feedmill.sources.pages import read_page_features
+from feedmill.sources.pages import first_landed, read_page_features
 
 CANDIDATE = ("source_id", "title", "url", "content", "published_at", "video_id", "category", "ingest_seq")
 SCANNED_TYPES = ("youtube", "blog")
 
 
 def _sequence() -> Column:
-    """Ingest order: source id, then place in the document; unique while a source lands one document."""
+    """Ingest order: source id, then place in the landed documents; a page source has one row."""
     return F.struct(F.col("source_id"), F.col("feed_seq"), F.col("entry_seq"))
 
 
@@ -65,7 +65,7 @@ def scan_sources(
 
     ``landed_feeds`` is (feed_url, feed_seq, xml), ``landed_pages`` (url, html).  Other source types
     are skipped.  Video and blog feeds go through one scan and one parse; the look-back window
-    applies to videos only.
+    applies to videos only.  Of a page that landed several times the first counts.
     """
     ids = scanned_sources(sources).select(F.col("id").alias("source_id"), "source_type", "url")
     is_video = F.col("source_type") == "youtube"
@@ -79,7 +79,7 @@ def scan_sources(
         recent = F.col("published_at").isNull() | (F.col("published_at") >= cutoff(as_of, hours))
         entries = entries.filter(~is_video | recent)
     page_rows = (
-        read_page_features(landed_pages.join(single, "url"))
+        read_page_features(first_landed(landed_pages.join(single.select("url").distinct(), "url"), "html").join(single, "url"))
         .withColumn("feed_seq", F.lit(0).cast("long"))
         .withColumn("entry_seq", F.lit(0))
     )

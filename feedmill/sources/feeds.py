@@ -17,6 +17,7 @@ from feedmill.functions.urls import (
 )
 from feedmill.operators.filters import published_within
 from feedmill.operators.joins import with_page_text
+from feedmill.sources.pages import first_landed
 
 _BAD = "_bad_document"
 _ITEM = "title string, link string, description string, pubDate string, updated string, `dc:date` string"
@@ -122,9 +123,8 @@ def channel_feeds(channels: DataFrame, url: str = "url", pages: DataFrame | None
     named = channels.withColumn("channel_id", channel_id(F.col(url)))
     if pages is not None:
         handles = named.filter(is_channel_page(F.col(url))).select(F.col(url).alias("url")).distinct()
-        found = pages.select("url", "html").join(handles, "url").select(
-            F.col("url").alias(url), channel_id_from_page(F.col("html")).alias("_in_page")
-        )
+        landed = pages.join(handles, "url").withColumn("_in_page", channel_id_from_page(F.col("html"))).drop("html")
+        found = first_landed(landed, "_in_page").withColumnRenamed("url", url)
         named = named.join(found, url, "left").withColumn("channel_id", F.coalesce("channel_id", "_in_page")).drop("_in_page")
     return named.withColumn("feed_url", F.coalesce(channel_feed_url(F.col("channel_id")), F.col(url)))
 
@@ -148,7 +148,7 @@ def blog_routes(sources: DataFrame, url: str = "url") -> DataFrame:
 
 def blog_entries(landed: DataFrame, pages: DataFrame) -> DataFrame:
     """Blog feed entries whose content is the landed page's text, else the summary [S6]."""
-    return with_page_text(feed_entries(landed), pages)
+    return with_page_text(feed_entries(landed), first_landed(pages, "page_text"))
 
 
 def to_bronze(entries: DataFrame) -> DataFrame:

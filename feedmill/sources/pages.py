@@ -18,6 +18,14 @@ def read_page_features(pages: DataFrame) -> DataFrame:
     return html.with_main_text(html.with_title(dated)).select(*carried, "title", "published_at", "page_text")
 
 
+def first_landed(pages: DataFrame, value: str, url: str = "url") -> DataFrame:
+    """(url, value) of the first landed page per URL: the smallest ``page_id`` where the pages have one, else
+    the smallest checksum.  Pages whose value is NULL do not count.  A map-side combined minimum."""
+    place = ["page_id"] if "page_id" in pages.columns else []
+    order = F.struct(*place, F.xxhash64(value))
+    return pages.filter(F.col(value).isNotNull()).groupBy(url).agg(F.min_by(value, order).alias(value))
+
+
 def extracted_pages(pages: DataFrame) -> DataFrame:
     """(url, title, content, extraction_method) of the extraction stage [X5]."""
     titled = html.with_document_title(pages.select("url", "html"))

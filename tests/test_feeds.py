@@ -170,3 +170,28 @@ def test_status_labels_are_folded(spark):
     rows = spark.createDataFrame([("PENDING",), (" Failed ",), ("odd",), (None,)], "status string")
     got = schemas.normalise_enum(rows, "status", schemas.ALLOWED_VALUES["processing_queue", "status"]).collect()
     assert [tuple(r) for r in got] == [("pending", True), ("failed", True), ("odd", False), (None, False)]
+
+
+def test_pages_landed_twice_count_once(spark):
+    from feedmill.plans.ingest import ingest
+    from feedmill.sources.feeds import channel_feeds
+    from feedmill.sources.pages import first_landed
+
+    sources = spark.createDataFrame(
+        [(1, "Blog", "blog", "https://e.com/post", True), (2, "Same", "blog", "https://e.com/post", True)],
+        "id long, name string, source_type string, url string, active boolean",
+    )
+    page = "<h1>Post</h1><article>" + "A sentence that stands here. " * 5 + "</article>"
+    pages = spark.createDataFrame([("https://e.com/post", page), ("https://e.com/post", page), ("https://e.com/post", page + " ")], "url string, html string")
+    feeds = spark.createDataFrame([], "feed_url string, feed_seq long, xml string")
+    store = spark.createDataFrame([], "url string")
+    got = sorted((r.source_id, r.outcome) for r in ingest(sources, feeds, pages, store, "2024-01-31").collect())
+    assert got == [(1, "created"), (2, "duplicate")]
+
+    texts = spark.createDataFrame([("u", 2, "b"), ("u", 1, "z"), ("u", 0, None), ("v", 5, None)], "url string, page_id long, page_text string")
+    assert [tuple(r) for r in first_landed(texts, "page_text").collect()] == [("u", "z")]
+
+    handle = "https://www.youtube.com/@some"
+    html = '<link rel="canonical" href="https://www.youtube.com/channel/UC' + "a" * 22 + '"><script>"channelId":"UC' + "a" * 22 + '"</script>'
+    twice = spark.createDataFrame([(handle, html), (handle, html)], "url string, html string")
+    assert channel_feeds(spark.createDataFrame([(1, handle)], "id long, url string"), pages=twice).count() == 1

@@ -25,6 +25,7 @@ PAGES = {
     "cut entity": (f"<article><h1>a &amp; b&amp</h1>{LONG}</article>", "a & b&", f"a & b&\n{LONG.strip()}"),
     "lone signs": (f"<article>1 < 2 &amp; 3 {LONG}</article>", "No Title", f"1 < 2 & 3 {LONG.strip()}"),
     "comment": (f"<!-- <article>{LONG}no</article> --><article>{LONG}<!-- c -->tail</article>", "No Title", f"{LONG.strip()}\ntail"),
+    "empty og": ('<meta property="og:title" content=""><title>no</title><p>x</p>', "", "x"),
     "meta without content": ('<meta property="og:title"><p>x</p>', "No Title", "x"),
 }
 
