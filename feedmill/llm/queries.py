@@ -149,13 +149,14 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Tool traffic read off the turns of ``conversations``: an assistant turn calls a tool and the next turn of a user
-#: is its result.  Every third call names the call two turns before; some arguments break their schema.
+#: is its result.  The arguments hold the whole text of the turn.  Every third call names the call two turns before;
+#: some arguments break their schema.
 CALLS = """
 select conv_id, turn, concat('c', turn) as call_id,
   case when length(text) % 3 = 0 then 'search' when length(text) % 3 = 1 then 'measure' else 'open' end as name,
-  concat('{"text": "', regexp_replace(substring(text, 1, 20), '[^A-Za-z ]', ''), '", "size": ',
-    case when length(text) % 7 = 0 then '"many"' else cast(length(text) as string) end,
-    case when turn >= 3 and length(text) % 3 = 0 then concat(', "after": "$c', turn - 2, '"') else '' end, '}') as arguments
+  case when text is not null then to_json(named_struct('text', text,
+    'size', parse_json(case when length(text) % 7 = 0 then '"many"' else cast(length(text) as string) end),
+    'after', case when turn >= 3 and length(text) % 3 = 0 then concat('$c', turn - 2) end)) end as arguments
 from conversations where role = 'assistant'
 """
 RESULTS = "select conv_id, turn, concat('c', turn - 1) as call_id, text as content from conversations where role = 'user' and turn > 0"

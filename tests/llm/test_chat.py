@@ -70,3 +70,23 @@ def test_query(spark, medium):
         assert got[key].status == ("linked" if key in answers else "unanswered")
         assert json.loads(got[key].line)["call_id"] == key[1]
     assert max(depth.values()) >= 1
+
+
+def test_query_lines_hold_whole_texts(spark, medium, tmp_path):
+    turns = spark.read.parquet(f"{medium}/conversations.parquet")
+    odd = [(-1, 0, "user", "go"), (-1, 1, "assistant", 'said "a\\b"\r\n\tthen 5 ü 漢 😀 {}, ' * 30), (-1, 2, "user", 'and "so"\n'), (-2, 1, "assistant", None), (-3, 1, "assistant", "")]
+    more = spark.createDataFrame(odd, "conv_id long, turn int, role string, text string")
+    cols = ["conv_id", "turn", "role", "text"]
+    turns.select(cols).union(more.select([more[c].cast(turns.schema[c].dataType) for c in cols])).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.kind, r.turn): r.line for r in queries.QUERIES["op9_chat"].run(spark, str(tmp_path)).collect()}
+    want = {}
+    for r in spark.read.parquet(str(tmp_path / "conversations.parquet")).collect():
+        if r.role == "assistant":
+            n, arguments = len(r.text or ""), None
+            if r.text is not None:
+                arguments = {"text": r.text, "size": n if n % 7 else "many"} | ({"after": f"$c{r.turn - 2}"} if r.turn >= 3 and n % 3 == 0 else {})
+            name = "open" if r.text is None else ("search", "measure", "open")[n % 3]
+            want[r.conv_id, "call", r.turn] = {"arguments": arguments, "call_id": f"c{r.turn}", "name": name}
+        elif r.role == "user" and r.turn > 0:
+            want[r.conv_id, "result", r.turn] = {"call_id": f"c{r.turn - 1}", "content": r.text}
+    assert got == {k: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for k, v in want.items()}
