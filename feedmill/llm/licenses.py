@@ -5,15 +5,17 @@ bigrams and trigrams.  Classes are none, unknown (a licence notice of no known f
 is trained here: the cue patterns below label paragraphs of a bounded sample of documents, and the standard
 notices of each family are added.  Every fifth example is held out of training; a temperature fitted on them
 calibrates the probabilities.  A notice whose best family stays below ``CERTAIN`` is called unknown.
-Only n-grams that occur in more notices than other paragraphs of the training set have weights.
+All n-grams that occur in more notices than other paragraphs of the training set have weights, the templates'
+among them.  N-grams of exactly the same training paragraphs cannot be told apart, so they are learned as one feature
+whose weight they share evenly; the number of features follows the paragraphs and not the length of their texts.
 
 A predicted family is confirmed if its notice template and the paragraph share at least ``CONFIRMED``
 of the template's bigrams.
 
-DataFrame functions only: n-grams with a weight are found by a join on their 64-bit hash with at most
-``VOCABULARY`` weights (so the broadcast has a proven bound), and summed by paragraph; paragraphs
-without such n-grams are none.  The training set is limited by ``MOST_DOCUMENTS`` documents without and as many
-with cues, chosen by hash.
+DataFrame functions only: n-grams with a weight are found by a join on their 64-bit hash and summed by paragraph;
+paragraphs without such n-grams are none.  Up to ``MOST_BROADCAST`` weights are broadcast (so that has a proven
+bound), more are joined by shuffle.  The training set is limited by ``MOST_DOCUMENTS`` documents without and as many
+with cues, those of all documents whose hashes are smallest.
 
 * Null and empty texts have no paragraphs.  n-grams count once per paragraph, whatever the length of the paragraph.
 * Results belong to a (document id, text) pair, so repeated rows and ids are safe; every row comes back once.
@@ -63,7 +65,7 @@ ANY_CUE = r"licen[cs]e|copyright|all rights reserved|redistribution and use"
 FAMILIES = sorted(NOTICES)
 CLASSES = ["none", "unknown", *FAMILIES]
 MOST_DOCUMENTS = 2_000
-VOCABULARY = 4_096
+MOST_BROADCAST = 1 << 16
 CERTAIN = 0.5
 CONFIRMED = 0.6
 
@@ -100,29 +102,43 @@ def _notices(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _sample(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """(_t) of at most ``most`` different texts with cues and as many without; only hashes are dealt and sorted."""
+    own = F.col(text)
+    mark = F.xxhash64(F.lit(6), own)
+    marks = docs.filter(own.isNotNull()).select(mark.alias("_mark"), F.lower(own).rlike(ANY_CUE).alias("_cued")).distinct()
+    marks = staged(marks, "marks")
+    chosen = [marks.filter(F.col("_cued") == cued).orderBy("_mark").limit(most).select("_mark") for cued in (True, False)]
+    return docs.select(own.alias("_t"), mark.alias("_mark")).join(F.broadcast(chosen[0].union(chosen[1])), "_mark", "left_semi").select("_t").distinct()
+
+
 def fit(docs: DataFrame, text: str = "text", most: int = MOST_DOCUMENTS) -> tuple[DataFrame, list[float], float]:
     """(gram, w: a weight per class), the intercepts, and the temperature."""
-    spark, own = docs.sparkSession, F.col(text)
-    cued = docs.filter(F.lower(own).rlike(ANY_CUE)).select(own.alias("_t")).distinct().orderBy(F.xxhash64(F.lit(6), "_t"), "_t").limit(most)
-    plain = docs.filter(~F.lower(own).rlike(ANY_CUE) & (F.pmod(F.xxhash64(F.lit(6), own), F.lit(16)) == 0)).select(own.alias("_t")).distinct()
-    plain = plain.orderBy(F.xxhash64(F.lit(6), "_t"), "_t").limit(most)
-    sample = cued.union(plain).select(F.explode(_paragraphs(F.col("_t"))).alias("p")).union(_notices(spark).select(F.col("notice").alias("p")))
+    spark = docs.sparkSession
+    sample = _sample(docs, text, most).select(F.explode(_paragraphs(F.col("_t"))).alias("p")).union(_notices(spark).select(F.col("notice").alias("p")))
     examples = sample.filter("p != ''").distinct().select("p", _label(F.col("p")).alias("label"), _grams(words(F.col("p"))).alias("grams"))
     examples = examples.withColumn("fold", F.pmod(F.xxhash64("p"), F.lit(5)))
     template = F.col("p").isin(list(NOTICES.values()))
-    examples = staged(examples.filter(F.size("grams") > 0).withColumn("training", (F.col("fold") != 0) | template), "examples")
-    seen = examples.filter("training").select(F.explode("grams").alias("gram"), (F.col("label") > 0).alias("notice"))
-    telling = seen.groupBy("gram").agg(F.count_if("notice").alias("n"), F.count_if(~F.col("notice")).alias("other")).filter("n > other")
-    grams = [r.gram for r in telling.orderBy(F.desc("n"), "gram").limit(VOCABULARY).collect()]
-    vocabulary = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="x").setBinary(True)
-    vectors = vocabulary.transform(examples).coalesce(4)  # a bounded sample
+    examples = staged(examples.filter(F.size("grams") > 0).withColumn("training", (F.col("fold") != 0) | template).withColumn("row", F.xxhash64("p")), "examples")
+    seen = examples.filter("training").select("row", F.explode("grams").alias("gram"), (F.col("label") > 0).alias("notice"))
+    counts = seen.groupBy("gram").agg(F.count_if("notice").alias("n"), F.count_if(~F.col("notice")).alias("other")).filter("n > other")
+    # n-grams of the same rows have the same two sums of row hashes, which are added without gathering the rows
+    rows_of = seen.join(counts.select("gram"), "gram").groupBy("gram").agg(
+        F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("two"), F.count("*").alias("n")
+    )
+    telling = staged(rows_of.select("gram", F.concat_ws(".", "one", "two", "n").alias("feature")), "telling")
+    features = {r.feature: r.k for r in telling.groupBy("feature").agg(F.count("*").alias("k")).orderBy("feature").collect()}
+    held = examples.select("row", F.explode("grams").alias("gram")).join(telling, "gram").groupBy("row").agg(F.collect_set("feature").alias("features"))
+    inputs = examples.filter("training").select("row", "label").join(held, "row", "left")
+    inputs = inputs.select("label", F.coalesce("features", F.array().cast("array<string>")).alias("features"))
+    vectors = CountVectorizerModel.from_vocabulary(list(features), inputCol="features", outputCol="x").setBinary(True).transform(inputs)
     learner = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=30)
-    model = learner.fit(vectors.filter("training"))
+    model = learner.fit(vectors.coalesce(4))  # a bounded sample
     weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     classes = len(CLASSES)  # absent last classes have no row
-    rows = [[float(weights[c][j]) if c < len(weights) else 0.0 for c in range(classes)] for j in range(len(vocabulary.vocabulary))]
+    rows = [(f, [float(weights[c][j]) / k if c < len(weights) else 0.0 for c in range(classes)]) for j, (f, k) in enumerate(features.items())]
     biases = [float(intercepts[c]) if c < len(intercepts) else -50.0 for c in range(classes)]
-    table = spark.createDataFrame(list(zip(vocabulary.vocabulary, rows)), "gram string, w array<double>")
+    table = staged(telling.join(spark.createDataFrame(rows, "feature string, w array<double>"), "feature").select("gram", "w"), "weights")
     temperature = _temperature(examples.filter("fold = 0"), table, biases)
     return table, biases, temperature
 
@@ -154,12 +170,14 @@ def scan(docs: DataFrame, model: tuple[DataFrame, list[float], float], doc_id: s
     table, biases, temperature = model
     spark = docs.sparkSession
     grams = table.select(F.xxhash64(F.split("gram", " ")).alias("_key"), "w")
+    if table.count() <= MOST_BROADCAST:
+        grams = F.broadcast(grams)
     lines = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), F.posexplode(_paragraphs(F.col(text))).alias("_line", "_p"))
     parts = lines.withColumn("_words", words(F.col("_p"))).filter(F.size("_words") > 1)
     at = parts.select("*", F.posexplode("_words").alias("_at", "_word"))
     key = lambda n: F.xxhash64(F.slice("_words", F.col("_at") + 1, n))
     both = at.withColumn("_key", F.explode(F.array(key(2), key(3))))
-    found = both.join(F.broadcast(grams), "_key").select("_doc", "_text", "_line", "_p", "_key", "w").distinct()
+    found = both.join(grams, "_key").select("_doc", "_text", "_line", "_p", "_key", "w").distinct()
     scored = found.groupBy("_doc", "_text", "_line", "_p").agg(_scores(biases).alias("_scores"))
     families = F.slice("_scores", 3, len(FAMILIES))
     scored = scored.withColumn("_none", _chance(F.col("_scores"), F.get("_scores", F.lit(0)), temperature)).filter("_none < 0.5")

@@ -32,3 +32,23 @@ def test_query_agrees_with_the_notices_in_the_texts(spark, medium):
         want = sorted({f for f in licenses.FAMILIES for p in lines if re.search(licenses.CUES[f], p.lower())})
         wrong += ",".join(want) != r.families
     assert len(texts) > 900 and wrong <= 0.01 * len(texts)
+
+
+def test_a_rare_family_among_thousands_of_cue_lines(spark):
+    mpl = licenses.NOTICES["mpl-2.0"]
+    lines = [f"copyright a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(4000)]
+    rows = [(i, "\n".join([f"page {i} is about topic {i % 7}", *lines[4 * i : 4 * i + 4]])) for i in range(1000)]
+    rows += [(5000 + i, f"plain words {i} of a page and nothing else {i}") for i in range(300)]
+    rows += [(9000, f"page of code\n{mpl}"), (9001, mpl.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    table, *_ = model = licenses.fit(df)
+    assert table.count() > 4096 and {"mozilla public", "mozilla public license"} <= {r.gram for r in table.collect()}
+    got = {r._doc: (r.family, r.confirmed) for r in licenses.scan(df, model).filter("_doc >= 5000").collect()}
+    assert got == {9000: ("mpl-2.0", True), 9001: ("mpl-2.0", True)}
+    most = licenses.MOST_BROADCAST
+    try:
+        licenses.MOST_BROADCAST = 0
+        again = {r._doc: (r.family, r.confirmed) for r in licenses.scan(df, model).filter("_doc >= 5000").collect()}
+    finally:
+        licenses.MOST_BROADCAST = most
+    assert again == got
