@@ -1,7 +1,8 @@
 """Proportional stratified interleaving of rows into shards [op4].
 
 Rows are shuffled within each source by a seeded hash and ranked; a row's fractional rank is
-(rank + 1/2) / rows of its source.  Sorted by it, all sources advance at the same pace, so any stretch
+(rank + offset) / rows of its source, with a seeded offset per source in [0, 1).  Sorted by it, all sources
+advance at the same pace, and sources of few rows are spread evenly instead of meeting at 1/2, so any stretch
 of the order holds the mixture of the whole.  The order is cut into shards whose row counts differ by
 at most one (the law ``rows``).
 
@@ -77,8 +78,9 @@ def interleave(
         F.sum("_n").over(of_source).alias("_all"),
     )
     inside = F.row_number().over(W.partitionBy("_source", "_stretch").orderBy(*ties))
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_source"), 11) / F.lit(float(1 << 53))
     ranked = rows.join(offsets, ["_source", "_stretch"]).withColumn(
-        "_share", (F.col("_before") + inside - F.lit(0.5)) / F.col("_all")
+        "_share", F.least((F.col("_before") + inside - 1 + offset) / F.col("_all"), F.lit(1 - 2.0**-53))  # rounding may reach 1
     )
 
     ranked = ranked.withColumn("_cut", F.floor(F.col("_share") * (1 << bits)))

@@ -45,3 +45,11 @@ def test_query(spark, small):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     check(out.join(docs.select("doc_id", "source"), "doc_id").collect(), rows, 40)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_of_one_row_spread_over_shards(spark):
+    rows = [(i, f"text {i}", f"one {i}" if i % 3 == 0 else f"s{i % 2}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = shards.interleave(df, 10, ["doc_id", "source"]).collect()
+    ones = collections.Counter(r.shard for r in out if r.source.startswith("one"))
+    assert len(out) == 6000 and all(abs(ones[s] - 200) <= 60 for s in range(10))
