@@ -96,11 +96,13 @@ def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longes
     """
     of_model = F.col("model") == model
     failed = read_batches(spark, layout.table("failed"), FAILED).filter(of_model)
-    open_ids = absent_keys(failed.select("id").distinct(), read_stage(spark, layout, "gold").filter(of_model), "id")
+    gold = read_batches(spark, layout.table("gold"), GOLD).filter(of_model)
+    open_ids = absent_keys(failed.select("id").distinct(), gold.select("id"), "id")
     work = staged(read_stage(spark, layout, "silver").join(open_ids, "id", "left_semi"), "retries")
     if work.isEmpty():
         return
-    least = failed.agg(F.min("batch_id")).first()[0]
+    # A retry whose calls all succeed is in gold only, one whose calls all fail in ``failed`` only.
+    least = failed.select("batch_id").union(gold.select("batch_id")).agg(F.min("batch_id")).first()[0]
     retries = -(least >> 32) if least < 0 else 0
     _summarise(layout, work, _model_number(-(retries + 1), model), scorer, model)
 

@@ -93,3 +93,21 @@ def test_failed_summaries_are_tried_again_and_models_do_not_exclude_each_other(s
     stages.summary_stage(spark, layout, counted, "m2")
     assert sorted((r.id, r.model) for r in rows("gold").collect()) == [(i, m) for i in range(3) for m in ("m1", "m2")]
     assert len(open(calls).read()) == 6
+
+
+def test_successful_retries_keep_their_own_folders(spark, tmp_path):
+    landed, layout = str(tmp_path / "landed"), stages.Layout(str(tmp_path / "out"))
+
+    def down(prompt):
+        raise RuntimeError("down")
+
+    def up(prompt):
+        return '{"summary": "fine, and long enough"}'
+
+    for n in range(3):
+        land(spark, landed, [(n, f"https://e.com/{n}", html(n))])
+        stages.ingest_pages(spark, landed, layout)
+        stages.extract_stage(spark, layout)
+        stages.summary_stage(spark, layout, down, "m1")
+        stages.retry_summaries(spark, layout, up, "m1")
+        assert sorted(r.id for r in stages.read_stage(spark, layout, "gold").collect()) == list(range(n + 1))
