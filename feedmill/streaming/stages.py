@@ -3,23 +3,29 @@
 Each stage reads what the stage before has written since its last run and keeps its own
 checkpoint.  Every stage keeps one row per article, and per model where a model makes the rows, so
 running it again adds nothing.  Failed calls are rows of ``failed`` and are tried again by the next run.
+
+Every article a stage has worked on is a row of ``outcomes``, also one without enough text, summary or vector.
+They become processing events, from which state and dead letters follow; articles whose vector failed are tried again
+by the next run.  Texts that are too short are not: what has landed does not change.
 """
 
 from __future__ import annotations
 
+import datetime
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from feedmill import fixed_values as fv
 from feedmill.functions.text import summary_prompt
 from feedmill.functions.urls import canonical_url
 from feedmill.operators.gates import embeddable
-from feedmill.operators.scoring import OFFLINE_MODEL, Encoder, Scorer, embed, longest_sentences, score
+from feedmill.operators.scoring import HASHED_MODEL, OFFLINE_MODEL, Encoder, Scorer, embed, longest_sentences, outcome_events, score, stage_rows
 from feedmill.operators.dedup import absent_keys
 from feedmill.session import staged
 from feedmill.sources.pages import read_page_features
+from feedmill.streaming import state
 from feedmill.streaming.tables import file_stream, insert_if_absent, read_batches, run_available, write_batch
 
 LANDED = "page_id long, url string, html string"
@@ -31,6 +37,13 @@ GOLD = T.StructType(
 )
 FAILED = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("attempts", T.IntegerType()), T.StructField("error", _S)])
 VECTORS = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+OUTCOMES = T.StructType(
+    [T.StructField("article_id", _L), T.StructField("stage", _S), T.StructField("outcome", _S), T.StructField("error_message", _S), T.StructField("ts", T.TimestampNTZType())]
+)
+#: Stages in the order in which a run works on an article.
+STAGES = ("extraction", "summarization", "embedding")
+NO_VECTOR = fv.EMBEDDING_FAILED
+NO_SUMMARY = fv.SUMMARIZATION_FAILED
 
 
 @dataclass(frozen=True)
@@ -53,14 +66,40 @@ def ingest_pages(spark: SparkSession, landed: str, layout: Layout, files_per_bat
     run_available(rows, insert_if_absent(layout.table("bronze"), "canonical", "id"), layout.checkpoint("bronze"))
 
 
-def extract_stage(spark: SparkSession, layout: Layout) -> None:
-    """Bronze -> silver: title and main text; pages without enough text stop here."""
+def _next_time(spark: SparkSession, layout: Layout) -> datetime.datetime:
+    """A second after the last recorded outcome: runs follow one another without reading the clock."""
+    last = read_stage(spark, layout, "outcomes").agg(F.max("ts")).first()[0] or datetime.datetime(1970, 1, 1)
+    return last.replace(microsecond=0) + datetime.timedelta(seconds=1)
+
+
+def _record(layout: Layout, rows: DataFrame, number: int, stage: str, error: Column, at: datetime.datetime) -> None:
+    """One outcome for each row of (id, done); a stage of a run is a microsecond after the stage before."""
+    ts = F.lit(at + datetime.timedelta(microseconds=STAGES.index(stage))).cast("timestamp_ntz")
+    done = F.coalesce("done", F.lit(False))
+    found = stage_rows(rows.withColumnRenamed("id", "article_id"), stage, F.lit(False), ~done, error)
+    write_batch(found.withColumn("ts", ts).select(*OUTCOMES.names), layout.table("outcomes"), number)
+
+
+def _with_done(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """``rows`` with ``done``: whether their id was written; what made the written rows is not computed again."""
+    return rows.join(written.select("id").distinct().withColumn("done", F.lit(True)), "id", "left")
+
+
+def extract_stage(spark: SparkSession, layout: Layout, at: datetime.datetime | None = None) -> None:
+    """Bronze -> silver: title and main text; pages without enough text stop here with a failed outcome."""
+    at = at or _next_time(spark, layout)
     bronze = file_stream(spark, layout.table("bronze"), BRONZE)
     texts = read_page_features(bronze.select("id", "url", "html")).select(
         "id", "url", "title", F.col("page_text").alias("content")
     )
-    kept = texts.filter(F.length("content") >= fv.SUMMARY_MIN_CHARS)
-    run_available(kept, insert_if_absent(layout.table("silver"), "id"), layout.checkpoint("silver"))
+    insert = insert_if_absent(layout.table("silver"), "id")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        insert(batch.filter(F.length("content") >= fv.SUMMARY_MIN_CHARS), batch_id)
+        rows = _with_done(batch.select("id").distinct(), read_stage(batch.sparkSession, layout, "silver"))
+        _record(layout, rows, _model_number(batch_id, "extraction"), "extraction", F.lit(fv.EXTRACTION_FAILED), at)
+
+    run_available(texts, sink, layout.checkpoint("silver"))
 
 
 def _model_number(batch: int, model: str) -> int:
@@ -68,7 +107,7 @@ def _model_number(batch: int, model: str) -> int:
     return (batch << 32) + zlib.crc32(model.encode())
 
 
-def _summarise(layout: Layout, work: DataFrame, number: int, scorer: Scorer, model: str) -> None:
+def _summarise(layout: Layout, work: DataFrame, number: int, scorer: Scorer, model: str, at: datetime.datetime) -> None:
     """Score articles once; summaries go to gold, failed calls with their error to ``failed``."""
     prompt = summary_prompt(F.col("title"), F.col("content"), limit=None)
     scored = score(work, prompt, scorer, model, content=F.col("content"))
@@ -76,20 +115,23 @@ def _summarise(layout: Layout, work: DataFrame, number: int, scorer: Scorer, mod
     done = F.col("summary").isNotNull()
     write_batch(scored.filter(done).select(*GOLD.names), layout.table("gold"), number)
     write_batch(scored.filter(~done).select(*FAILED.names), layout.table("failed"), number)
+    error = F.coalesce(F.nullif("error", F.lit("")), F.lit(NO_SUMMARY))
+    _record(layout, scored.select("id", "error", done.alias("done")), _model_number(number >> 32, f"summarization {model}"), "summarization", error, at)
 
 
-def summary_stage(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL) -> None:
+def summary_stage(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None) -> None:
     """Silver -> gold: one summary per article and model; articles that have theirs are not scored again."""
+    at = at or _next_time(spark, layout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         number = _model_number(batch_id, model)
         earlier = read_batches(batch.sparkSession, layout.table("gold"), GOLD, before=number)
-        _summarise(layout, absent_keys(batch, earlier.filter(F.col("model") == model), "id"), number, scorer, model)
+        _summarise(layout, absent_keys(batch, earlier.filter(F.col("model") == model), "id"), number, scorer, model, at)
 
     run_available(file_stream(spark, layout.table("silver"), SILVER), sink, layout.checkpoint(f"gold-{zlib.crc32(model.encode())}"))
 
 
-def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL) -> None:
+def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None) -> None:
     """Score the articles again whose calls failed and that still have no summary of the model.
 
     Retries are numbered downwards from -1, apart from the batches of the stream.
@@ -104,18 +146,62 @@ def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longes
     # A retry whose calls all succeed is in gold only, one whose calls all fail in ``failed`` only.
     least = failed.select("batch_id").union(gold.select("batch_id")).agg(F.min("batch_id")).first()[0]
     retries = -(least >> 32) if least < 0 else 0
-    _summarise(layout, work, _model_number(-(retries + 1), model), scorer, model)
+    _summarise(layout, work, _model_number(-(retries + 1), model), scorer, model, at or _next_time(spark, layout))
+
+
+def _vectors(rows: DataFrame, encoder: Encoder | None) -> DataFrame:
+    vectors = embed(rows, "summary", encoder).filter(F.col("embedding").isNotNull())
+    return vectors.select(F.col("article_id").alias("id"), "model", "embedding")
+
+
+def _long_enough() -> Column:
+    return F.coalesce(F.length(embeddable(F.col("summary"))) >= fv.EMBEDDING_MIN_CHARS, F.lit(False))
 
 
 def embedding_stage(
-    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL
+    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL, at: datetime.datetime | None = None
 ) -> None:
-    """Gold -> vectors of one model's summaries."""
+    """Gold -> vectors of one model's summaries; summaries that are too short and failed calls are failed outcomes."""
     gold = file_stream(spark, layout.table("gold"), GOLD).filter(F.col("model") == summary_model)
-    long_enough = gold.filter(F.length(embeddable(F.col("summary"))) >= fv.EMBEDDING_MIN_CHARS)
-    vectors = embed(long_enough, "summary", encoder).filter(F.col("embedding").isNotNull())
-    kept = vectors.select(F.col("article_id").alias("id"), "model", "embedding")
-    run_available(kept, insert_if_absent(layout.table("vectors"), ["id", "model"]), layout.checkpoint("vectors"))
+    insert, at = insert_if_absent(layout.table("vectors"), ["id", "model"]), at or _next_time(spark, layout)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        insert(_vectors(batch.filter(_long_enough()), encoder), batch_id)
+        written = read_stage(batch.sparkSession, layout, "vectors").filter(F.col("model") == HASHED_MODEL)
+        rows = _with_done(batch.select("id", _long_enough().alias("long")).dropDuplicates(["id"]), written)
+        error = F.when(F.col("long"), F.lit(NO_VECTOR)).otherwise(F.lit(fv.INSUFFICIENT_TEXT))
+        _record(layout, rows, _model_number(batch_id, "embedding"), "embedding", error, at)
+
+    run_available(gold, sink, layout.checkpoint("vectors"))
+
+
+def retry_vectors(
+    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL, at: datetime.datetime | None = None
+) -> None:
+    """Embed the summaries again whose calls failed and that still have no vector; numbered like ``retry_summaries``."""
+    outcomes = read_batches(spark, layout.table("outcomes"), OUTCOMES).filter("stage = 'embedding'")
+    vectors = read_batches(spark, layout.table("vectors"), VECTORS).filter(F.col("model") == HASHED_MODEL)
+    failed = outcomes.filter(F.col("error_message") == NO_VECTOR).select(F.col("article_id").alias("id")).distinct()
+    open_ids = absent_keys(failed, vectors.select("id"), "id")
+    gold = read_stage(spark, layout, "gold").filter(F.col("model") == summary_model)
+    work = staged(gold.join(open_ids, "id", "left_semi"), "retries")
+    if work.isEmpty():
+        return
+    least = outcomes.select("batch_id").union(vectors.select("batch_id")).agg(F.min("batch_id")).first()[0]
+    retry = -((-(least >> 32) if least < 0 else 0) + 1)
+    found = staged(_vectors(work, encoder), "vectors")
+    write_batch(found, layout.table("vectors"), _model_number(retry, "embedding"))
+    _record(layout, _with_done(work.select("id").distinct(), found), _model_number(retry, "embedding"), "embedding", F.lit(NO_VECTOR), at or _next_time(spark, layout))
+
+
+def outcome_stage(spark: SparkSession, layout: Layout) -> None:
+    """Outcomes -> processing events -> the state of every article, and dead letters past the retry limit [F6, T2, T3]."""
+    def events() -> DataFrame:
+        found = outcome_events(file_stream(spark, layout.table("outcomes"), OUTCOMES), 0, F.col("ts"))
+        return found.withColumn("event_id", F.xxhash64("article_id", "ts"))  # one id per article and stage of a run
+
+    state.update_state(events(), layout.table("state"), layout.checkpoint("state"))
+    state.update_dead_letters(events(), layout.table("letters"), layout.checkpoint("letters"))
 
 
 def run_stages(
@@ -125,14 +211,17 @@ def run_stages(
     """Bring all stages up to date with what has landed."""
     layout = Layout(root)
     ingest_pages(spark, landed, layout, files_per_batch, glob)
-    extract_stage(spark, layout)
-    retry_summaries(spark, layout, scorer)
-    summary_stage(spark, layout, scorer)
-    embedding_stage(spark, layout, encoder)
+    at = _next_time(spark, layout)
+    extract_stage(spark, layout, at)
+    retry_summaries(spark, layout, scorer, at=at)
+    summary_stage(spark, layout, scorer, at=at)
+    retry_vectors(spark, layout, encoder, at=at)
+    embedding_stage(spark, layout, encoder, at=at)
+    outcome_stage(spark, layout)
     return layout
 
 
 def read_stage(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
     """The current rows of one stage table."""
-    schema = {"bronze": BRONZE, "silver": SILVER, "gold": GOLD, "failed": FAILED, "vectors": VECTORS}[name]
+    schema = {"bronze": BRONZE, "silver": SILVER, "gold": GOLD, "failed": FAILED, "vectors": VECTORS, "outcomes": OUTCOMES}[name]
     return read_batches(spark, layout.table(name), schema).drop("batch_id")

@@ -111,3 +111,32 @@ def test_successful_retries_keep_their_own_folders(spark, tmp_path):
         stages.summary_stage(spark, layout, down, "m1")
         stages.retry_summaries(spark, layout, up, "m1")
         assert sorted(r.id for r in stages.read_stage(spark, layout, "gold").collect()) == list(range(n + 1))
+
+
+def test_failed_vectors_and_gated_pages_are_outcomes_with_state_retries_and_dead_letters(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "out")
+
+    def down(texts):
+        raise RuntimeError("down")
+
+    def up(texts):
+        return [[1.0, 2.0] for _ in texts]
+
+    def states(layout):
+        return {r.article_id: (r.status, r.current_stage, r.retry_count) for r in state.current_state(spark, layout.table("state")).collect()}
+
+    def letters(layout):
+        return sorted((r.article_id, r.queue_name, r.retry_count) for r in state.read_dead_letters(spark, layout.table("letters")).collect())
+
+    land(spark, landed, [(1, "https://e.com/1", html(1)), (2, "https://e.com/2", "<p>short</p>")])
+    gated = ("failed", "extraction", 1)
+    for n in range(1, state.fv.MAX_RETRIES + 1):
+        layout = stages.run_stages(spark, landed, root, encoder=down)
+        assert stages.read_stage(spark, layout, "vectors").count() == 0
+        assert states(layout) == {1: ("failed", "embedding", n), 2: gated}
+    assert letters(layout) == [(1, "embedding", state.fv.MAX_RETRIES)]
+    for _ in range(2):
+        stages.run_stages(spark, landed, root, encoder=up)
+        assert [r.id for r in stages.read_stage(spark, layout, "vectors").collect()] == [1]
+        assert states(layout) == {1: ("completed", "embedding", state.fv.MAX_RETRIES), 2: gated}
+    assert letters(layout) == [(1, "embedding", state.fv.MAX_RETRIES)]
