@@ -13,7 +13,8 @@ steps that each move a few bytes per suffix, one bucket of suffixes at a time:
 
 Names replace comparing long ties byte by byte: a 64-bit hash of the string, of which the bucket and 56
 (sample: 32) more bits are sent.  Sample names only choose candidates, so a false match there costs time, not
-correctness; two different candidate strings get one name with a chance of 2**-63 or less per pair.
+correctness.  Equality of candidate strings rests on their names and is not checked on bytes: with 32 buckets or more
+two different ones count as equal with a chance of 2**-61 or less per pair.
 Lexicographic order is not needed and not made: the buckets are ranges of names.
 
 Texts travel once, as compressed chunks of about 2 MB, and stay with their chunk; questions go out and
@@ -110,7 +111,8 @@ class Chunk:
 
 def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by (bucket, name), and where each bucket's part begins."""
-    bucket = ((names >> np.uint64(56)) * np.uint64(1 << 24) + ((names >> np.uint64(32)) & np.uint64(0xFFFFFF))) % np.uint64(buckets)
+    # Bits 56-63, which are not sent, come last, so 32 buckets or more tell at least five of them apart.
+    bucket = (((names >> np.uint64(32)) & np.uint64(0xFFFFFF)) * np.uint64(1 << 8) + (names >> np.uint64(56))) % np.uint64(buckets)
     order = np.lexsort((names, bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 

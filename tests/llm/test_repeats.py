@@ -76,3 +76,10 @@ def test_query(spark, small):
     want = brute([r.text.encode() for r in rows], 200)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op7_repeats"].run(spark, small).collect()}
     assert got == {r.doc_id: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, want)}
+
+
+def test_buckets_tell_names_apart_that_differ_in_the_bits_not_sent():
+    for buckets in (32, 33, 48, 256, 1000):
+        names = (np.arange(256, dtype=np.uint64) << np.uint64(56)) + np.uint64(0x0012345600ABCDEF)
+        _, edges = repeats._dealt(names, buckets)
+        assert np.diff(edges).max() <= -(-256 // buckets)
