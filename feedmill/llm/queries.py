@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import bpe, chat, decontaminate, licenses, lm, quality, repeats, shards, simhash, topk
+from feedmill.llm import bpe, chat, crosstoken, decontaminate, licenses, lm, merkle, packing, quality, repeats, shards, simhash, topk
 
 
 @dataclass(frozen=True)
@@ -173,3 +173,33 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda sql: spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("from conversations", "from {turns}"), turns=turns)
     found = chat.linked(read(CALLS), read(RESULTS), spark.sql(SCHEMAS))
     return found.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2,048 tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+
+
+@query("op13_merkle")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; a fifth of them is verified against lower-cased texts."""
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = merkle.leaf_digest([*values, F.translate("text", upper, lower)])
+    found = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    made = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], found=found)
+    return made.withColumnRenamed("proof", "proof_sha256")
+
+
+@query("op11_crosstoken")
+def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment numbers of every document under a byte-level and a word-piece tokenizer."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return crosstoken.link_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, model)
