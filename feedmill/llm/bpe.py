@@ -9,8 +9,9 @@ batches, so there is no shuffle and a lost executor costs one partition.
 * Bytes that are not UTF-8 become the replacement character before encoding.
 * Repeated rows, and all other columns, are kept as they are; a column that is named like an added
   one is replaced.
-* A text is never cut inside a pre-token.  Texts of any length are worked off in pieces of bounded size,
-  and a pre-token of n bytes takes O(n) queue steps.
+* A text is never cut inside a pre-token.  Texts of any length are worked off in pieces of bounded size, cut where the
+  pattern forces a start, with or without spaces.  A pre-token of n bytes takes O(n) queue steps and memory; only one of
+  many megabytes (a run of one kind of character) needs more than a piece.
 """
 
 from __future__ import annotations
@@ -171,8 +172,9 @@ def pretoken_starts(points: np.ndarray, text_starts: np.ndarray, classes: np.nda
     return np.flatnonzero(starts[:n])
 
 
-#: A place where two pre-tokens always meet: one space between a character and a letter.
-_CUT = regex.compile(r"(?<=\S) (?=\p{L})")
+#: Places where two pre-tokens always meet: before white space, and between a letter, a number and anything else, but not
+#: after an apostrophe, which may begin a contraction.
+_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def pieces(text: str, limit: int = BLOCK_BYTES // 2) -> Iterator[str]:
@@ -206,6 +208,23 @@ class Encoder:
                 self.known[piece] = ids
         return ids
 
+    def _alike(self, data: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, the example of each pre-token) of pre-tokens that lie one after another.
+
+        Pre-tokens with one name are compared by their bytes; those that differ become examples of their own.
+        """
+        self.hash.load(data)
+        _, example, which = np.unique(self.hash.names(begin, finish), return_index=True, return_inverse=True)
+        lengths, first = finish - begin, example[which]
+        same = lengths == lengths[first]
+        alike = np.flatnonzero(same)
+        equal = gather(data, begin[alike], lengths[alike]) == gather(data, begin[first[alike]], lengths[alike])
+        if not equal.all():
+            same[np.repeat(alike, lengths[alike])[~equal]] = False
+        other = np.flatnonzero(~same)
+        which[other] = len(example) + np.arange(len(other))
+        return np.append(example, other), which
+
     def block(self, texts: list[str]) -> list[bytes]:
         sizes = np.array([len(t) for t in texts])
         joined = "".join(texts)
@@ -220,8 +239,7 @@ class Encoder:
         np.cumsum(width, out=offset[1:])
         begin = offset[starts]
         finish = np.append(begin[1:], len(data))
-        self.hash.load(np.frombuffer(data, np.uint8))
-        _, example, which = np.unique(self.hash.names(begin, finish), return_index=True, return_inverse=True)
+        example, which = self._alike(np.frombuffer(data, np.uint8), begin, finish)
         found = [self._ids(data[b:e]) for b, e in zip(begin[example].tolist(), finish[example].tolist())]
         lengths = np.array([len(f) for f in found]) // 4
         token_lengths = lengths[which]

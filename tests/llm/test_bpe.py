@@ -103,3 +103,54 @@ def test_query_equals_the_library(spark, small):
 def test_rank_file(tmp_path, line):
     (tmp_path / "r").write_bytes(line + b"\n")
     assert bpe.load_ranks(str(tmp_path / "r")) == {base64.b64decode(b"YQ=="): 0}
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_different_pretokens_with_one_name(spark, n):
+    word, other = thue_morse(n)
+    assert bpe.Encoder(RANKS).hash is not None
+    texts = [word, other, f"{word}\n{other}\n{word}", f"x {other} {word} {other}"]
+    assert ours(texts) == [TIK.encode_ordinary(t) for t in texts]
+    rows = [(r.text, bytes(r.decoded).decode()) for r in bpe.decode(bpe.encode(spark.createDataFrame([(t,) for t in texts], "text string"), RANKS), RANKS).collect()]
+    assert all(a == b for a, b in rows)
+
+
+def test_names_alone_never_decide(monkeypatch):
+    monkeypatch.setattr(bpe.RangeHash, "names", lambda self, starts, ends: (ends - starts).astype("uint64") % 3)  # nearly all names collide
+    texts = CASES + ["the cat and the dog and the cat"]
+    assert ours(texts) == [TIK.encode_ordinary(t) for t in texts]
+
+
+UNSPACED = ["日本語の文章、句読点。だけで" * 40, "if(a1b2c3){d=e+f;}" * 60, "QUJD0aGVzZSBh9cmUgd29yZHM+/x" * 50, "it's'll''ve'd1's2'x" * 60, "a\tb\n\nc\u3000d\x85" * 60]
+
+
+def test_texts_without_spaces_are_cut_where_pretokens_meet():
+    for text in [*UNSPACED, "".join(UNSPACED), "".join(CASES)]:
+        cut = list(bpe.pieces(text, 40))
+        assert "".join(cut) == text and (text not in UNSPACED or max(map(len, cut)) < 100)
+        assert [i for p in cut for i in TIK.encode_ordinary(p)] == TIK.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" '\n\tstremvld.!aZ0é\x1c\x85"), st.characters(codec="utf-8")), max_size=80), st.integers(1, 9))
+def test_any_text_in_pieces(text, limit):
+    assert [i for p in bpe.pieces(text, limit) for i in TIK.encode_ordinary(p)] == TIK.encode_ordinary(text)
+
+
+def test_long_unspaced_text_in_bounded_memory():
+    import tracemalloc
+
+    text = UNSPACED[0] * 8000
+    tracemalloc.start()
+    ((_, ids),) = bpe.Encoder(RANKS).many([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text.encode()) > 10 << 20 and peak < 200 << 20
+    assert len(ids) // 4 == 8000 * 40 * len(TIK.encode_ordinary("日本語の文章、句読点。だけで" * 3)) // 3
