@@ -49,6 +49,9 @@ def longest_sentences(content: str, n: int = 3) -> str:
     return json.dumps({"summary": " ".join(picked), "key_points": picked}, ensure_ascii=False)
 
 
+longest_sentences.reads_content = True
+
+
 def call_with_retry(
     call: Callable[[str], str],
     prompt: str,
@@ -81,11 +84,11 @@ def score(
 ) -> DataFrame:
     """One row per input row: summary and key points, or NULLs and the error [F1, F2].
 
-    Only the key and the prompt reach Python.  The offline scorer follows no instructions, so it reads
-    ``content`` instead, where that is given.  ``spread`` repartitions the rows first, for slow
+    Only the key and the prompt reach Python.  Scorers that follow no instructions, such as the offline one, say so by an
+    attribute ``reads_content`` and read ``content`` instead, where that is given.  ``spread`` repartitions the rows first, for slow
     remote scorers whose calls should be in flight on many tasks.
     """
-    read = content if scorer is longest_sentences and content is not None else prompt
+    read = content if getattr(scorer, "reads_content", False) and content is not None else prompt
     prompts = rows.select(F.col(key).cast("long").alias("article_id"), read.alias("prompt"))
     if spread is not None:
         prompts = prompts.repartition(spread, "article_id")
@@ -170,8 +173,9 @@ def stage_rows(rows: DataFrame, stage: str, skipped: Column, failed: Column, err
 def outcome_events(outcomes: DataFrame, first_event_id: int, ts: Column) -> DataFrame:
     """Outcome rows -> processing events: success and skip move on, failures keep their stage [F6, T2].
 
-    Event ids follow the article id, which is unique within one stage run.
+    Event ids follow the article id, which is unique within one stage run.  A ``model`` of the outcomes goes along.
     """
+    model = F.col("model") if "model" in outcomes.columns else F.lit(None).cast("string")
     following = (
         F.when(F.col("stage") == "extraction", F.lit("summarization"))
         .when(F.col("stage") == "summarization", F.lit("embedding"))
@@ -186,5 +190,5 @@ def outcome_events(outcomes: DataFrame, first_event_id: int, ts: Column) -> Data
         F.when(failed | done, F.col("stage")).otherwise(following).alias("stage"),
         F.col("error_message").alias("error"),
         F.when(failed, F.col("stage")).alias("queue_name"),
-        F.lit(None).cast("string").alias("model"),
+        model.alias("model"),
     )

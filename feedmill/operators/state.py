@@ -50,9 +50,11 @@ def fold_state(state: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def running_count(rows: DataFrame, key: str, time: str, tie: str, name: str) -> DataFrame:
+def running_count(rows: DataFrame, key: str, time: str, tie: str, name: str, before: DataFrame | None = None) -> DataFrame:
     """1-based position of every row within its key by (time, tie), skew-safe [W5].
 
+    ``before`` (key, name) holds how many rows of a key were numbered already; its numbers go on from there.
+
     A plain window would sort all rows of a hot key in one task.  Here the rows are range-partitioned
     by (key, time, tie), which cuts a hot key into stretches of bounded size wherever its rows lie in
     time.  Rows are numbered inside their stretch and shifted by the sizes of the key's earlier
@@ -66,6 +68,11 @@ def running_count(rows: DataFrame, key: str, time: str, tie: str, name: str) ->
     earlier = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(key, "_stretch", F.sum("_size").over(earlier).alias("_shift")).filter("_shift IS NOT NULL")
     inside = F.row_number().over(W.partitionBy(key, "_stretch").orderBy(time, tie))
+    if before is not None:  # meets a row per key and stretch, never the rows themselves
+        given = before.select(F.col(key).alias("_of"), F.col(name).alias("_before")).filter("_before > 0")
+        every = sizes.select(key, "_stretch", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+        met = every.join(given, F.col(key).eqNullSafe(F.col("_of")), "left")
+        shifts = met.select(key, "_stretch", (F.col("_shift") + F.coalesce("_before", F.lit(0))).alias("_shift"))
     shifts = shifts.select(F.col(key).alias("_of"), F.col("_stretch").alias("_at"), "_shift")
     return (
         kept.withColumn(name, inside)

@@ -2,11 +2,12 @@
 
 Each stage reads what the stage before has written since its last run and keeps its own
 checkpoint.  Every stage keeps one row per article, and per model where a model makes the rows, so
-running it again adds nothing.  Failed calls are rows of ``failed`` and are tried again by the next run.
+running it again adds nothing.
 
 Every article a stage has worked on is a row of ``outcomes``, also one without enough text, summary or vector.
-They become processing events, from which state and dead letters follow; articles whose vector failed are tried again
-by the next run.  Texts that are too short are not: what has landed does not change.
+They become processing events, from which state and dead letters follow, and orders to try failed calls again (see
+``retries``): at most ``RetryRule.max_retries`` times, then the work rests until its dead letter is replayed.  Texts that are too
+short are not tried again by themselves: what has landed does not change.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from feedmill.operators.dedup import absent_keys
 from feedmill.session import staged
 from feedmill.sources.pages import read_page_features
 from feedmill.streaming import state
-from feedmill.streaming.tables import file_stream, insert_if_absent, read_batches, run_available, write_batch
+from feedmill.streaming.batches import read_batches, write_batch
+from feedmill.streaming.retries import RetryBook, RetryRule
+from feedmill.streaming.tables import file_stream, insert_if_absent, key_index, run_available
 
 LANDED = "page_id long, url string, html string"
 _L, _S = T.LongType(), T.StringType()
@@ -38,7 +41,7 @@ GOLD = T.StructType(
 FAILED = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("attempts", T.IntegerType()), T.StructField("error", _S)])
 VECTORS = T.StructType([T.StructField("id", _L), T.StructField("model", _S), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 OUTCOMES = T.StructType(
-    [T.StructField("article_id", _L), T.StructField("stage", _S), T.StructField("outcome", _S), T.StructField("error_message", _S), T.StructField("ts", T.TimestampNTZType())]
+    [T.StructField("article_id", _L), T.StructField("stage", _S), T.StructField("outcome", _S), T.StructField("error_message", _S), T.StructField("ts", T.TimestampNTZType()), T.StructField("model", _S)]
 )
 #: Stages in the order in which a run works on an article.
 STAGES = ("extraction", "summarization", "embedding")
@@ -58,6 +61,9 @@ class Layout:
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
 
+    def book(self, rule: RetryRule = RetryRule()) -> RetryBook:
+        return RetryBook(self.root, rule)
+
 
 def ingest_pages(spark: SparkSession, landed: str, layout: Layout, files_per_batch: int | None = None, glob: str | None = None) -> None:
     """Landed pages -> bronze, one row per canonical URL, the first to land wins [T7]."""
@@ -72,34 +78,69 @@ def _next_time(spark: SparkSession, layout: Layout) -> datetime.datetime:
     return last.replace(microsecond=0) + datetime.timedelta(seconds=1)
 
 
-def _record(layout: Layout, rows: DataFrame, number: int, stage: str, error: Column, at: datetime.datetime) -> None:
+def _record(layout: Layout, rows: DataFrame, number: int, stage: str, error: Column, at: datetime.datetime, model: str | None = None) -> None:
     """One outcome for each row of (id, done); a stage of a run is a microsecond after the stage before."""
     ts = F.lit(at + datetime.timedelta(microseconds=STAGES.index(stage))).cast("timestamp_ntz")
     done = F.coalesce("done", F.lit(False))
     found = stage_rows(rows.withColumnRenamed("id", "article_id"), stage, F.lit(False), ~done, error)
-    write_batch(found.withColumn("ts", ts).select(*OUTCOMES.names), layout.table("outcomes"), number)
+    named = found.withColumn("ts", ts).withColumn("model", F.lit(model).cast("string"))
+    write_batch(named.select(*OUTCOMES.names), layout.table("outcomes"), number)
+
+
+def _with_done(rows: DataFrame, absent: DataFrame) -> DataFrame:
+    """``rows`` with ``done``: whether their id was written.  The index of the table says which are absent."""
+    missing = absent.select("id").distinct().withColumn("_missing", F.lit(True))
+    return rows.join(missing, "id", "left").withColumn("done", F.col("_missing").isNull()).drop("_missing")
+
+
+def _texts(bronze: DataFrame) -> DataFrame:
+    return read_page_features(bronze.select("id", "url", "html")).select("id", "url", "title", F.col("page_text").alias("content"))
 
 
-def _with_done(rows: DataFrame, written: DataFrame) -> DataFrame:
-    """``rows`` with ``done``: whether their id was written; what made the written rows is not computed again."""
-    return rows.join(written.select("id").distinct().withColumn("done", F.lit(True)), "id", "left")
+def _extracted(layout: Layout, at: datetime.datetime):
+    """The sink of extracted texts: those that are long enough go to silver, all have an outcome."""
+    insert, index = insert_if_absent(layout.table("silver"), "id"), key_index(layout.table("silver"), ["id"])
+
+    def sink(batch: DataFrame, number: int) -> None:
+        texts = staged(batch, "texts")
+        insert(texts.filter(F.length("content") >= fv.SUMMARY_MIN_CHARS), number)
+        ids = texts.select("id").distinct()
+        rows = _with_done(ids, index.absent(ids, before=number + 1 if number >= 0 else None))
+        _record(layout, rows, _model_number(number, "extraction"), "extraction", F.lit(fv.EXTRACTION_FAILED), at)
+
+    return sink
 
 
 def extract_stage(spark: SparkSession, layout: Layout, at: datetime.datetime | None = None) -> None:
     """Bronze -> silver: title and main text; pages without enough text stop here with a failed outcome."""
+    sink = _extracted(layout, at or _next_time(spark, layout))
+    run_available(_texts(file_stream(spark, layout.table("bronze"), BRONZE)), sink, layout.checkpoint("silver"))
+
+
+def retry_extraction(
+    spark: SparkSession, layout: Layout, at: datetime.datetime | None = None, rule: RetryRule = RetryRule(), update: bool = True
+) -> None:
+    """Extract the pages of replayed letters again."""
     at = at or _next_time(spark, layout)
-    bronze = file_stream(spark, layout.table("bronze"), BRONZE)
-    texts = read_page_features(bronze.select("id", "url", "html")).select(
-        "id", "url", "title", F.col("page_text").alias("content")
-    )
-    insert = insert_if_absent(layout.table("silver"), "id")
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        insert(batch.filter(F.length("content") >= fv.SUMMARY_MIN_CHARS), batch_id)
-        rows = _with_done(batch.select("id").distinct(), read_stage(batch.sparkSession, layout, "silver"))
-        _record(layout, rows, _model_number(batch_id, "extraction"), "extraction", F.lit(fv.EXTRACTION_FAILED), at)
+    def work(ids: DataFrame, number: int) -> None:
+        pages = read_stage(spark, layout, "bronze").join(ids, "id", "left_semi")
+        _extracted(layout, at)(_texts(pages), -number)
+
+    _retry(spark, layout, "extraction", None, at, rule, update, work)
 
-    run_available(texts, sink, layout.checkpoint("silver"))
+
+def _retry(spark, layout: Layout, stage: str, model: str | None, at: datetime.datetime, rule: RetryRule, update: bool, work) -> None:
+    """Take the due orders of a stage, let ``work(ids, number)`` do them and note them as taken."""
+    book = layout.book(rule)
+    if update:
+        book.update(spark)
+    orders = staged(book.due(spark, stage, at, model), "orders")
+    if orders.isEmpty():
+        return
+    number = book.next_try(spark)
+    work(orders.select(F.col("article_id").alias("id")).distinct(), number)
+    book.note(orders, number)
 
 
 def _model_number(batch: int, model: str) -> int:
@@ -107,46 +148,54 @@ def _model_number(batch: int, model: str) -> int:
     return (batch << 32) + zlib.crc32(model.encode())
 
 
-def _summarise(layout: Layout, work: DataFrame, number: int, scorer: Scorer, model: str, at: datetime.datetime) -> None:
+def _summarise(
+    layout: Layout, work: DataFrame, number: int, scorer: Scorer, model: str, at: datetime.datetime, attempts: int = fv.SCORER_ATTEMPTS
+) -> None:
     """Score articles once; summaries go to gold, failed calls with their error to ``failed``."""
     prompt = summary_prompt(F.col("title"), F.col("content"), limit=None)
-    scored = score(work, prompt, scorer, model, content=F.col("content"))
+    scored = score(work, prompt, scorer, model, attempts=attempts, content=F.col("content"))
     scored = staged(scored.withColumnRenamed("article_id", "id"), "scored")
     done = F.col("summary").isNotNull()
     write_batch(scored.filter(done).select(*GOLD.names), layout.table("gold"), number)
     write_batch(scored.filter(~done).select(*FAILED.names), layout.table("failed"), number)
     error = F.coalesce(F.nullif("error", F.lit("")), F.lit(NO_SUMMARY))
-    _record(layout, scored.select("id", "error", done.alias("done")), _model_number(number >> 32, f"summarization {model}"), "summarization", error, at)
+    rows = scored.select("id", "error", done.alias("done"))
+    _record(layout, rows, _model_number(number >> 32, f"summarization {model}"), "summarization", error, at, model)
 
 
-def summary_stage(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None) -> None:
-    """Silver -> gold: one summary per article and model; articles that have theirs are not scored again."""
+def summary_stage(
+    spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None,
+    attempts: int = fv.SCORER_ATTEMPTS,
+) -> None:
+    """Silver -> gold: one summary per article and model; silver holds each article once, so none is scored twice.
+
+    ``attempts`` are calls within one try; tries of later runs are bounded by the retry rule.
+    """
     at = at or _next_time(spark, layout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        number = _model_number(batch_id, model)
-        earlier = read_batches(batch.sparkSession, layout.table("gold"), GOLD, before=number)
-        _summarise(layout, absent_keys(batch, earlier.filter(F.col("model") == model), "id"), number, scorer, model, at)
+        _summarise(layout, batch, _model_number(batch_id, model), scorer, model, at, attempts)
 
     run_available(file_stream(spark, layout.table("silver"), SILVER), sink, layout.checkpoint(f"gold-{zlib.crc32(model.encode())}"))
 
 
-def retry_summaries(spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None) -> None:
-    """Score the articles again whose calls failed and that still have no summary of the model.
+def retry_summaries(
+    spark: SparkSession, layout: Layout, scorer: Scorer = longest_sentences, model: str = OFFLINE_MODEL, at: datetime.datetime | None = None,
+    rule: RetryRule = RetryRule(), attempts: int = fv.SCORER_ATTEMPTS, update: bool = True,
+) -> None:
+    """Score the articles again whose calls failed or whose letters were replayed, and that still have no summary of the model.
 
-    Retries are numbered downwards from -1, apart from the batches of the stream.
+    Their batches are numbered downwards from -1, apart from the batches of the stream.
     """
-    of_model = F.col("model") == model
-    failed = read_batches(spark, layout.table("failed"), FAILED).filter(of_model)
-    gold = read_batches(spark, layout.table("gold"), GOLD).filter(of_model)
-    open_ids = absent_keys(failed.select("id").distinct(), gold.select("id"), "id")
-    work = staged(read_stage(spark, layout, "silver").join(open_ids, "id", "left_semi"), "retries")
-    if work.isEmpty():
-        return
-    # A retry whose calls all succeed is in gold only, one whose calls all fail in ``failed`` only.
-    least = failed.select("batch_id").union(gold.select("batch_id")).agg(F.min("batch_id")).first()[0]
-    retries = -(least >> 32) if least < 0 else 0
-    _summarise(layout, work, _model_number(-(retries + 1), model), scorer, model, at or _next_time(spark, layout))
+    at = at or _next_time(spark, layout)
+
+    def work(ids: DataFrame, number: int) -> None:
+        own = _model_number(-number, model)
+        gold = read_batches(spark, layout.table("gold"), GOLD).filter((F.col("model") == model) & (F.col("batch_id") != own))
+        rows = read_stage(spark, layout, "silver").join(absent_keys(ids, gold, "id"), "id", "left_semi")
+        _summarise(layout, rows, own, scorer, model, at, attempts)
+
+    _retry(spark, layout, "summarization", model, at, rule, update, work)
 
 
 def _vectors(rows: DataFrame, encoder: Encoder | None) -> DataFrame:
@@ -158,40 +207,47 @@ def _long_enough() -> Column:
     return F.coalesce(F.length(embeddable(F.col("summary"))) >= fv.EMBEDDING_MIN_CHARS, F.lit(False))
 
 
+def _embedded(layout: Layout, encoder: Encoder | None, summary_model: str, at: datetime.datetime):
+    """The sink of summaries: vectors are written once per article, all summaries have an outcome."""
+    keys = ["id", "model"]
+    insert, index = insert_if_absent(layout.table("vectors"), keys), key_index(layout.table("vectors"), keys)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        insert(_vectors(batch.filter(_long_enough()), encoder), number)
+        ids = batch.select("id", _long_enough().alias("long"), F.lit(HASHED_MODEL).alias("model")).dropDuplicates(["id"])
+        rows = _with_done(ids, index.absent(ids, before=number + 1 if number >= 0 else None))
+        error = F.when(F.col("long"), F.lit(NO_VECTOR)).otherwise(F.lit(fv.INSUFFICIENT_TEXT))
+        _record(layout, rows, _model_number(number, "embedding"), "embedding", error, at, summary_model)
+
+    return sink
+
+
 def embedding_stage(
     spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL, at: datetime.datetime | None = None
 ) -> None:
     """Gold -> vectors of one model's summaries; summaries that are too short and failed calls are failed outcomes."""
     gold = file_stream(spark, layout.table("gold"), GOLD).filter(F.col("model") == summary_model)
-    insert, at = insert_if_absent(layout.table("vectors"), ["id", "model"]), at or _next_time(spark, layout)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        insert(_vectors(batch.filter(_long_enough()), encoder), batch_id)
-        written = read_stage(batch.sparkSession, layout, "vectors").filter(F.col("model") == HASHED_MODEL)
-        rows = _with_done(batch.select("id", _long_enough().alias("long")).dropDuplicates(["id"]), written)
-        error = F.when(F.col("long"), F.lit(NO_VECTOR)).otherwise(F.lit(fv.INSUFFICIENT_TEXT))
-        _record(layout, rows, _model_number(batch_id, "embedding"), "embedding", error, at)
-
+    sink = _embedded(layout, encoder, summary_model, at or _next_time(spark, layout))
     run_available(gold, sink, layout.checkpoint("vectors"))
 
 
 def retry_vectors(
-    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL, at: datetime.datetime | None = None
+    spark: SparkSession, layout: Layout, encoder: Encoder | None = None, summary_model: str = OFFLINE_MODEL, at: datetime.datetime | None = None,
+    rule: RetryRule = RetryRule(), update: bool = True,
 ) -> None:
-    """Embed the summaries again whose calls failed and that still have no vector; numbered like ``retry_summaries``."""
-    outcomes = read_batches(spark, layout.table("outcomes"), OUTCOMES).filter("stage = 'embedding'")
-    vectors = read_batches(spark, layout.table("vectors"), VECTORS).filter(F.col("model") == HASHED_MODEL)
-    failed = outcomes.filter(F.col("error_message") == NO_VECTOR).select(F.col("article_id").alias("id")).distinct()
-    open_ids = absent_keys(failed, vectors.select("id"), "id")
-    gold = read_stage(spark, layout, "gold").filter(F.col("model") == summary_model)
-    work = staged(gold.join(open_ids, "id", "left_semi"), "retries")
-    if work.isEmpty():
-        return
-    least = outcomes.select("batch_id").union(vectors.select("batch_id")).agg(F.min("batch_id")).first()[0]
-    retry = -((-(least >> 32) if least < 0 else 0) + 1)
-    found = staged(_vectors(work, encoder), "vectors")
-    write_batch(found, layout.table("vectors"), _model_number(retry, "embedding"))
-    _record(layout, _with_done(work.select("id").distinct(), found), _model_number(retry, "embedding"), "embedding", F.lit(NO_VECTOR), at or _next_time(spark, layout))
+    """Embed the summaries again whose calls failed or whose letters were replayed; numbered like ``retry_summaries``."""
+    at = at or _next_time(spark, layout)
+
+    def work(ids: DataFrame, number: int) -> None:
+        gold = read_stage(spark, layout, "gold").filter(F.col("model") == summary_model)
+        _embedded(layout, encoder, summary_model, at)(staged(gold.join(ids, "id", "left_semi"), "retries"), -number)
+
+    _retry(spark, layout, "embedding", summary_model, at, rule, update, work)
+
+
+def replay(spark: SparkSession, layout: Layout, letters: DataFrame, at: datetime.datetime | None = None) -> DataFrame:
+    """Send dead letters back to the stage they failed in, each once; the retries of the next run take them [T4]."""
+    return layout.book().replay(letters, at or _next_time(spark, layout))
 
 
 def outcome_stage(spark: SparkSession, layout: Layout) -> None:
@@ -206,16 +262,18 @@ def outcome_stage(spark: SparkSession, layout: Layout) -> None:
 
 def run_stages(
     spark: SparkSession, landed: str, root: str, files_per_batch: int | None = None, glob: str | None = None,
-    scorer: Scorer = longest_sentences, encoder: Encoder | None = None,
+    scorer: Scorer = longest_sentences, encoder: Encoder | None = None, at: datetime.datetime | None = None, rule: RetryRule = RetryRule(),
 ) -> Layout:
-    """Bring all stages up to date with what has landed."""
+    """Bring all stages up to date with what has landed, and try again what is due at the time ``at`` of the run."""
     layout = Layout(root)
     ingest_pages(spark, landed, layout, files_per_batch, glob)
-    at = _next_time(spark, layout)
+    at = at or _next_time(spark, layout)
+    layout.book(rule).update(spark)
+    retry_extraction(spark, layout, at, rule, update=False)
     extract_stage(spark, layout, at)
-    retry_summaries(spark, layout, scorer, at=at)
+    retry_summaries(spark, layout, scorer, at=at, rule=rule, update=False)
     summary_stage(spark, layout, scorer, at=at)
-    retry_vectors(spark, layout, encoder, at=at)
+    retry_vectors(spark, layout, encoder, at=at, rule=rule, update=False)
     embedding_stage(spark, layout, encoder, at=at)
     outcome_stage(spark, layout)
     return layout

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedmill import fixed_values as fv, schemas
-from feedmill.operators.state import IS_ERROR, article_state, dead_letter_columns
+from feedmill.operators.state import IS_ERROR, article_state, dead_letter_columns, running_count
+from feedmill.session import staged
+from feedmill.streaming.snapshots import KeyedTable
 from feedmill.streaming.tables import read_batches, run_available, write_batch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = T.StructType(
     [
         T.StructField("article_id", T.LongType()),
@@ -23,79 +20,67 @@ STATE = T.StructType(
         T.StructField("updated_at", T.TimestampNTZType()),
     ]
 )
+TOTALS = T.StructType([T.StructField("article_id", T.LongType()), T.StructField("retry_count", T.LongType())])
+#: Deltas that may stand beside a snapshot before they are folded into it.
+COMPACT_EVERY = 16
+
+
+def state_table(path: str) -> KeyedTable:
+    return KeyedTable(path, STATE, "article_id")
+
+
+def totals_table(path: str) -> KeyedTable:
+    """Failures counted so far per article, beside the dead letters at ``path``."""
+    return KeyedTable(f"{path}_totals", TOTALS, "article_id", sums=True)
 
 
-def update_state(events: DataFrame, path: str, checkpoint: str) -> None:
+def _compacting(table: KeyedTable, spark: SparkSession, batch: int, every: int) -> None:
+    """Before a batch is written, fold the deltas of earlier ones, which are never repeated."""
+    if table.pending(spark) >= every:
+        table.compact(spark, before=batch)
+
+
+def update_state(events: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> None:
     """Fold new events into the state; every batch writes the articles that changed.
 
     This is a built-in streaming aggregate: events are combined on the map side before they reach
-    the state store, so an article with very many events costs one partial row per task.
+    the state store, so an article with very many events costs one partial row per task.  The table is compacted
+    whenever ``compact_every`` deltas have gathered.
     """
-    run_available(article_state(events), lambda rows, batch: write_batch(rows, path, batch), checkpoint, "update")
+    table = state_table(path)
 
+    def sink(rows: DataFrame, batch: int) -> None:
+        _compacting(table, rows.sparkSession, batch, compact_every)
+        table.write(rows, batch)
 
-def current_state(spark: SparkSession, path: str) -> DataFrame:
-    """The latest written row per article."""
-    table = read_batches(spark, path, STATE)
-    fields = [f.name for f in STATE.fields if f.name != "article_id"]
-    latest = table.groupBy("article_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("s"))
-    return latest.select("article_id", "s.*")
+    run_available(article_state(events), sink, checkpoint, "update")
 
 
-FAILURE = T.StructType(
-    [
-        T.StructField("article_id", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("stage", T.StringType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("queue_name", T.StringType()),
-        T.StructField("model", T.StringType()),
-        T.StructField("retry_count", T.LongType()),
-    ]
-)
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The latest written row per article."""
+    return state_table(path).read(spark)
 
 
-class RetryCounter(StatefulProcessor):
-    """Counts failures per article and passes on those at or past the limit.
+def update_dead_letters(
+    events: DataFrame, path: str, checkpoint: str, max_retries: int = fv.MAX_RETRIES, compact_every: int = COMPACT_EVERY
+) -> None:
+    """Append the dead letters new events give rise to, counting on two levels.
 
-    The state is one number per article.  A call sees the failures of one article in one
-    micro-batch, whose size ``files_per_batch`` bounds.
+    The failures of a micro-batch are numbered per article by :func:`running_count`, in stretches that cut a hot article
+    into many tasks; the numbers go on from the article's total of earlier batches, which is a slim keyed table.
     """
-
-    def __init__(self, max_retries: int = fv.MAX_RETRIES):
-        self.max_retries = max_retries
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        failures = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        failures["retry_count"] = range(before + 1, before + len(failures) + 1)
-        self.seen.update((before + len(failures),))
-        yield failures[failures["retry_count"] >= self.max_retries][FAILURE.names]
-
-    def close(self) -> None:
-        pass
-
-
-def update_dead_letters(events: DataFrame, path: str, checkpoint: str, max_retries: int = fv.MAX_RETRIES) -> None:
-    """Append the dead letters new events give rise to; only failures reach the keyed state."""
-    spark = events.sparkSession
-    slim = events.filter(IS_ERROR).select(*[n for n in FAILURE.names if n != "retry_count"])
-    counted = slim.groupBy("article_id").transformWithStateInPandas(
-        statefulProcessor=RetryCounter(max_retries), outputStructType=FAILURE, outputMode="Append", timeMode="None"
-    )
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        run_available(
-            counted.select(*dead_letter_columns()), lambda rows, batch: write_batch(rows, path, batch), checkpoint
-        )
-    finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    totals = totals_table(path)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _compacting(totals, spark, number, compact_every)
+        failures = staged(batch, "failures")
+        counted = running_count(failures, "article_id", "ts", "event_id", "retry_count", totals.read(spark, before=number))
+        write_batch(counted.filter(F.col("retry_count") >= max_retries).select(*dead_letter_columns()), path, number)
+        totals.write(failures.groupBy("article_id").agg(F.count("*").alias("retry_count")), number)
+
+    columns = ["article_id", "event_id", "ts", "stage", "error", "queue_name", "model"]
+    run_available(events.filter(IS_ERROR).select(*columns), sink, checkpoint)
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:

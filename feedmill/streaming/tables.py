@@ -1,14 +1,17 @@
-"""Batch-stamped tables: what a micro-batch writes can be written again without doubling rows."""
+"""Streams over landed files and sinks into batch-stamped tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from feedmill.operators.dedup import absent_keys, insert_new
+from feedmill.operators.dedup import first_by_key
+from feedmill.schemas import required_present
+from feedmill.session import staged
+from feedmill.streaming.batches import read_batches, write_batch
+from feedmill.streaming.keyindex import KeyIndex
 
 
 def file_stream(
@@ -23,50 +26,45 @@ def file_stream(
     return reader.parquet(path)
 
 
-def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-
-
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The table, or its rows from batches earlier than ``before`` (folders are pruned)."""
-    layout = f"{_ddl(schema)}, batch_id long"
-    try:
-        table = spark.read.schema(layout).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        table = spark.createDataFrame([], layout)
-    return table if before is None else table.filter(F.col("batch_id") < before)
-
-
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Replace the folder of one batch, so that a repeated batch leaves the same rows."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def key_index(path: str, keys: Sequence[str]) -> KeyIndex:
+    """The index of the keys of a table that :func:`insert_if_absent` fills."""
+    return KeyIndex(f"{path}_keys", list(keys))
 
 
 def insert_if_absent(path: str, key: str | Sequence[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that keeps one row per key over all batches [T7, D1, D6].
 
-    With ``order`` the first row of a key in the batch wins; without it the rows of a key are equal.
-    It compares with earlier batches only, so repeating a batch after a failure gives the same rows.
+    With ``order`` the first row of a key in the batch wins; without it the rows of a key are equal.  What is stored is
+    asked through a key index beside the table, so a batch reads filters and the few buckets that may hold its keys,
+    not the history.  It compares with earlier batches only, so repeating a batch after a failure gives the same rows.
     """
-
     keys = [key] if isinstance(key, str) else list(key)
+    index = key_index(path, keys)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
+        spark = batch.sparkSession
+        index.merge(spark, before=batch_id)
         if order is None:
-            write_batch(absent_keys(batch.dropDuplicates(keys), earlier, keys), path, batch_id)
-            return
-        rows = batch.persist()
-        try:
-            write_batch(insert_new(rows, earlier, keys[0], order, required=keys), path, batch_id)
-        finally:
-            rows.unpersist()
+            rows = staged(batch.dropDuplicates(keys), "arrived")
+            write_batch(index.absent(rows, before=batch_id), path, batch_id)
+        else:
+            rows = staged(batch, "arrived")
+            winners = first_by_key(rows.filter(required_present(keys)).select(*keys, order), keys, order)
+            fresh = index.absent(winners, before=batch_id).select(order)
+            write_batch(rows.join(fresh, order, "left_semi"), path, batch_id)
+        index.add(read_batches(spark, path, batch.schema).filter(F.col("batch_id") == batch_id), batch_id)
 
     return sink
 
 
+def without_repeats_within(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+    """A stream without rows that repeat a key within ``delay`` of event time; the state it keeps is bounded by that [T7].
+
+    It spares the sink the work on rows that land again and again; what returns later meets the key index.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that has landed, then stop."""
     query = (

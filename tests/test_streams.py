@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from feedmill.operators.state import article_state, dead_letters
 from feedmill.plans import views
 from feedmill.streaming import stages, state
-from feedmill.streaming.tables import file_stream, insert_if_absent, read_batches
+from feedmill.streaming.batches import read_batches
+from feedmill.streaming.tables import file_stream, insert_if_absent, without_repeats_within
 
 PAGE = "page_id long, url string, html string"
 
@@ -135,8 +136,89 @@ def test_failed_vectors_and_gated_pages_are_outcomes_with_state_retries_and_dead
         assert stages.read_stage(spark, layout, "vectors").count() == 0
         assert states(layout) == {1: ("failed", "embedding", n), 2: gated}
     assert letters(layout) == [(1, "embedding", state.fv.MAX_RETRIES)]
-    for _ in range(2):
+    stages.run_stages(spark, landed, root, encoder=up)  # the limit is reached: no further try by itself
+    assert stages.read_stage(spark, layout, "vectors").count() == 0 and states(layout)[1] == ("failed", "embedding", 3)
+    for _ in range(2):  # a letter is replayed once
+        stages.replay(spark, layout, state.read_dead_letters(spark, layout.table("letters")))
         stages.run_stages(spark, landed, root, encoder=up)
         assert [r.id for r in stages.read_stage(spark, layout, "vectors").collect()] == [1]
         assert states(layout) == {1: ("completed", "embedding", state.fv.MAX_RETRIES), 2: gated}
     assert letters(layout) == [(1, "embedding", state.fv.MAX_RETRIES)]
+
+
+def test_one_article_holds_half_of_the_failures_over_many_batches(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    base = datetime.datetime(2024, 1, 1)
+    for part in range(4):
+        ids = range(part * 500, part * 500 + 500)
+        rows = [(i, base + datetime.timedelta(minutes=i // 7), 1 if i % 2 else i % 50, "failed", "extraction", "e", None, "m") for i in ids]
+        schema = "event_id long, ts timestamp_ntz, article_id long, status string, stage string, error string, queue_name string, model string"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+    events = spark.read.parquet(landed)
+    for _ in range(2):  # an idle rerun adds nothing
+        state.update_dead_letters(file_stream(spark, landed, events.schema, files_per_batch=1), str(tmp_path / "dead"), str(tmp_path / "c"), compact_every=2)
+        letters = state.read_dead_letters(spark, str(tmp_path / "dead"))
+        assert sorted(letters.collect()) == sorted(dead_letters(events).select(*letters.columns).collect())
+    totals = {r.article_id: r.retry_count for r in state.totals_table(str(tmp_path / "dead")).read(spark).collect()}
+    assert totals[1] == 1000 and sum(totals.values()) == 2000
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_history(spark, tmp_path, monkeypatch):
+    from feedmill.streaming.keyindex import KeyIndex
+
+    opened, real = [], KeyIndex.absent
+
+    def watched(self, rows, before=None):
+        found = real(self, rows, before)
+        opened.append(len(self.opened))
+        return found
+
+    monkeypatch.setattr(KeyIndex, "absent", watched)
+    sink = insert_if_absent(str(tmp_path / "t"), "k", "o")
+    for batch in range(5):
+        rows = [(f"{batch}/{i}", batch * 1000 + i) for i in range(300)] + ([("0/7", 5000 + batch)] if batch == 4 else [])
+        sink(spark.createDataFrame(rows, "k string, o long"), batch)
+    assert read_batches(spark, str(tmp_path / "t"), spark.createDataFrame([], "k string, o long").schema).count() == 1500
+    assert max(opened[:4]) <= 2 and 1 <= opened[4] <= 3  # of up to 128 buckets; the last batch opens that of the known key
+
+
+def test_repeats_within_the_watermark_never_reach_the_sink(spark, tmp_path):
+    landed, at = str(tmp_path / "landed"), datetime.datetime(2024, 1, 1)
+    for part in range(3):
+        rows = [(f"u{i}", at + datetime.timedelta(minutes=part)) for i in range(4)] + [(f"p{part}", at)]
+        spark.createDataFrame(rows, "url string, seen timestamp").coalesce(1).write.mode("append").parquet(landed)
+    stream = file_stream(spark, landed, "url string, seen timestamp", files_per_batch=1)
+    got = []
+    stages.run_available(without_repeats_within(stream, ["url"], "seen", "1 hour"), lambda rows, _: got.extend(r.url for r in rows.collect()), str(tmp_path / "c"))
+    assert sorted(got) == ["p0", "p1", "p2", "u0", "u1", "u2", "u3"]
+
+
+def test_waits_double_between_two_bounds():
+    rule = stages.RetryRule(first_wait=10.0, longest_wait=35.0)
+    assert [rule.wait(n).total_seconds() for n in (1, 2, 3, 4)] == [10.0, 20.0, 35.0, 35.0]
+
+
+def test_a_stopped_try_is_done_again_under_its_number(spark, tmp_path, monkeypatch):
+    landed, layout = str(tmp_path / "landed"), stages.Layout(str(tmp_path / "out"))
+    land(spark, landed, [(1, "https://e.com/1", html(1))])
+
+    def down(prompt):
+        raise RuntimeError("down")
+
+    def up(prompt):
+        return '{"summary": "fine, and long enough"}'
+
+    stages.ingest_pages(spark, landed, layout)
+    stages.extract_stage(spark, layout)
+    stages.summary_stage(spark, layout, down, "m", attempts=1)
+    with monkeypatch.context() as patched:
+        patched.setattr(stages.RetryBook, "note", lambda self, orders, number: (_ for _ in ()).throw(KeyboardInterrupt()))
+        try:
+            stages.retry_summaries(spark, layout, up, "m", attempts=1)
+        except KeyboardInterrupt:
+            pass
+    stages.retry_summaries(spark, layout, up, "m", attempts=1)
+    stages.retry_summaries(spark, layout, up, "m", attempts=1)
+    assert [r.id for r in stages.read_stage(spark, layout, "gold").collect()] == [1]
+    tries = stages.read_stage(spark, layout, "outcomes").filter("stage = 'summarization'")
+    assert sorted(r.outcome for r in tries.collect()) == ["failed", "success"]
