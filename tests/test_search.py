@@ -1,3 +1,4 @@
+import pyarrow as pa
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,9 +99,7 @@ def test_text_search_finds_the_matching_article(spark):
 
 def test_centres_and_model_summary(spark):
     rows = spark.createDataFrame([(1, 0, [1.0, 3.0], "m"), (2, 0, [3.0, 5.0], "m"), (3, 1, [0.0, 1.0], "n")], "article_id long, label int, embedding array<float>, model string")
-    assert knn.group_centres(rows, "label") == {0: [2.0, 4.0], 1: [0.0, 1.0]}
-    with pytest.raises(ValueError):
-        knn.group_centres(rows, "label", max_groups=1)
+    assert {r.query_id: r.vector for r in knn.group_centres(rows, "label").collect()} == {0: [2.0, 4.0], 1: [0.0, 1.0]}
     got = {r.model: (r.n_vectors, r.min_dim, r.max_dim, r.wrong_dim) for r in knn.model_summary(rows, 2).collect()}
     assert got == {"m": (2, 2, 2, 0), "n": (1, 2, 2, 0)}
 
@@ -119,3 +118,66 @@ def test_similarities_equal_the_ranking(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [1.0])], "article_id long, embedding array<float>")
     got = {r.article_id: round(r.similarity, 6) for r in knn.similarities(rows, [2.0, 0.0]).collect()}
     assert got == {1: 1.0, 4: 0.707107}
+
+
+def clustered(n, dimension, seed, around=8):
+    """Vectors near a few directions, as embeddings of texts are."""
+    r = np.random.default_rng(seed)
+    middles = r.normal(size=(around, dimension))
+    return (middles[r.integers(0, around, n)] + 0.25 * r.normal(size=(n, dimension))).astype("float32")
+
+
+def frame(spark, vectors, name="embedding", key="article_id"):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], f"{key} long, {name} array<float>")
+
+
+def brute(queries, rows, k):
+    unit = lambda m: m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    scores = unit(queries) @ unit(rows).T
+    return {(q, p + 1): int(i) for q, own in enumerate(scores) for p, i in enumerate(np.lexsort((np.arange(len(own)), -own.round(12)))[:k])}
+
+
+def test_a_table_of_queries_finds_what_comparing_everything_finds(spark, tmp_path):
+    rows, asked = clustered(1500, 12, 1), clustered(60, 12, 2)
+    asked[5] = rows[7]
+    index = knn.CellIndex.build(frame(spark, rows), str(tmp_path / "cells"), cells=10)
+    want = brute(asked, rows, 6)
+    queries = frame(spark, asked, "vector", "query_id")
+    for options in ({}, {"part_rows": 40, "block_queries": 9}):  # cells and queries in one piece, and cut
+        found = index.search_many(queries, 6, probes=2, **options).collect()
+        assert {(r.query_id, r.position): r.article_id for r in found} == want and len(found) == 360
+    near = index.search_many(queries, 6, probes=2, exact=False).collect()
+    assert len({(r.query_id, r.article_id) for r in near} & {(q, i) for (q, _), i in want.items()}) >= 0.9 * 360
+
+
+def test_the_bound_leaves_far_cells_out(spark, tmp_path):
+    rows = clustered(1500, 12, 3)
+    index = knn.CellIndex.build(frame(spark, rows), str(tmp_path / "cells"), cells=8)
+    sizes, least = index.reach()
+    assert sizes.sum() == 1500
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows[0].astype("float64").tolist()]), pa.array([0.95])], names=["query_id", "vector", "kth"])
+    rest = next(knn._cells(index.units(), sizes, least, 1, "rest")([batch])).column(2).to_pylist()
+    assert len(rest) < 7
+    near = set(index.table().filter(~F.col("cell").isin(rest)).select("article_id").toPandas()["article_id"])
+    unit = rows.astype("float64") / np.linalg.norm(rows.astype("float64"), axis=1, keepdims=True)
+    assert {int(i) for i in np.flatnonzero(unit @ unit[0] >= 0.95)} <= near
+
+
+def test_odd_queries_ties_and_empty_tables(spark, tmp_path):
+    rows = frame(spark, np.array([[1, 0], [1, 0], [0, 1], [0, 0], [-1, 0]], "float32"))
+    index = knn.CellIndex.build(rows, str(tmp_path / "cells"), cells=2)
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 2.0, 3.0]), (5, [float("nan"), 1.0])], "query_id long, vector array<double>")
+    found = index.search_many(queries, 3, probes=1).collect()
+    assert [(r.query_id, r.position, r.article_id) for r in sorted(found, key=lambda r: r.position)] == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
+    assert index.search_many(queries.limit(0), 3, probes=1).count() == 0
+    with pytest.raises(ValueError):
+        index.search_many(queries, 0, probes=1)
+
+
+def test_five_thousand_groups(spark, tmp_path):
+    vectors = clustered(10000, 6, 4)
+    labelled = frame(spark, vectors).withColumn("label", (F.col("article_id") % 5000).cast("int"))
+    index = knn.CellIndex.build(labelled, str(tmp_path / "cells"), cells=12)
+    found = {(r.query_id, r.position): r.article_id for r in index.search_many(knn.group_centres(labelled, "label"), 2, probes=2, block_queries=2000).collect()}
+    centres = (vectors[:5000].astype("float64") + vectors[5000:].astype("float64")) / 2
+    assert len(found) == 10000 and found == brute(centres, vectors, 2)
