@@ -218,7 +218,8 @@ class Encoder:
         lengths, first = finish - begin, example[which]
         same = lengths == lengths[first]
         alike = np.flatnonzero(same)
-        equal = gather(data, begin[alike], lengths[alike]) == gather(data, begin[first[alike]], lengths[alike])
+        own = data if same.all() else gather(data, begin[alike], lengths[alike])
+        equal = own == gather(data, begin[first[alike]], lengths[alike])
         if not equal.all():
             same[np.repeat(alike, lengths[alike])[~equal]] = False
         other = np.flatnonzero(~same)
