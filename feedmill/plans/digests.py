@@ -7,6 +7,7 @@ not once per subscriber.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -243,9 +244,14 @@ def deliveries(
     empty digest is not sent.
     """
     count = items.agg(F.count("*").alias("n")).scalar()
+    return delivery_rows(subscribers.withColumn("articles_count", count), as_of, brand, base_url)
+
+
+def delivery_rows(counted: DataFrame, as_of: datetime | str, brand: str, base_url: str, extra: Sequence[str] = ()) -> DataFrame:
+    """The deliveries of subscribers with their ``articles_count``; ``extra`` columns go along."""
+    counted = active_rows(counted, "is_active")
     day = long_date(literal_time(as_of))
     email = F.col("email")
-    counted = active_rows(subscribers, "is_active").withColumn("articles_count", count)
     valid = valid_email(email)
     status = F.when((F.col("articles_count") > 0) & valid, F.lit("sent")).otherwise(F.lit("failed"))
     return counted.select(
@@ -268,6 +274,7 @@ def deliveries(
         .when(~valid, F.lit("Invalid email address"))
         .alias("error_message"),
         literal_time(as_of).alias("sent_at"),
+        *extra,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedmill import fixed_values as fv
 from feedmill.functions.urls import subscriber_link, valid_email
 from feedmill.operators import aggregates, assembly, filters, joins, ranking
-from feedmill.plans import digests, reports
+from feedmill.plans import digests, reports, subscriptions
 from feedmill.plans.catalog import query
 from feedmill.plans.views import AS_OF
 
@@ -165,6 +165,42 @@ def subscriber_deliveries(t):
     return digests.deliveries(t.subscribers, items, AS_OF)
 
 
+_SETS = """select id, coalesce(array_to_string(list_sort(list_distinct(list_filter(cast(json(filters) as bigint[]), lambda x: x is not null))), ','), '') as filter_set
+  from subscriber_filters"""
+_KEYS = f"""select a.id, a.source_id from articles a join article_summaries m on m.article_id = a.id
+  join sources s on s.id = a.source_id where a.published_at >= {_CUT_WEEK}"""
+_IN_SET = "filter_set = '' or list_contains(string_split(filter_set, ','), cast(source_id as varchar))"
+_FILTERED = f"""
+select u.id as subscription_id, f.filter_set, coalesce(c.n, 0) as articles_count,
+  case when coalesce(c.n, 0) > 0 and regexp_matches(u.email, '{fv.EMAIL_PATTERN}') then 'sent' else 'failed' end as status,
+  case when coalesce(c.n, 0) = 0 then 'No articles found' when not regexp_matches(u.email, '{fv.EMAIL_PATTERN}') then 'Invalid email address' end as error_message,
+  concat(E'DAILY NEWS DIGEST\\nJanuary 31, 2024\\n', {_BAR}, E'\\n\\n', cast(coalesce(c.n, 0) as varchar),
+    E' new articles from your news sources\\n\\n') as text_head, coalesce(c.ids, '') as articles_ids, timestamp '{AS_OF}' as created_at
+from subscribers u join ({_SETS}) f on f.id = u.id left join (
+  select filter_set, count(*) as n, array_to_string(list_sort(list(distinct k.id)), ',') as ids
+  from (select distinct filter_set from ({_SETS}) x) s join ({_KEYS}) k on {_IN_SET} group by filter_set) c on c.filter_set = f.filter_set
+where u.is_active"""
+
+
+def _with_filters(t):
+    filters = t.subscriber_filters.select("id", F.from_json("filters", "array<bigint>").alias("source_filters"))
+    return t.subscribers.join(filters, "id")
+
+
+@query(
+    "filtered_deliveries", "J11 M4", _FILTERED, "articles article_summaries sources subscribers subscriber_filters"
+)
+def filtered_deliveries(t):
+    """Deliveries by source filter with their log: null, empty, repeated, unknown and overlapping filters."""
+    keys = subscriptions.digest_keys(t.articles, t.article_summaries, t.sources, AS_OF, WEEK)
+    subscribers = _with_filters(t)
+    rows = subscriptions.filtered_deliveries(subscribers, keys, AS_OF)
+    log = subscriptions.delivery_log(rows, subscriptions.set_articles(subscriptions.filter_index(subscribers), keys))
+    ids = log.select("id", F.array_join(F.transform("articles_ids", lambda i: i.cast("string")), ",").alias("articles_ids"), "created_at")
+    shown = rows.select("id", "subscription_id", "filter_set", "articles_count", "status", "error_message", "text_head")
+    return shown.join(ids, "id").drop("id")
+
+
 @query(
     "subscriber_addresses", "P15 X21 X22",
     f"""select id, email, regexp_matches(email, '{fv.EMAIL_PATTERN}') as valid,

@@ -88,6 +88,13 @@ VIEWS: dict[str, str] = {
           case c_mktsegment when 'BUILDING' then 'weekly' when 'MACHINERY' then 'custom' else 'daily' end as frequency,
           c_acctbal > 0 as is_active
         from {customer}""",
+    "subscriber_filters": """
+        select c_custkey as id,
+          case c_custkey % 5 when 0 then null when 1 then '[]'
+               when 2 then concat('[', c_nationkey % 20, ']')
+               when 3 then concat('[', c_nationkey % 20, ', null, ', c_custkey % 20, ', ', c_nationkey % 20, ']')
+               else concat('[', (c_custkey + 1) % 20, ', 99, ', c_custkey % 20, ']') end as filters
+        from {customer}""",
     "subscription_log": """
         select o_custkey as id, o_orderkey as seq,
           case o_orderstatus when 'F' then 'unsubscribe' when 'O' then 'reactivate' else 'frequency' end as action,
