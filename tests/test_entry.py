@@ -8,4 +8,4 @@ def test_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(sql) > 100
     own = {name for name in queries if name in catalog.load()}
-    assert own - set(sql) == {"knn_cells_probed", "text_search"}
+    assert own - set(sql) == {"text_search"}
