@@ -9,12 +9,17 @@ and 1 / 256 after a context never seen.  Every byte of a text is a token; the co
 text is zero bytes.  A document's score is the mean over its tokens of target loss minus background
 loss in nats, so texts like the target score low.
 
+The target is either a table of texts or, with ``key``, a table of keys: then the texts of the rows of ``docs``
+whose key it holds.  Those rows are found by their slim (chunk, row, key) and counted inside their chunks, so no text
+moves to be selected.
+
 Counts cover all texts.  Texts stay in compressed chunks of about 4 MB; each chunk sends its different
 5-grams with their counts to the buckets of their contexts, where the counts of all chunks are summed, and gets
 back one pair of losses per 5-gram.  What is sent grows with the number of chunks.  A bucket holds the
 5-grams of its contexts once for each chunk, and the number of buckets follows the input.
 
 * Null and empty texts have no tokens and zero losses.  Without target texts the target model is uniform.
+* A null key selects nothing; a key that is repeated in the target selects its rows once.
 * Repeated rows count as often as they occur.  All other columns come back as they are, without the text; one that
   is named like an added one is replaced.  An empty table gives an empty result.
 """
@@ -33,6 +38,8 @@ ORDER = 5
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 PIECE = 1 << 20
+#: In place of a chunk's number: counts of the target, which nobody asks back.
+TARGET = -1
 
 _COUNTS = "bucket int, chunk long, grams binary, counts binary"
 
@@ -86,7 +93,9 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "losses"])
 
 
-def score(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", bucket_bytes: int = BUCKET_BYTES, key: str | None = None
+) -> DataFrame:
     """``docs`` without text but with n_tokens, target_loss, background_loss and score (means per token)."""
     added = [T.StructField("n_tokens", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score")]
     names = {f.name for f in added} | {text}
@@ -95,8 +104,8 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
     total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     buckets = max(32, -(-total // bucket_bytes))
 
-    def counted(number: int, texts: list[bytes]):
-        grams, times = np.unique(_codes(texts)[0], return_counts=True)
+    def counted(number: int, codes: np.ndarray):
+        grams, times = np.unique(codes, return_counts=True)
         order, edges = _dealt(grams, buckets)
         rows = [
             (b, number, grams[own].astype("<u8").tobytes(), times[own].astype("<u4").tobytes())
@@ -109,10 +118,24 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
         def run(batches):
             for batch in batches:
                 for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield counted(number if asked else -1, as_bytes(unpacked(blob).column(0).combine_chunks()))
+                    yield counted(number if asked else TARGET, _codes(as_bytes(unpacked(blob).column(0).combine_chunks()))[0])
 
         return run
 
+    def keys(batches):
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = unpacked(blob).column(1 + columns.index(key)).combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), number)), pa.array(np.arange(len(own), dtype=np.int32)), own], names=["chunk", "row", "key"]
+                )
+
+    def count_both(rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        codes, lengths = _codes(as_bytes(unpacked(rows["blob"][0].as_py()).column(0).combine_chunks()))
+        taken = np.zeros(len(lengths), bool)
+        taken[chosen["row"].to_numpy()] = True
+        return pa.Table.from_batches([counted(rows["chunk"][0].as_py(), codes), counted(TARGET, codes[np.repeat(taken, lengths)])])
+
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
         table = unpacked(rows["blob"][0].as_py())
         codes, lengths = _codes(as_bytes(table.column(0).combine_chunks()))
@@ -132,7 +155,13 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
         return pa.table([table.column(c) for c in columns] + out, names=columns + [f.name for f in added])
 
     packed = packed_chunks(docs.select(text, *columns), text, CHUNK_BYTES).repartition("chunk")
-    background = packed.mapInArrow(count(True), _COUNTS)
-    wanted = packed_chunks(target.select(target_text), target_text, CHUNK_BYTES).mapInArrow(count(False), _COUNTS)
-    answers = background.union(wanted).groupBy("bucket").applyInArrow(_sum, "bucket int, chunk long, losses binary")
+    if key is None:
+        wanted = packed_chunks(target.select(target_text), target_text, CHUNK_BYTES).mapInArrow(count(False), _COUNTS)
+        counts = packed.mapInArrow(count(True), _COUNTS).union(wanted)
+    else:
+        kind = docs.schema[key].dataType.simpleString()
+        listed = packed.mapInArrow(keys, f"chunk long, row int, key {kind}")
+        chosen = listed.join(target.select(F.col(key).alias("key")), "key", "left_semi").select("chunk", "row")
+        counts = packed.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(count_both, _COUNTS)
+    answers = counts.groupBy("bucket").applyInArrow(_sum, "bucket int, chunk long, losses binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last, T.StructType(carried + added))

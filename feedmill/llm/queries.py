@@ -138,7 +138,7 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document; the target is what the labels call good and not toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
-    return lm.score(docs, docs.join(good, "doc_id", "left_semi"))
+    return lm.score(docs, good, key="doc_id")
 
 
 @query("op6_licenses")

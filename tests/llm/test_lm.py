@@ -42,6 +42,16 @@ def test_against_brute_force(spark, monkeypatch):
     assert lm.score(df.limit(0), goal).count() == 0
 
 
+def test_target_named_by_keys(spark):
+    docs = [(i % 50, f"the cat {'sat on' if i % 3 else 'was'} the mat é{i}") for i in range(60)] + [(1, None), (2, ""), (None, "x"), (3, "long " * 400), (3, "long " * 400)]
+    df = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id long, text string, key string").repartition(4)
+    chosen = [3, 3, 7, 1, 2, 999, None]
+    goal = spark.createDataFrame([(d, "other") for d in chosen], "doc_id long, text string")
+    check(lm.score(df, goal, key="doc_id").collect(), docs, [t for d, t in docs if d in (3, 7, 1, 2)])
+    check(lm.score(df, goal.limit(0), key="doc_id").collect(), docs, [])
+    assert lm.score(df.limit(0), goal, key="doc_id").count() == 0
+
+
 def test_query(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
