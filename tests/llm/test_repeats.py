@@ -55,6 +55,26 @@ def test_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_strings_with_one_name_are_told_apart_by_their_bytes(spark):
+    texts = corpus(4)
+    want = brute([(t or "").encode() for t in texts], 200)
+    for bits in (8, 13):  # thousands of strings share a few names
+        for parts in (1, 7):
+            df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(df, name_bits=bits).collect()}
+            assert [got[i] for i in range(len(texts))] == want
+
+
+def test_equal_strings():
+    r = np.random.default_rng(1)
+    one, other = r.integers(0, 2, 400, dtype=np.uint8), r.integers(0, 2, 400, dtype=np.uint8)
+    other[50:300] = one[60:310]
+    a = np.concatenate([np.arange(40, 200), r.integers(0, 390, 100)])
+    b = np.concatenate([np.arange(30, 190), r.integers(0, 390, 100)])
+    want = [bytes(one[x : x + 9]) == bytes(other[y : y + 9]) for x, y in zip(a, b)]
+    assert repeats.equal(one, a, other, b, 9).tolist() == want and any(want) and not all(want)
+
+
 def test_whole_characters(spark):
     texts = corpus(3)
     df = spark.createDataFrame([(t,) for t in texts], "text string")
