@@ -44,6 +44,23 @@ def top_per_group(
     return rows.join(staged(top_keys(rows, group, n, order, position, key), "top"), key)
 
 
+def running_total(rows: DataFrame, order: Sequence[Column], size: str, name: str) -> DataFrame:
+    """Rows with ``name``: the sum of ``size`` over all rows before them in one global order.
+
+    Rows are range-partitioned by the order and summed inside their stretch; the only unpartitioned window runs over
+    one total per stretch.  The stretches are staged, because the sampled bounds must be the same for the totals
+    and for the rows.  ``order`` must end in a unique column.
+    """
+    kept = staged(rows.repartitionByRange(*order).withColumn("_stretch", F.spark_partition_id()), "stretches")
+    before = (W.unboundedPreceding, -1)
+    totals = kept.groupBy("_stretch").agg(F.sum(size).alias("_total"))
+    shifts = totals.select("_stretch", F.sum("_total").over(W.orderBy("_stretch").rowsBetween(*before)).alias("_shift"))
+    inside = F.sum(size).over(W.partitionBy("_stretch").orderBy(*order).rowsBetween(*before))
+    summed = kept.withColumn("_inside", inside).join(shifts, "_stretch")
+    start = F.coalesce("_inside", F.lit(0)) + F.coalesce("_shift", F.lit(0))
+    return summed.withColumn(name, start.cast("bigint")).drop("_stretch", "_inside", "_shift")
+
+
 def recent_articles(
     articles: DataFrame, as_of: datetime | str, hours: float = fv.DEFAULT_HOURS_BACK, limit: int = fv.RECENT_LIMIT
 ) -> DataFrame:

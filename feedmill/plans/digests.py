@@ -18,7 +18,7 @@ from feedmill.functions.text import best_text, display_name, escape_html, prompt
 from feedmill.functions.urls import subscriber_link, valid_email
 from feedmill.operators.filters import active_rows, published_within, scraped_within
 from feedmill.operators.joins import with_source, with_summaries
-from feedmill.operators.ranking import newest_first, top_per_group
+from feedmill.operators.ranking import newest_first, running_total, top_per_group
 from feedmill.operators.scoring import OFFLINE_MODEL, Scorer, longest_sentences, score
 from feedmill.session import staged
 
@@ -167,10 +167,18 @@ def source_prompts(chosen: DataFrame) -> DataFrame:
 
     ``chosen`` is the output of :func:`top_articles`: numbered and cut per source.
     """
+    return _prompt_sections(chosen).select("source_name", "n_items", "prompt_section")
+
+
+def _prompt_sections(chosen: DataFrame) -> DataFrame:
+    """The prompt sections with the time and id of their first item, which order them."""
     entry = prompt_entry(F.col("position"), F.col("title"), F.col("url"), F.col("content"))
-    numbered = chosen.select("source_name", F.struct("position", entry.alias("entry")).alias("e"))
+    first = F.struct("published_at", "id")
+    numbered = chosen.select("source_name", first.alias("first"), F.struct("position", entry.alias("entry")).alias("e"))
     grouped = numbered.groupBy("source_name").agg(
-        F.count("*").alias("n_items"), F.array_sort(F.collect_list("e")).alias("entries")
+        F.count("*").alias("n_items"),
+        F.array_sort(F.collect_list("e")).alias("entries"),
+        F.min_by("first", "e.position").alias("first"),
     )
     return grouped.select(
         "source_name",
@@ -179,9 +187,44 @@ def source_prompts(chosen: DataFrame) -> DataFrame:
             F.lit("\n## "), F.col("source_name"), F.lit("\n\n"),
             F.array_join(F.transform("entries", lambda e: e["entry"]), "\n"),
         ).alias("prompt_section"),
+        "first.published_at",
+        "first.id",
     )
 
 
+def digest_prompt(chosen: DataFrame) -> DataFrame:
+    """The whole digest prompt as parts (part, source_name, n_items, start, text) [X16].
+
+    Parts are the opening, one section per source in the order of the sources' newest items, and the closing; ``start``
+    is the character at which the part begins, so the texts by ``start`` are the prompt and any writer can put a part
+    in its place.  Starts are prefix sums over slim (order, length) rows; no task gathers the text.  Without sections the
+    prompt is opening and closing; a source without a name has no section.
+    """
+    head = fv.DIGEST_PROMPT_HEAD + "\n\n"
+    sections = _prompt_sections(chosen).filter("prompt_section IS NOT NULL")
+    sections = sections.withColumn("text", F.concat("prompt_section", F.lit("\n"))).withColumn("_size", F.length("text"))
+    kept = staged(sections.select("source_name", "n_items", "text", "_size", "published_at", "id"), "sections")
+    starts = running_total(kept.select("source_name", "_size", "published_at", "id"), newest_first(), "_size", "start")
+    body = kept.join(starts.select("source_name", "start"), "source_name").select(
+        F.lit("section").alias("part"), "source_name", "n_items", (F.col("start") + len(head)).alias("start"), "text"
+    )
+    nothing = F.lit(None).cast("string").alias("source_name"), F.lit(0).cast("bigint").alias("n_items")
+    total = F.coalesce(F.sum("_size"), F.lit(0)).cast("bigint")
+    closing = kept.agg(
+        (total + len(head)).alias("start"), F.when(total > 0, F.lit("\n")).otherwise(F.lit("\n\n")).alias("gap")
+    ).select(F.lit("closing").alias("part"), *nothing, "start", F.concat("gap", F.lit(fv.DIGEST_PROMPT_TAIL)).alias("text"))
+    opening = kept.sparkSession.range(1).select(
+        F.lit("opening").alias("part"), *nothing, F.lit(0).cast("bigint").alias("start"), F.lit(head).alias("text")
+    )
+    return opening.unionByName(body).unionByName(closing)
+
+
+def write_prompt(parts: DataFrame, path: str) -> None:
+    """Write the prompt as text files whose order is the order of the parts; the last line ends in a line end."""
+    line = F.regexp_replace("text", "\n\\z", "")  # the writer ends every row with one
+    parts.orderBy("start").select(line.alias("text")).write.mode("errorifexists").text(path)
+
+
 # --- rendering ----------------------------------------------------------------------------
 
 

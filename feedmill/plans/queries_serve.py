@@ -232,6 +232,29 @@ def source_prompts(t):
     return digests.source_prompts(digests.top_articles(t.articles, t.sources, AS_OF, WEEK))
 
 
+_PROMPT_HEAD = f"concat('{fv.DIGEST_PROMPT_HEAD.replace(chr(39), chr(39) * 2)}', E'\\n\\n')"
+_PROMPT_TAIL = f"'{fv.DIGEST_PROMPT_TAIL}'"
+
+
+@query(
+    "digest_prompt", "X16 W3 X13",
+    f"""select * from (with sections as (
+      select source_name, count(*) as n_items, concat(E'\\n## ', source_name, E'\\n\\n', string_agg(concat(cast(position as varchar),
+          '. **', title, E'**\\n   URL: ', url, E'\\n   Content preview: ', substr(content, 1, 300), E'...\\n'), E'\\n'
+          order by position), E'\\n') as text,
+        arg_min(id, position) as first_id, max(case when position = 1 then published_at end) as first_at
+      from ({_TOP}) x group by source_name)
+    select 'opening' as part, null as source_name, 0 as n_items, 0 as start, {_PROMPT_HEAD} as text
+    union all select 'section', source_name, n_items, cast(length({_PROMPT_HEAD}) + coalesce(sum(length(text)) over
+        (order by first_at desc nulls first, first_id rows between unbounded preceding and 1 preceding), 0) as bigint), text from sections
+    union all select 'closing', null, 0, cast(length({_PROMPT_HEAD}) + coalesce(sum(length(text)), 0) as bigint),
+        concat(case when count(*) > 0 then E'\\n' else E'\\n\\n' end, {_PROMPT_TAIL}) from sections) p""",
+    "articles sources",
+)
+def digest_prompt(t):
+    return digests.digest_prompt(digests.top_articles(t.articles, t.sources, AS_OF, WEEK))
+
+
 # --- filters ------------------------------------------------------------------------------
 
 

@@ -105,3 +105,40 @@ def test_transcripts_in_parts_and_by_language(spark):
         ("v", 0): " ".join(f"e{i}" for i in range(10)), ("v", 1): " ".join(f"e{i}" for i in range(10, 20)),
         ("v", 2): " ".join(f"e{i}" for i in range(20, 25)), ("w", 0): "a b",
     }
+
+
+def test_parts_of_the_prompt_lie_end_to_end(spark, tmp_path):
+    from feedmill import fixed_values as fv
+
+    articles, _, sources = frames(spark)
+    parts = digests.digest_prompt(digests.top_articles(articles, sources, "2024-01-03", 24 * 400))
+    rows = sorted(parts.collect(), key=lambda r: r.start)
+    assert [(r.part, r.source_name) for r in rows] == [("opening", None), ("section", "Same"), ("section", "Other"), ("closing", None)]
+    for one, other in zip(rows, rows[1:]):
+        assert one.start + len(one.text) == other.start
+    entry = lambda i, t, u, c: f"{i}. **{t}**\n   URL: {u}\n   Content preview: {c}...\n"
+    middle = ["\n## Same\n", entry(1, "B", "u2", "two"), entry(2, "C", "u3", ""), entry(3, "A", "u1", "one"), "\n## Other\n", entry(1, "D", "u4", "four")]
+    want = fv.DIGEST_PROMPT_HEAD + "\n\n" + "\n".join(middle) + "\n\n" + fv.DIGEST_PROMPT_TAIL
+    assert "".join(r.text for r in rows) == want
+    digests.write_prompt(parts, str(tmp_path / "prompt"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "prompt").glob("part-*"))) == want + "\n"
+
+
+def test_prompt_without_articles(spark):
+    from feedmill import fixed_values as fv
+
+    articles, _, sources = frames(spark)
+    parts = digests.digest_prompt(digests.top_articles(articles.limit(0), sources, "2024-01-03", 48)).orderBy("start").collect()
+    assert "".join(r.text for r in parts) == f"{fv.DIGEST_PROMPT_HEAD}\n\n\n\n{fv.DIGEST_PROMPT_TAIL}"
+
+
+def test_running_total_over_many_stretches(spark):
+    from feedmill.operators.ranking import running_total
+
+    rows = spark.range(0, 5000, 1, 5).selectExpr("id", "id * 7919 % 5000 as place", "id % 11 as size")
+    got = {r.place: (r.size, r.start) for r in running_total(rows, [F.col("place").desc()], "size", "start").collect()}
+    total = 0
+    for place in range(4999, -1, -1):
+        size, start = got[place]
+        assert start == total
+        total += size
