@@ -111,3 +111,11 @@ Format the output as follows:
 - Maintain a professional tone"""
 DIGEST_PROMPT_TAIL = "Generate the digest:"
 SNIPPET_FORMAT = "**%s**\n%s\n[Read more](%s)\n"
+
+# --- Fixed values: bodies of mails --------------------------------------------------------
+SUBSCRIBED_NOTE = "You're receiving this because you subscribed to "
+ARTICLES_NOTE = " new articles from your news sources"
+UNSUBSCRIBE_LABEL = "Unsubscribe"
+PREFERENCES_LABEL = "Manage Preferences"
+GENERATED_HTML_NOTE = "This digest was automatically generated by "
+GENERATED_TEXT_NOTE = "Generated by "

@@ -7,7 +7,7 @@ splits skewed partitions.  Wide text columns are selected after the filters that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from feedmill.functions.text import present
 
@@ -31,13 +31,24 @@ def one_summary(summaries: DataFrame) -> DataFrame:
 
     Summaries without an id come after all others, the first by time and model.
 
-    A map-side combined aggregate: an article with very many summaries sends one row per task, and
-    the result is already partitioned by article for the joins that follow.
+    The lowest id is a hash aggregate over (article, id) alone, and the texts are streamed past a hash table of those keys, so
+    no wide row is sorted.  Only articles whose lowest id is missing or given to several rows have their rows ranked, by
+    a window whose group limit works before the shuffle.
     """
     rest = [c for c in summaries.columns if c != "article_id"]
-    first = [F.col("id").isNull().alias("_no_id"), *(c for c in ("id", "created_at", "model") if c in rest)]
-    lowest = summaries.groupBy("article_id").agg(F.min_by(F.struct(*rest), F.struct(*first)).alias("_s"))
-    return lowest.select("article_id", "_s.*")
+    counted = summaries.groupBy("article_id", "id").agg(F.count("*").alias("_n"))
+    lowest = counted.groupBy("article_id").agg(
+        F.min("id").alias("id"), F.min(F.when(F.col("_n") > 1, F.col("id"))).alias("_repeated")
+    )
+    unique = F.coalesce(F.col("article_id").isNotNull() & (F.col("id") != F.coalesce("_repeated", F.col("id") + 1)), F.lit(False))
+    single = lowest.filter(unique).select("article_id", "id").hint("shuffle_hash")
+    plain = summaries.join(single, ["article_id", "id"], "left_semi")
+    crowded = lowest.filter(~unique).select(F.col("article_id").alias("_article"))
+    ranked = summaries.join(crowded, F.col("article_id").eqNullSafe(F.col("_article")), "left_semi")
+    order = [F.col("id").asc_nulls_last(), *(F.col(c) for c in ("created_at", "model") if c in rest), F.xxhash64(*rest)]
+    place = F.row_number().over(W.partitionBy("article_id").orderBy(*order))
+    first = ranked.withColumn("_place", place).filter("_place = 1")
+    return plain.select("article_id", *rest).unionByName(first.select("article_id", *rest))
 
 
 def lineage(articles: DataFrame, state: DataFrame, summaries: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -78,6 +78,19 @@ def any_recent(articles: DataFrame, as_of: datetime | str, hours: float, limit:
     return published_within(articles, as_of, hours).orderBy("id").limit(limit)
 
 
+def first_with_summaries(articles: DataFrame, summaries: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows (id, title, model, summary) of the joined tables by id and model [J12].
+
+    The (id, model) keys alone are ranked; the ids of those at most ``limit`` rows are then pushed into the scans of
+    titles and texts.
+    """
+    keys = articles.select("id").join(summaries.select(F.col("article_id").alias("id"), "model"), "id")
+    ids = [row["id"] for row in keys.orderBy("id", "model").limit(limit).select("id").distinct().collect()]
+    titles = articles.filter(F.col("id").isin(ids)).select("id", "title")
+    texts = summaries.filter(F.col("article_id").isin(ids)).select(F.col("article_id").alias("id"), "model", "summary")
+    return titles.join(texts, "id").orderBy("id", "model").limit(limit).select("id", "title", "model", "summary")
+
+
 def latest_runs(runs: DataFrame, limit: int = fv.RUN_HISTORY_LIMIT) -> DataFrame:
     """The last runs [K5]."""
     return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)

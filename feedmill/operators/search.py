@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from feedmill import fixed_values as fv
 from feedmill.session import staged
@@ -28,6 +28,12 @@ def check_arguments(query_text: str, limit: int) -> None:
     check_limit(limit)
 
 
+def accepted_arguments(query_text: Column, limit: Column) -> Column:
+    """The contract of :func:`check_arguments` for a table of requests; NULL arguments are refused [P19]."""
+    long_enough = F.length(query_text) >= fv.SEARCH_MIN_QUERY_CHARS
+    return F.coalesce(long_enough & limit.between(fv.SEARCH_MIN_LIMIT, fv.SEARCH_MAX_LIMIT), F.lit(False))
+
+
 def check_limit(limit: int) -> None:
     """Allowed number of search results [P19]."""
     if not fv.SEARCH_MIN_LIMIT <= limit <= fv.SEARCH_MAX_LIMIT:

@@ -126,6 +126,11 @@ def _seconds(column: str) -> Column:
 
 def section_bodies(grouped: DataFrame) -> DataFrame:
     """(source_name, n_items, text_body, html_body) per section, in group order [X19, X20]."""
+    return _rendered(grouped).orderBy("_first").drop("_first")
+
+
+def _rendered(grouped: DataFrame) -> DataFrame:
+    """The section bodies with the key of the group order."""
 
     def text_item(i: Column) -> Column:
         return F.concat(
@@ -142,7 +147,7 @@ def section_bodies(grouped: DataFrame) -> DataFrame:
         )
 
     head = F.concat(F.lit("\n📰 "), F.upper("source_name"), F.lit("\n" + "-" * 60 + "\n"))
-    return grouped.orderBy("_first").select(
+    return grouped.select(
         "source_name",
         "n_items",
         F.concat(head, F.array_join(F.transform("items", text_item), "\n")).alias("text_body"),
@@ -150,9 +155,47 @@ def section_bodies(grouped: DataFrame) -> DataFrame:
             F.lit("<h2>📰 "), F.col("source_name"), F.lit("</h2>"),
             F.array_join(F.transform("items", html_item), ""),
         ).alias("html_body"),
+        "_first",
     )
 
 
+def digest_body(grouped: DataFrame, as_of: datetime | str, brand: str = BRAND) -> DataFrame:
+    """The whole body of a digest by sections as parts, with its header and footer [M2, X19, X20].
+
+    Rows are (part, source_name, n_items, text_start, text_part, html_start, html_part): opening, the sections in group
+    order, closing.  The parts by their start are the body; starts are prefix sums over slim rows, so no task
+    gathers the body.  Without sections the body is opening and closing; a source without a name has no section.
+    """
+    bar, day = "=" * 60, long_date(literal_time(as_of))
+    opening_text = F.concat(F.lit(f"{bar}\n{brand.upper()}\n"), day, F.lit(f"\n{bar}\n\n"))
+    opening_html = F.concat(F.lit(f"<h1>🗞 {brand}</h1><p>"), day, F.lit("</p><hr>"))
+    closing_text, closing_html = f"\n{bar}\n{fv.GENERATED_TEXT_NOTE}{brand}\n{bar}", f"<hr><p>{fv.GENERATED_HTML_NOTE}{brand}</p>"
+    rendered = _rendered(grouped).filter("source_name IS NOT NULL").select(
+        "source_name", "n_items", "_first", F.concat("text_body", F.lit("\n")).alias("text_part"), F.col("html_body").alias("html_part")
+    )
+    sized = rendered.withColumn("_text", F.length("text_part")).withColumn("_html", F.length("html_part"))
+    kept = staged(sized, "bodies")
+    slim = kept.select("source_name", "_first", "_text", "_html")
+    slim = running_total(slim, [F.col("_first")], "_text", "text_start")
+    starts = running_total(slim, [F.col("_first")], "_html", "html_start").select("source_name", "text_start", "html_start")
+    none, zero = F.lit(None).cast("string").alias("source_name"), F.lit(0).cast("bigint")
+    body = kept.join(starts, "source_name").select(
+        F.lit("section").alias("part"), "source_name", "n_items",
+        (F.col("text_start") + F.length(opening_text)).alias("text_start"), "text_part",
+        (F.col("html_start") + F.length(opening_html)).alias("html_start"), "html_part",
+    )
+    opening = kept.sparkSession.range(1).select(
+        F.lit("opening").alias("part"), none, zero.alias("n_items"),
+        zero.alias("text_start"), opening_text.alias("text_part"), zero.alias("html_start"), opening_html.alias("html_part"),
+    )
+    end = lambda size, before: (F.coalesce(F.sum(size), zero) + F.length(before)).cast("bigint")
+    closing = kept.agg(end("_text", opening_text).alias("text_start"), end("_html", opening_html).alias("html_start")).select(
+        F.lit("closing").alias("part"), none, zero.alias("n_items"),
+        "text_start", F.lit(closing_text).alias("text_part"), "html_start", F.lit(closing_html).alias("html_part"),
+    )
+    return opening.unionByName(body).unionByName(closing)
+
+
 def digest_totals(items: DataFrame) -> DataFrame:
     """{total_articles, total_sources, success} of a digest [A14]."""
     return items.agg(
@@ -281,7 +324,7 @@ def deliveries(
     brand: str = BRAND,
     base_url: str = BASE_URL,
 ) -> DataFrame:
-    """One row per active subscriber: address, links, opening and closing of the body, outcome [M4, J11].
+    """One row per active subscriber: address, links, opening and closing of both bodies, outcome [M4, J11, X19, X20].
 
     The digest is counted once by a scalar subquery; no subscriber is ever paired with items.  An
     empty digest is not sent.
@@ -297,6 +340,10 @@ def delivery_rows(counted: DataFrame, as_of: datetime | str, brand: str, base_ur
     email = F.col("email")
     valid = valid_email(email)
     status = F.when((F.col("articles_count") > 0) & valid, F.lit("sent")).otherwise(F.lit("failed"))
+    links = [(label, subscriber_link(email, action, base_url)) for label, action in (
+        (fv.UNSUBSCRIBE_LABEL, "unsubscribe"), (fv.PREFERENCES_LABEL, "preferences"))]
+    anchors = [F.concat(F.lit('<a href="'), escape_html(link), F.lit(f'">{label}</a>')) for label, link in links]
+    title = escape_html(F.lit(brand))
     return counted.select(
         F.col("id").alias("subscription_id"),
         "email",
@@ -304,13 +351,22 @@ def delivery_rows(counted: DataFrame, as_of: datetime | str, brand: str, base_ur
         subject_line(as_of, brand).alias("subject"),
         F.concat(
             F.lit(f"{brand.upper()}\n"), day, F.lit(f"\n{DOUBLE_RULE}\n\n"),
-            F.col("articles_count").cast("string"), F.lit(" new articles from your news sources\n\n"),
+            F.col("articles_count").cast("string"), F.lit(f"{fv.ARTICLES_NOTE}\n\n"),
         ).alias("text_head"),
         F.concat(
-            F.lit(f"{DOUBLE_RULE}\n\nYou're receiving this because you subscribed to {brand}\n\nUnsubscribe: "),
-            subscriber_link(email, "unsubscribe", base_url), F.lit("\nManage Preferences: "),
-            subscriber_link(email, "preferences", base_url), F.lit("\n"),
+            F.lit(f"{DOUBLE_RULE}\n\n{fv.SUBSCRIBED_NOTE}{brand}\n\n"),
+            *[F.concat(F.lit(f"{label}: "), link, F.lit("\n")) for label, link in links],
         ).alias("text_tail"),
+        F.concat(
+            F.lit('<!DOCTYPE html><html><head><meta charset="UTF-8"><title>'), title,
+            F.lit('</title></head><body><div class="container"><div class="header"><h1>'), title, F.lit("</h1><p>"), day,
+            F.lit('</p></div><div class="content"><div class="summary"><p><strong>'),
+            F.col("articles_count").cast("string"), F.lit(f"</strong>{fv.ARTICLES_NOTE}</p></div>"),
+        ).alias("html_head"),
+        F.concat(
+            F.lit(f'</div><div class="footer"><p>{fv.SUBSCRIBED_NOTE}'), title, F.lit("</p><p>"),
+            F.concat_ws(" • ", *anchors), F.lit("</p></div></div></body></html>"),
+        ).alias("html_tail"),
         "articles_count",
         status.alias("status"),
         F.when(F.col("articles_count") == 0, F.lit("No articles found"))

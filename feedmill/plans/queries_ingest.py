@@ -8,9 +8,12 @@ from feedmill.functions.urls import canonical_url
 from feedmill.operators import aggregates, dedup
 from feedmill.operators.gates import declared_route, extraction_route, quality_rejects
 from feedmill.operators.scoring import stage_rows
+from feedmill.operators.state import article_state
 from feedmill.plans import ingest
 from feedmill.plans.catalog import query
+from feedmill.plans.queries_serve import STATE_SQL
 from feedmill.plans.views import AS_OF
+from feedmill.session import scratch_path
 from feedmill.sources import feeds, pages, tables
 
 # What the landed feed documents hold, said directly over the articles.
@@ -358,3 +361,63 @@ def extraction_outcomes(t):
 )
 def article_records(t):
     return t.articles.select("id", tables.as_json("id", "title", "url", "video_id", "content").alias("record"))
+
+
+# --- configuration, sinks and dry runs ----------------------------------------------------
+
+CHANNELS_PER_FILE = 1000
+
+
+@query(
+    "configured_channels", "S8",
+    """select title as name, video_id as channel_id, nullif(category, 'de') as description from articles where coalesce(video_id, '') <> ''""",
+    "articles",
+)
+def configured_channels(t):
+    """Configuration files of a thousand entries each, most of them without a channel id, and one folder that is missing."""
+    path = scratch_path(t.spark, "channels")
+    blank = F.when(F.col("id") % 2 == 0, F.lit("")).alias("channel_id")
+    entry = F.struct(F.col("title").alias("name"), F.coalesce("video_id", blank).alias("channel_id"), F.nullif("category", F.lit("de")).alias("description"))
+    numbered = t.articles.select(F.expr(f"id div {CHANNELS_PER_FILE}").alias("file"), entry.alias("entry"))
+    files = numbered.groupBy("file").agg(F.collect_list("entry").alias("channels"))
+    files.write.partitionBy("file").json(path)
+    return tables.read_channels(t.spark, path).unionByName(tables.read_channels(t.spark, f"{path}-missing"))
+
+
+@query(
+    "appended_features", "S11 D6",
+    """select article_id, model, length(summary)::int as chars from article_summaries
+       where model <> 'model-b' or article_id not in (select article_id from article_summaries where model = 'model-c')""",
+    "article_summaries",
+)
+def appended_features(t):
+    """One model's summaries, another model's twice, then what articles without any summary still lack."""
+    path = scratch_path(t.spark, "features")
+    features = t.article_summaries.select("article_id", "model", "summary")
+    stored = lambda: t.spark.read.schema(features.schema).parquet(path)
+    of = lambda model: features.filter(F.col("model") == model)
+    tables.append_features(of("model-c"), features.limit(0), path)
+    for _ in range(2):
+        tables.append_features(of("model-a"), stored(), path, model="model-a")
+    tables.append_features(of("model-b"), stored(), path)
+    return stored().select("article_id", "model", F.length("summary").alias("chars"))
+
+
+@query("state_of_log", "S12 T2", STATE_SQL, "processing_events")
+def state_of_log(t):
+    """Two appends to the event log; the state is derived from what the log holds."""
+    path = scratch_path(t.spark, "log")
+    for later in (False, True):
+        tables.append_log(t.processing_events.filter((F.col("event_id") % 2 == 1) == F.lit(later)), path)
+    return article_state(t.spark.read.schema(t.processing_events.schema).parquet(path))
+
+
+@query(
+    "dry_run", "S17",
+    f"select outcome, count(*) as n, 0::bigint as stored from ({_FOUND}) f group by outcome", "articles sources",
+)
+def dry_run(t):
+    """An ingest whose sink is not called: what it would do, and the rows its table holds afterwards."""
+    path = scratch_path(t.spark, "articles")
+    counts = _labelled(t).groupBy("outcome").agg(F.count("*").alias("n"))
+    return counts.withColumn("stored", tables.read_articles(t.spark, path).agg(F.count("*").alias("n")).scalar())

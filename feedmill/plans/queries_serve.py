@@ -100,6 +100,31 @@ def digest_sections(t):
     return digests.section_bodies(digests.sections(scored))
 
 
+_BODY_HEAD = "concat(repeat('=', 60), E'\\nDAILY NEWS DIGEST\\nJanuary 31, 2024\\n', repeat('=', 60), E'\\n\\n')"
+_HTML_HEAD = "'<h1>🗞 Daily News Digest</h1><p>January 31, 2024</p><hr>'"
+_BEFORE = "over (order by newest desc nulls first, first_id rows between unbounded preceding and 1 preceding)"
+
+
+@query(
+    "digest_body", "M2 A2 X19 X20",
+    f"""select * from (with bodies as (
+      select b.source_name, n_items, concat(text_body, E'\\n') as text_part, html_body as html_part, newest, first_id from ({_SECTION}) b
+      join (select source_name, case when count(*) = count(published_at) then max(published_at) end as newest,
+          arg_min(id, position) as first_id from ({_SCORED}) d group by source_name) o on o.source_name = b.source_name)
+    select 'opening' as part, null as source_name, 0 as n_items, 0 as text_start, {_BODY_HEAD} as text_part, 0 as html_start, {_HTML_HEAD} as html_part
+    union all select 'section', source_name, n_items,
+      cast(length({_BODY_HEAD}) + coalesce(sum(length(text_part)) {_BEFORE}, 0) as bigint), text_part,
+      cast(length({_HTML_HEAD}) + coalesce(sum(length(html_part)) {_BEFORE}, 0) as bigint), html_part from bodies
+    union all select 'closing', null, 0, cast(length({_BODY_HEAD}) + coalesce(sum(length(text_part)), 0) as bigint),
+      concat(E'\\n', repeat('=', 60), E'\\nGenerated by Daily News Digest\\n', repeat('=', 60)),
+      cast(length({_HTML_HEAD}) + coalesce(sum(length(html_part)), 0) as bigint),
+      '<hr><p>This digest was automatically generated by Daily News Digest</p>' from bodies) p""",
+    "articles sources",
+)
+def digest_body(t):
+    return digests.digest_body(digests.sections(digests.scored_digest(t.articles, t.sources, AS_OF, WEEK)), AS_OF)
+
+
 @query(
     "digest_totals", "A14",
     f"select count(*) as total_articles, count(distinct source_name) as total_sources, count(*) > 0 as success from ({_TOP}) x",
@@ -148,6 +173,12 @@ select u.id as subscription_id, u.email, coalesce(nullif(u.name, ''), 'Reader')
   concat({_BAR}, E'\\n\\nYou''re receiving this because you subscribed to Daily News Digest\\n\\nUnsubscribe: ',
     'http://localhost:8000/unsubscribe?email=', u.email, E'\\nManage Preferences: ',
     'http://localhost:8000/preferences?email=', u.email, E'\\n') as text_tail,
+  concat('<!DOCTYPE html><html><head><meta charset="UTF-8"><title>Daily News Digest</title></head><body><div class="container">',
+    '<div class="header"><h1>Daily News Digest</h1><p>January 31, 2024</p></div><div class="content"><div class="summary"><p><strong>',
+    cast(n as varchar), '</strong> new articles from your news sources</p></div>') as html_head,
+  concat('</div><div class="footer"><p>You''re receiving this because you subscribed to Daily News Digest</p><p><a href="',
+    {_e("concat('http://localhost:8000/unsubscribe?email=', u.email)")}, '">Unsubscribe</a> • <a href="',
+    {_e("concat('http://localhost:8000/preferences?email=', u.email)")}, '">Manage Preferences</a></p></div></div></body></html>') as html_tail,
   n as articles_count,
   case when n > 0 and ok then 'sent' else 'failed' end as status,
   case when n = 0 then 'No articles found' when not ok then 'Invalid email address' end as error_message,
@@ -292,8 +323,7 @@ def any_recent(t):
     "articles article_summaries",
 )
 def articles_with_summaries(t):
-    joined = joins.with_summaries(t.articles.select("id", "title"), t.article_summaries)
-    return joined.orderBy("id", "model").limit(50).select("id", "title", "model", "summary")
+    return ranking.first_with_summaries(t.articles, t.article_summaries, 50)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedmill import fixed_values as fv
 from feedmill.functions import dates, html, responses, text, urls
 from feedmill.operators import gates, scoring
+from feedmill.operators.search import accepted_arguments
 from feedmill.plans.catalog import query
 from feedmill.plans.queries_ingest import ARTICLE_TEXT, _decode
 from feedmill.plans.queries_serve import _longest_sql
@@ -287,3 +288,64 @@ def embed_articles(t):
     return vectors.select(
         "article_id", "model", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 5).alias("length")
     )
+
+
+class _Refusing:
+    """A scorer that refuses the first ``n`` calls of a prompt ending in ``|n``."""
+
+    def __init__(self):
+        self.refused = {}
+
+    def __call__(self, prompt):
+        already = self.refused.pop(prompt, 0)
+        if already < int(prompt.rsplit("|", 1)[1]):
+            self.refused[prompt] = already + 1
+            raise ConnectionError(f"call {already + 1}")
+        return f"answer to {prompt}"
+
+
+@query(
+    "retried_calls", "F5 F2",
+    """select id as article_id, least(id % 5 + 1, 3)::int as attempts, case when id % 5 < 3 then concat('answer to ', title, '|', id % 5) end as summary,
+      case when id % 5 >= 3 then 'ConnectionError: call 3' end as error from articles""",
+    "articles",
+)
+def retried_calls(t):
+    """Calls that succeed at the first, second or third attempt, or end in a row with the error."""
+    prompt = F.concat("title", F.lit("|"), (F.col("id") % 5).cast("string"))
+    scored = scoring.score(t.articles, prompt, _Refusing(), "refusing", wait=(0.0, 0.0))
+    return scored.select("article_id", "attempts", "summary", "error")
+
+
+VOWELS = "aeiou"
+
+
+def _vowel_vectors(texts):
+    """Counts of the five vowels of each text, of unit length."""
+    counts = [[text.count(v) for v in VOWELS] for text in texts]
+    return [[c / max(1.0, sum(x * x for x in row) ** 0.5) for c in row] for row in counts]
+
+
+_VOWEL_COUNTS = ", ".join(f"length(content) - length(replace(content, '{v}', '')) as {v}" for v in VOWELS)
+_VOWEL_SHARES = ", ".join(f"cast(cast({v} / greatest(1.0, sqrt(({' + '.join(f'{w} * {w}' for w in VOWELS)})::double)) as float) as double) as {v}" for v in VOWELS)
+
+
+@query(
+    "encoded_articles", "F3 F4 P12",
+    f"""select id as article_id, 'vowels' as model, {_VOWEL_SHARES} from (select id, {_VOWEL_COUNTS} from articles where trim(content) <> '') c""",
+    "articles",
+)
+def encoded_articles(t):
+    """Vectors of a given encoder over whole texts, entry by entry."""
+    vectors = scoring.embed(t.articles, "content", _vowel_vectors, "vowels").filter("embedding IS NOT NULL")
+    return vectors.select("article_id", "model", *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(VOWELS)])
+
+
+@query(
+    "search_requests", "P19",
+    """select doc_id, doc_id % 3 = 1 and doc_id % 60 between 1 and 50 as accepted from documents""",
+)
+def search_requests(t):
+    """Requests with one, two or no characters and limits from 0 to 59."""
+    asked = F.when(F.col("doc_id") % 3 == 0, F.substring("lang", 1, 1)).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return t.documents.select("doc_id", accepted_arguments(asked, F.col("doc_id") % 60).alias("accepted"))

@@ -123,6 +123,18 @@ def vector_texts(t):
     return t.article_embeddings.select("article_id", vectors.vector_text(scaled).alias("literal"))
 
 
+@query(
+    "vector_literals", "V5",
+    """select article_id, cast(unnest(range(len(embedding))) as int) as place, cast(unnest(embedding) as double) as value from article_embeddings""",
+    "article_embeddings",
+)
+def vector_literals(t):
+    """Every number of every vector, read back from the vector's text."""
+    read = F.from_json(vectors.vector_text(F.col("embedding")), "array<float>")
+    rows = t.article_embeddings.select("article_id", F.posexplode(read).alias("place", "value"))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
 @query(
     "model_info", "V6 P16",
     """select model, count(*) as n_vectors, cast(min(len(embedding)) as int) as min_dim, cast(max(len(embedding)) as int) as max_dim,

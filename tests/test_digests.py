@@ -83,6 +83,35 @@ def test_deliveries(spark):
     assert {(r.status, r.error_message) for r in empty} == {("failed", "No articles found")}
 
 
+def test_delivery_frames_close_and_escape(spark):
+    people = spark.createDataFrame([(1, "a&\"b@c.co", "Ann", True), (2, None, None, True)], "id long, email string, name string, is_active boolean")
+    items = digests.digest(*frames(spark), "2024-01-03", 24)
+    for r in digests.deliveries(people, items, "2024-01-03", brand="A <b> & C").collect():
+        whole = r.html_head + r.html_tail
+        assert all(whole.count(f"<{t}") == whole.count(f"</{t}>") for t in ("html", "body", "div", "h1", "strong"))
+        assert "A &lt;b&gt; &amp; C</h1>" in r.html_head and "<strong>3</strong>" in r.html_head and "January 03, 2024" in r.html_head
+        link = "#" if r.email is None else "http://localhost:8000/unsubscribe?email=a&amp;&#34;b@c.co"
+        assert f'<a href="{link}">Unsubscribe</a> • <a href="' in r.html_tail
+
+
+def test_body_parts_stand_at_their_starts(spark):
+    items = spark.sql("""select * from values (1L, 'One', 'T1', 'u1', timestamp_ntz'2024-01-02 00:00:00', 's <1>', 1), (2L, 'One', 'T2', 'u2', null, 's2', 2),
+        (3L, 'Two', 'T3', 'u3', timestamp_ntz'2024-01-03 00:00:00', '😀', 1), (4L, null, 'T4', 'u4', null, 's4', 1) t(id, source_name, title, url, published_at, summary, position)""")
+    parts = digests.digest_body(digests.sections(items), "2024-01-03", brand="Mine").collect()
+    for kind in ("text", "html"):
+        body = ""
+        for part in sorted(parts, key=lambda p: p[f"{kind}_start"]):
+            assert part[f"{kind}_start"] == len(body)
+            body += part[f"{kind}_part"]
+        assert body.index("T1") < body.index("T2") < body.index("T3") and "T4" not in body
+    text = "".join(p.text_part for p in sorted(parts, key=lambda p: p.text_start))
+    bar = "=" * 60
+    assert text.startswith(f"{bar}\nMINE\nJanuary 03, 2024\n{bar}\n\n\n📰 ONE\n" + "-" * 60 + "\n\n• T1\n  Jan 02, 2024\n\n  s <1>\n  Read more: u1\n")
+    assert text.endswith(f"Read more: u3\n\n\n{bar}\nGenerated by Mine\n{bar}")
+    empty = digests.digest_body(digests.sections(items.limit(0)), "2024-01-03").collect()
+    assert [p.part for p in sorted(empty, key=lambda p: p.text_start)] == ["opening", "closing"]
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     rows = spark.range(9000, numPartitions=6).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 100).cast("string")).alias("g"),

@@ -181,3 +181,15 @@ def test_five_thousand_groups(spark, tmp_path):
     found = {(r.query_id, r.position): r.article_id for r in index.search_many(knn.group_centres(labelled, "label"), 2, probes=2, block_queries=2000).collect()}
     centres = (vectors[:5000].astype("float64") + vectors[5000:].astype("float64")) / 2
     assert len(found) == 10000 and found == brute(centres, vectors, 2)
+
+
+def test_request_contract_agrees_with_the_argument_check(spark):
+    asked = [(None, 5), ("a", 5), ("ab", 0), ("ab", 1), ("ab", 50), ("ab", 51), ("ab", None)]
+    got = spark.createDataFrame(asked, "q string, n int").select(knn.accepted_arguments(F.col("q"), F.col("n"))).collect()
+    assert [r[0] for r in got] == [False, False, False, True, True, False, False]
+    for (q, n), accepted in zip(asked[1:-1], got[1:-1]):
+        try:
+            knn.check_arguments(q, n)
+            assert accepted[0]
+        except ValueError:
+            assert not accepted[0]

@@ -150,3 +150,14 @@ def test_summaries_without_id_are_kept(spark):
     rows = [(None, 1, "b", "second"), (None, 1, "a", "first"), (7, 2, "b", "with id"), (None, 2, "a", "without")]
     found = joins.one_summary(spark.createDataFrame(rows, "id long, article_id long, model string, summary string"))
     assert {r.article_id: r.summary for r in found.collect()} == {1: "first", 2: "with id"}
+
+
+def test_one_summary_sorts_no_wide_rows_and_takes_one_of_repeated_ids(spark):
+    rows = [(4, 1, "b", "later"), (3, 1, "a", "low"), (3, 1, "a", "low"), (3, 1, "0", "lowest model"), (9, 2, "a", "only"), (None, None, "b", "x"), (5, None, "a", "no article")]
+    rows += [(100 + i, 3, "m", f"s{i}") for i in range(50)]
+    summaries = spark.createDataFrame(rows, "id long, article_id long, model string, summary string").repartition(5)
+    found = joins.one_summary(summaries)
+    assert {r.article_id: r.summary for r in found.collect()} == {1: "lowest model", 2: "only", None: "no article", 3: "s0"}
+    assert found.count() == 4 and joins.one_summary(summaries.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ShuffledHashJoin" in plan and "WindowGroupLimit" in plan
