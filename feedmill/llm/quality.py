@@ -17,7 +17,8 @@ Inputs are the text's bytes alone: shares of single ASCII punctuation marks, of
 byte classes, of repeated neighbours, words and lines, and the mean word length.
 
 * Null and empty texts have all-zero shares and are scored like any other text.
-* A label given several times counts by its mean; ids without text, or null, teach nothing.
+* A label given several times counts by its mean; ids without text, or null, teach nothing.  Of an id with several texts the
+  one with the smallest hash teaches.
 * Without positives the score is the constant 0.5.
 * Repeated rows come back as often as they come in, with all other columns; a column that is named like an
   added one is replaced.  A null id is not held out.  An empty table gives an empty result.
@@ -169,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     good = given.filter("_good").orderBy(F.xxhash64(F.lit(1), key), key).limit(most).select(key, F.lit(True).alias("_good"))
     some = rows.select(key).filter(key.isNotNull() & ~held_out(key)).distinct().orderBy(F.xxhash64(F.lit(2), key), key).limit(most)
     chosen = good.union(some.select(key, F.lit(False).alias("_good")))
-    texts = rows.join(chosen, "_id").filter(F.col("_text").isNotNull()).dropDuplicates(["_id", "_good"])
+    met = rows.filter(F.col("_text").isNotNull()).join(F.broadcast(chosen), "_id")  # 2 * most ids at most, so no text is shuffled to be chosen
+    first = F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_least")
+    texts = met.groupBy("_id", "_good").agg(first).select(F.col("_least._text").alias("_text"), "_good")
 
     def run(batches):
         for batch in in_slices(batches, "_text"):

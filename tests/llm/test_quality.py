@@ -47,3 +47,11 @@ def test_held_out_accuracy(spark):
     auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
     print("held out", len(own), "auc", auc, "good kept", (good >= 0.3).mean(), "bad gone", (bad < 0.3).mean())
     assert auc > 0.97 and (good >= 0.3).mean() > 0.98 and (bad < 0.3).mean() > 0.85
+
+
+def test_an_id_with_several_texts_teaches_the_same_in_any_order(spark):
+    rows = [(i, f"Plain words {i} here." if i % 3 else f"BAD!!! {i}", 1) for i in range(60)] + [(i, f"Other text {i}!", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    one, other = (quality.fit(df.orderBy(order).repartition(n), labels) for order, n in (("text", 2), ("doc_id", 5)))
+    assert one.prior == other.prior and np.allclose(one.weights, other.weights, rtol=1e-3, atol=1e-3)
