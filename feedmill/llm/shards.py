@@ -14,6 +14,8 @@ of rows up to ``MOST_STRETCHES``, which bounds the table of stretch sizes.
 * A null source is a source of its own; null or empty texts and null keys are rows like any other.
 * Rows with equal hash are ordered by key, checksum and size; rows equal in all of these are
   interchangeable, so the result is the same whichever comes first.
+* Equal rows are numbered as one row with a count and dealt out again in blocks of ``COPIES_PER_BLOCK``, so a row that holds
+  a third of the table gathers in no task.  Carried columns must be of types that Spark can group by.
 * An empty table gives an empty result; with fewer rows than shards some shards stay empty.
 * Columns of the input other than those asked for in ``carry`` are not moved.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 MOST_STRETCHES = 1 << 16
 ROWS_PER_STRETCH = 50_000
+COPIES_PER_BLOCK = 10_000
 
 
 def stretch_bits(rows: int) -> int:
@@ -68,8 +71,9 @@ def interleave(
     ).withColumn("_hash", F.xxhash64(F.lit(seed), "_key", "_crc", "_size"))
     ties = ["_hash", "_key", "_crc", "_size"]
 
+    rows = rows.groupBy("_source", *ties, "_carried").agg(F.count("*").alias("_copies"))
     rows = rows.withColumn("_stretch", F.shiftrightunsigned("_hash", 64 - bits))
-    sizes = rows.groupBy("_source", "_stretch").agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("_source", "_stretch").agg(F.sum("_copies").alias("_n"))
     of_source = W.partitionBy("_source")
     earlier = of_source.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -77,10 +81,17 @@ def interleave(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(of_source).alias("_all"),
     )
-    inside = F.row_number().over(W.partitionBy("_source", "_stretch").orderBy(*ties))
+    ahead = W.partitionBy("_source", "_stretch").orderBy(*ties).rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.join(offsets, ["_source", "_stretch"]).withColumn(
+        "_rank", F.col("_before") + F.coalesce(F.sum("_copies").over(ahead), F.lit(0))
+    )
+    block = F.lit(COPIES_PER_BLOCK).cast("long")
+    blocks = numbered.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, block)))
+    blocks = blocks.repartition("_hash", "_from")
+    each = blocks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + block, F.col("_copies")) - 1)))
     offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_source"), 11) / F.lit(float(1 << 53))
-    ranked = rows.join(offsets, ["_source", "_stretch"]).withColumn(
-        "_share", F.least((F.col("_before") + inside - 1 + offset) / F.col("_all"), F.lit(1 - 2.0**-53))  # rounding may reach 1
+    ranked = each.withColumn(
+        "_share", F.least((F.col("_rank") + F.col("_copy") + offset) / F.col("_all"), F.lit(1 - 2.0**-53))  # rounding may reach 1
     )
 
     ranked = ranked.withColumn("_cut", F.floor(F.col("_share") * (1 << bits)))

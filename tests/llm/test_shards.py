@@ -53,3 +53,14 @@ def test_sources_of_one_row_spread_over_shards(spark):
     out = shards.interleave(df, 10, ["doc_id", "source"]).collect()
     ones = collections.Counter(r.shard for r in out if r.source.startswith("one"))
     assert len(out) == 6000 and all(abs(ones[s] - 200) <= 60 for s in range(10))
+
+
+def test_a_row_that_holds_a_third_of_the_table_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES_PER_BLOCK", 100)
+    rows = [(7, "same", "hot")] * 2000 + [(i, f"text {i}", "hot" if i % 2 else f"s{i % 3}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = shards.interleave(df.repartition(5), 10, ["doc_id", "source"])
+    out = placed.collect()
+    check(out, [(d, t, s) for d, t, s in rows], 10)
+    copies = collections.Counter(r.shard for r in out if r.size == 20 and r.text_crc32 == zlib.crc32(b"same"))
+    assert sum(copies.values()) == 2000
