@@ -244,11 +244,20 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, with all columns: the smallest id, and the smallest text key among repeated ids."""
-    found = membership(docs, doc_id, text)
+    """One row of each group, with all columns: the smallest id, and the smallest text key among repeated ids.
+
+    How often a kept (id, text key) stands in ``docs`` is counted on slim rows, so whole rows move only to drop
+    repeats of one (id, text).  Of such rows any one stays: they may differ in other columns.
+    """
+    found = staged(membership(docs, doc_id, text).select("doc_id", "text_key", "label"), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
-    first = found.groupBy("label").agg(F.min(order).alias("_one")).select("_one.doc_id", "_one.text_key")
-    first = staged(first.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_kept")).distinct(), "kept")
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_kept"))
-    return keyed.join(first, same, "left_semi").dropDuplicates([doc_id, "_key"]).drop("_key")
+    first = found.groupBy("label").agg(F.min(order).alias("_one")).select(F.col("_one.doc_id").alias("_doc"), F.col("_one.text_key").alias("_kept"))
+    counts = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_kept"))
+    first = staged(first.distinct().join(counts, same).select("_doc", "_kept", "_n"), "kept")
+    own = [F.col(c).alias(f"_in{i}") for i, c in enumerate(docs.columns)]  # no column of the input can clash with the ones joined to it
+    keyed = docs.select(*own, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_kept"))
+    single = keyed.join(first.filter("_n = 1"), same, "left_semi")
+    repeated = keyed.join(first.filter("_n > 1"), same, "left_semi").dropDuplicates(["_id", "_key"])
+    return single.unionByName(repeated).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -118,3 +118,12 @@ def test_query(spark, medium):
     for d, m in marks.items():
         smallest[label[m]] = min(d, smallest.get(label[m], 10**9))
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in out} == {(d, f"{m:016x}", smallest[label[m]]) for d, m in marks.items()}
+
+
+def test_keep_one_drops_repeats_and_keeps_clashing_columns(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "x"), (2, "one two three four five six", "y"), (3, "other words stand here alone now", "z"), (None, None, "n"), (None, None, "n")]
+    names = "doc_id long, text string, _key string"
+    df = spark.createDataFrame(rows, names).withColumn("_kept", simhash.F.lit(1)).withColumn("label", simhash.F.lit("l")).withColumn("_doc", simhash.F.lit(2))
+    out = simhash.keep_one(df.repartition(3))
+    assert out.columns == ["doc_id", "text", "_key", "_kept", "label", "_doc"]
+    assert sorted((str(r.doc_id), r["_key"], r["_kept"], r.label, r["_doc"]) for r in out.collect()) == [("1", "x", 1, "l", 2), ("3", "z", 1, "l", 2), ("None", "n", 1, "l", 2)]
