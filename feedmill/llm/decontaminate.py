@@ -166,11 +166,12 @@ def contaminated(
     ).select(*[F.col(f"a.{c}") for c in pair], "_hit", "_items")
 
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*kept, F.xxhash64(text).alias("_key"), word_count(F.col(text)).alias("n_words"))
+    own = [F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)]  # no column of the input can clash with the ones joined to it
+    rows = docs.select(*own, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), word_count(F.col(text)).alias("n_words"))
     hit = F.coalesce("_hit", F.lit(0).cast("long"))
     return rows.join(
-        found, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left"
+        found, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left"
     ).select(
-        *kept, "n_words", hit.alias("n_hit"), F.col("_items").alias("item_ids"),
+        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)], "n_words", hit.alias("n_hit"), F.col("_items").alias("item_ids"),
         ((hit > 0) & (hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )

@@ -203,8 +203,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
         F.count("*").alias("_notices"),
     )
     kept = [c for c in docs.columns if c not in ("families", "confirmed", "n_notices")]
-    same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
-    return docs.select(*kept, F.xxhash64(text).alias("_key")).join(by_doc, same, "left").select(
-        *kept, F.coalesce("_families", nothing).alias("families"), F.coalesce("_confirmed", nothing).alias("confirmed"),
+    own = [F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)]  # no column of the input can clash with the ones joined to it
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
+    return docs.select(*own, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key")).join(by_doc, same, "left").select(
+        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)], F.coalesce("_families", nothing).alias("families"), F.coalesce("_confirmed", nothing).alias("confirmed"),
         F.coalesce("_notices", F.lit(0)).cast("long").alias("n_notices"),
     )

@@ -64,3 +64,13 @@ def test_query_equals_sql(spark, small, medium):
         assert compare(frame, connect(sf), q.sql) == []
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    odd = ["_key", "_text", "_doc", "_hit", "_items", "_id", "_in0"]
+    df = spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")
+    for name in odd:
+        df = df.withColumn(name, decontaminate.F.lit(name))
+    items = spark.createDataFrame([("i", "plain words")], "item_id string, text string")
+    row = decontaminate.contaminated(df, items).collect()[0].asDict()
+    assert [row[c] for c in odd] == odd and (row["n_words"], row["n_hit"], row["item_ids"], row["contaminated"]) == (3, 2, ["i"], True)

@@ -52,3 +52,12 @@ def test_a_rare_family_among_thousands_of_cue_lines(spark):
     finally:
         licenses.MOST_BROADCAST = most
     assert again == got
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    odd = ["_key", "_text", "_doc", "_families", "_id", "_in0"]
+    df = spark.createDataFrame([(1, "some plain words")], "doc_id long, text string")
+    for name in odd:
+        df = df.withColumn(name, licenses.F.lit(name))
+    row = licenses.license_scan(df).collect()[0].asDict()
+    assert [row[c] for c in odd] == odd and row["n_notices"] == 0
