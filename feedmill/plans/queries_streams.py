@@ -14,11 +14,11 @@ from feedmill.plans.queries_state import DEAD_SQL
 from feedmill.plans.views import VIEWS
 from feedmill.session import scratch_path
 from feedmill.streaming import stages, state
-from feedmill.streaming.tables import file_stream
+from feedmill.streaming.tables import file_stream, table_files
 
 
 def _event_stream(t):
-    raw = file_stream(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
+    raw = file_stream(t.spark, table_files(t.sf_dir, "events"), t.events.schema)
     return t.spark.sql(VIEWS["processing_events"], events=raw)
 
 
@@ -62,7 +62,7 @@ def stream_ingest(t):
 )
 def stream_stages(t):
     """Texts of the articles that went through all stages, joined with what the last stage wrote."""
-    layout = stages.run_stages(t.spark, t.sf_dir, scratch_path(t.spark, "stream"), glob="pages.parquet")
+    layout = stages.run_stages(t.spark, table_files(t.sf_dir, "pages"), scratch_path(t.spark, "stream"))
     done = stages.read_stage(t.spark, layout, "vectors").select("id")
     return stages.read_stage(t.spark, layout, "silver").join(done, "id", "left_semi").select("id", "url", "content")
 

@@ -26,6 +26,15 @@ def file_stream(
     return reader.parquet(path)
 
 
+def table_files(folder: str, table: str) -> str:
+    """A path for :func:`file_stream` that takes the Parquet table ``table`` in ``folder`` whether it is one file or a folder of files.
+
+    It is a pattern with one match: a stream refuses the path of a file, and a filter on file names would pass over
+    the files in a table's own folder.
+    """
+    return f"{folder}/{table}.parque[t]"
+
+
 def key_index(path: str, keys: Sequence[str]) -> KeyIndex:
     """The index of the keys of a table that :func:`insert_if_absent` fills."""
     return KeyIndex(f"{path}_keys", list(keys))

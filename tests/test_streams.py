@@ -6,7 +6,7 @@ from feedmill.operators.state import article_state, dead_letters
 from feedmill.plans import views
 from feedmill.streaming import stages, state
 from feedmill.streaming.batches import read_batches
-from feedmill.streaming.tables import file_stream, insert_if_absent, without_repeats_within
+from feedmill.streaming.tables import file_stream, insert_if_absent, run_available, table_files, without_repeats_within
 
 PAGE = "page_id long, url string, html string"
 
@@ -222,3 +222,21 @@ def test_a_stopped_try_is_done_again_under_its_number(spark, tmp_path, monkeypat
     assert [r.id for r in stages.read_stage(spark, layout, "gold").collect()] == [1]
     tries = stages.read_stage(spark, layout, "outcomes").filter("stage = 'summarization'")
     assert sorted(r.outcome for r in tries.collect()) == ["failed", "success"]
+
+
+def test_a_table_of_one_or_several_files_is_streamed_whole(spark, small, tmp_path):
+    from feedmill.plans import catalog
+
+    folder = str(tmp_path / "tables")
+    pages = spark.read.parquet(f"{small}/pages.parquet").limit(30)
+    pages.repartition(3).write.parquet(f"{folder}/pages.parquet")
+    want = {r.page_id for r in pages.collect()}
+    layout = stages.Layout(str(tmp_path / "several"))
+    stages.ingest_pages(spark, table_files(folder, "pages"), layout)
+    assert {r.id for r in stages.read_stage(spark, layout, "bronze").collect()} <= want
+    assert catalog.load()["stream_stages"].run(spark, folder).count() > 0
+    streamed = file_stream(spark, table_files(folder, "pages"), PAGE), file_stream(spark, table_files(small, "pages"), PAGE)
+    for n, (stream, rows) in enumerate(zip(streamed, (pages, spark.read.parquet(f"{small}/pages.parquet")))):
+        found = []
+        run_available(stream, lambda batch, _: found.append(batch.count()), str(tmp_path / f"checkpoint{n}"))
+        assert sum(found) == rows.count()
