@@ -118,7 +118,7 @@ def _hours(n: float) -> datetime.datetime:
 def _scored(t, rule: stages.RetryRule, hours: list[float]) -> stages.Layout:
     """All pages through extraction and a failing scorer, and runs that try again at the given hours."""
     layout = stages.Layout(scratch_path(t.spark, "stream"))
-    stages.ingest_pages(t.spark, t.sf_dir, layout, glob="pages.parquet")
+    stages.ingest_pages(t.spark, table_files(t.sf_dir, "pages"), layout)
     stages.extract_stage(t.spark, layout, START)
     stages.summary_stage(t.spark, layout, picky, "m", START, attempts=1)
     for n in hours:
