@@ -227,10 +227,12 @@ def filtered_deliveries(t):
     keys = subscriptions.digest_keys(t.articles, t.article_summaries, t.sources, AS_OF, WEEK)
     subscribers = _with_filters(t)
     rows = subscriptions.filtered_deliveries(subscribers, keys, AS_OF)
-    log = subscriptions.delivery_log(rows, subscriptions.set_articles(subscriptions.filter_index(subscribers), keys))
-    ids = log.select("id", F.array_join(F.transform("articles_ids", lambda i: i.cast("string")), ",").alias("articles_ids"), "created_at")
-    shown = rows.select("id", "subscription_id", "filter_set", "articles_count", "status", "error_message", "text_head")
-    return shown.join(ids, "id").drop("id")
+    articles = subscriptions.set_articles(subscriptions.filter_index(subscribers), keys)
+    as_text = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    log = subscriptions.delivery_log(rows, articles, as_text, extra=["filter_set", "text_head"])
+    return log.select(
+        "subscription_id", "filter_set", "articles_count", "status", "error_message", "text_head", "articles_ids", "created_at"
+    )
 
 
 @query(

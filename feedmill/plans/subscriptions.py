@@ -7,6 +7,7 @@ named once per set, and subscribers join by set.  No subscriber is ever paired w
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,8 @@ from feedmill.session import staged
 
 #: The set of subscribers without a filter: every source.
 ALL_SOURCES = ""
+#: Deliveries of one set that meet a copy of its list of articles.
+DELIVERIES_PER_SLOT = 4096
 
 
 def canonical_filter(filters: Column) -> Column:
@@ -74,15 +77,33 @@ def filtered_deliveries(
     return rows.select(F.xxhash64("subscription_id", "sent_at").alias("id"), "*", literal_time(as_of).alias("created_at"))
 
 
-def delivery_log(deliveries: DataFrame, articles_of_set: DataFrame) -> DataFrame:
+def _slots(rows: DataFrame) -> DataFrame:
+    """(filter_set, slots): into how many stretches the deliveries of a set are cut."""
+    sizes = rows.groupBy("filter_set").agg(F.count("*").alias("n"))
+    return sizes.select("filter_set", F.ceil(F.col("n") / DELIVERIES_PER_SLOT).cast("int").alias("slots"))
+
+
+def delivery_log(
+    deliveries: DataFrame, articles_of_set: DataFrame, form: Callable[[Column], Column] | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
     """Rows of the delivery table with the ids of their articles, for windows whose ids fit a row.
 
-    A list is made once per set; larger windows keep (filter_set, article_id) rows instead and join by set.
+    A list is made once per set, in the ``form`` asked for; larger windows keep (filter_set, article_id) rows instead and
+    join by set.  A set of many subscribers meets its list in several stretches, so no task takes all of them, and a list
+    joins its delivery last: what moves is slim.  ``extra`` columns of the deliveries go along.
     """
-    lists = articles_of_set.groupBy("filter_set").agg(F.array_sort(F.collect_set("article_id")).alias("articles_ids"))
-    none = F.array().cast("array<bigint>")
-    joined = deliveries.join(lists, "filter_set", "left")
+    form = form or (lambda ids: ids)
+    lists = articles_of_set.groupBy("filter_set").agg(F.array_sort(F.collect_set("article_id")).alias("ids"))
+    lists = lists.select("filter_set", form(F.col("ids")).alias("articles_ids"))
+    columns = ["id", "subscription_id", "status", "articles_count", "sent_at", "error_message", "created_at"]
+    rows = deliveries.select(*dict.fromkeys([*columns, "filter_set", *extra]))
+    slots = _slots(rows)
+    copies = lists.join(slots, "filter_set").select("filter_set", "articles_ids", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    dealt = rows.join(slots, "filter_set").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")).drop("slots")
+    # Few subscribers' files mean few tasks, and lists that are broadcast would be copied into their rows there.
+    joined = dealt.repartition("filter_set", "slot").join(copies, ["filter_set", "slot"], "left")
     return joined.select(
-        "id", "subscription_id", "status", "articles_count", F.coalesce("articles_ids", none).alias("articles_ids"),
-        "sent_at", "error_message", "created_at",
+        "id", "subscription_id", "status", "articles_count",
+        F.coalesce("articles_ids", form(F.array().cast("array<bigint>"))).alias("articles_ids"),
+        "sent_at", "error_message", "created_at", *[c for c in dict.fromkeys(extra) if c not in columns],
     )

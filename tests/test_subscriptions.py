@@ -43,3 +43,16 @@ def test_one_set_and_one_source_hold_most(spark):
     per_source = {r.source_id: r["count"] for r in items.groupBy("source_id").count().collect()}
     rows = subscriptions.filtered_deliveries(people, items, AS_OF).collect()
     assert all(r.articles_count == sum(per_source.get(int(s), 0) for s in r.filter_set.split(",")) for r in rows) and len(rows) == 2000
+
+
+def test_the_log_makes_a_text_once_per_set_and_cuts_a_large_set(spark, monkeypatch):
+    monkeypatch.setattr(subscriptions, "DELIVERIES_PER_SLOT", 3)
+    people = subscribers(spark, [None] * 10 + [[1]] * 4 + [[3]])
+    items = keys(spark, [(1, 1), (2, 1), (3, 2)])
+    deliveries = subscriptions.filtered_deliveries(people, items, AS_OF)
+    made = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    log = subscriptions.delivery_log(deliveries, subscriptions.set_articles(subscriptions.filter_index(people), items), made, extra=["filter_set", "status"])
+    rows = {r.subscription_id: (r.filter_set, r.articles_ids, r.status) for r in log.collect()}
+    assert log.count() == len(rows) == 15
+    assert rows == {i: ("", "1,2,3", "sent") for i in range(10)} | {i: ("1", "1,2", "sent") for i in range(10, 14)} | {14: ("3", "", "failed")}
+    assert {r.slots for r in subscriptions._slots(deliveries).collect()} == {4, 2, 1}
