@@ -19,14 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round maps the nodes to their smallest neighbour and keeps only edges between different
     labels, so with labels in random order the graph shrinks by a constant factor each time.  What a round
-    makes is written to the shared folder, which keeps the lineage short.  Self-loops are allowed;
-    an empty graph has no labels.
+    makes is written to the shared folder, which keeps the lineage short.  Edges meet their ends by sort-merge joins,
+    so neither passes through the driver.  Self-loops are allowed; an empty graph has no labels.
     """
     edges = staged(edges.select("u", "v"), "edges")
     labels = parents = staged(_parents(edges), "labels")
     while True:
-        ends = edges.join(parents.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u")
-        ends = ends.join(parents.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
+        ends = edges.join(parents.select(F.col("node").alias("u"), F.col("label").alias("lu")).hint("merge"), "u")
+        ends = ends.join(parents.select(F.col("node").alias("v"), F.col("label").alias("lv")).hint("merge"), "v")
         ends = ends.filter("lu != lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
         edges = staged(ends, "edges")
         if edges.isEmpty():

@@ -19,6 +19,10 @@ the fingerprints outside the first component are joined with those of other comp
 even that is more than ``most_checks`` comparisons take another exact way: their fingerprints meet in every
 word within two bits of them, and any two in one such word are linked.
 
+Joins by key, word or fingerprint are sort-merge joins by a hint.  Spark takes the keys that a task makes for as
+small as the fingerprints they come from, and staged rows for as small as their compressed files, and would collect them
+on the driver to broadcast them.
+
 * Null and empty texts have no words and fingerprint zero, which links like any other.
 * Equal fingerprints are reduced to one before keys are made, so copies cost nothing more.
 * Repeated rows come back as often as they come in.  Null ids take part but never name a group,
@@ -204,32 +208,32 @@ def groups(marks: DataFrame, most_checks: int = MOST_CHECKS) -> DataFrame:
     tasks = marks.count() // MARKS_PER_TASK + 1  # a task makes about a hundred keys of each fingerprint
     keyed = _keyed(marks.select("fp").repartition(tasks))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
-    members = staged(keyed.join(shared, "key"), "members")
+    members = staged(keyed.join(shared.hint("merge"), "key"), "members")
     star = members.filter((F.col("fp") != F.col("first")) & (_apart("fp", "first") <= MAX_BITS))
     labels = components(star.select(F.col("first").alias("u"), F.col("fp").alias("v")).distinct())
 
     known = labels.select(F.col("node").alias("fp"), "label")
-    rest = members.filter("n > 2").select("key", "fp").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rest = members.filter("n > 2").select("key", "fp").join(known.hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     rest = staged(rest, "rest")
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    still = staged(rest.join(mixed.select("key", "lo", "n"), "key"), "still")
+    still = staged(rest.join(mixed.select("key", "lo", "n").hint("merge"), "key"), "still")
     outside = still.filter("label != lo")
     checks = outside.groupBy("key").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter(F.col("m") * F.col("n") > most_checks)
     crowded = checks.select("key")
-    x = outside.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
+    x = outside.join(crowded.hint("merge"), "key", "left_anti").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
     y = still.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), "lo")
     near = (F.col("la") != F.col("lb")) & (_apart("a", "b") <= MAX_BITS) & ((F.col("lb") == F.col("lo")) | (F.col("a") < F.col("b")))
-    links = x.join(y, "key").filter(near).select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
+    links = x.join(y.hint("merge"), "key").filter(near).select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
 
-    ball = _ball(still.join(crowded, "key", "left_semi").select("fp").distinct())
+    ball = _ball(still.join(crowded.hint("merge"), "key", "left_semi").select("fp").distinct())
     least = ball.groupBy("word").agg(F.min("fp").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = ball.join(least, "word").filter("fp != first").select("fp", "first").distinct()
+    met = ball.join(least.hint("merge"), "word").filter("fp != first").select("fp", "first").distinct()
     own = known.select(F.col("fp").alias("first"), F.col("label").alias("lf"))
-    met = met.join(known, "fp", "left").join(own, "first", "left")
+    met = met.join(known.hint("merge"), "fp", "left").join(own.hint("merge"), "first", "left")
     met = met.select(F.coalesce("label", "fp").alias("u"), F.coalesce("lf", "first").alias("v"))
 
     final = components(links.union(met)).select(F.col("node").alias("label"), F.col("label").alias("_final"))
-    every = marks.select("fp").join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    every = marks.select("fp").join(known.hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     return every.join(final, "label", "left").select("fp", F.coalesce("_final", "label").alias("label"))
 
 
@@ -238,7 +242,7 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most
     marked = staged(fingerprints(docs, doc_id, text), "fingerprints")
     different = staged(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first_id")), "different")
     labels = staged(groups(different, most_checks), "groups")
-    named = labels.join(different, "fp").groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = labels.join(different.hint("merge"), "fp").groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_mark = labels.join(named, "label").withColumnRenamed("fp", "fingerprint")
     return marked.join(by_mark, "fingerprint").select("doc_id", "text_key", "fingerprint", "label", "component_id")
 

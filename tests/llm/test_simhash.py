@@ -3,8 +3,10 @@ import re
 import numpy as np
 import xxhash
 
+from feedmill.llm import components as components_of
 from feedmill.llm import queries, simhash
 from feedmill.llm.components import components
+from feedmill.session import staged
 
 
 def plain(text):
@@ -127,3 +129,21 @@ def test_keep_one_drops_repeats_and_keeps_clashing_columns(spark):
     out = simhash.keep_one(df.repartition(3))
     assert out.columns == ["doc_id", "text", "_key", "_kept", "label", "_doc"]
     assert sorted((str(r.doc_id), r["_key"], r["_kept"], r.label, r["_doc"]) for r in out.collect()) == [("1", "x", 1, "l", 2), ("3", "z", 1, "l", 2), ("None", "n", 1, "l", 2)]
+
+
+def test_keys_and_links_are_not_collected_on_the_driver(spark, monkeypatch):
+    """A broadcast passes through the driver, and the keys of a task look as small to Spark as their fingerprints."""
+    plans = []
+
+    def kept(rows, name):
+        plans.append((name, rows._jdf.queryExecution().executedPlan().toString()))
+        return staged(rows, name)
+
+    monkeypatch.setattr(simhash, "staged", kept)
+    monkeypatch.setattr(components_of, "staged", kept)
+    marks = [(int(m),) for m in np.random.default_rng(4).integers(-(2**62), 2**62, 50)]
+    marks += [(m ^ 1,) for (m,) in marks[:20]]
+    found = simhash.groups(staged(spark.createDataFrame(marks, "fp long"), "marks"))  # Spark knows the size of files
+    assert found.count() == 70 and len({r.label for r in found.collect()}) == 50
+    assert {"members", "rest", "still", "edges"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if name != "labels" and "Broadcast" in plan]
