@@ -29,7 +29,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +73,17 @@ class TokenIds:
 
     def many(self, texts: Sequence[str]) -> list[bytes]:
         cut = [parts_of(t) for t in texts]
-        self.first.learn(c[0] for c in cut)
-        self.rest.learn(chain.from_iterable(c[1:] for c in cut))
-        get = self.rest.__getitem__
-        return [b"".join([self.first[c[0]], *map(get, c[1:])]) for c in cut]
+        first = self.first.results([c[0] for c in cut])
+        rest = self.rest.results([p for c in cut for p in islice(c, 1, None)])
+        ends = list(accumulate(len(c) - 1 for c in cut))
+        return [b"".join([ids, *rest[a:b]]) for ids, a, b in zip(first, [0, *ends], ends)]
+
+
+def kept_ids(held: dict) -> TokenIds:
+    """The encoder of a worker, with the parts that it remembers; made by the first task."""
+    if "ids" not in held:
+        held["ids"] = TokenIds(held["tokenizer"])
+    return held["ids"]
 
 
 def piece_lengths(total: int, capacity: int) -> list[int]:
@@ -90,13 +97,14 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, end_id: int, car
 
     ``_item`` numbers the pieces; a task that is repeated gives the same numbers, as it reads the same files.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary file: its size does not depend on the data
+    # A vocabulary file: its size does not depend on the data.  A Python worker keeps what it makes of it for its next tasks.
+    shared = df.sparkSession.sparkContext.broadcast({"tokenizer": tokenizer})
     kept = [c for c in dict.fromkeys(carry) if c not in ADDED and c != "_item"]
     rows = df.select(*kept, F.col(text).alias("_text"))
     schema = T.StructType([df.schema[c] for c in kept] + PIECES + [T.StructField("_item", T.LongType())])
 
     def run(batches):
-        encoder, number = TokenIds(shared.value), TaskContext.get().partitionId() << 40
+        encoder, number = kept_ids(shared.value), TaskContext.get().partitionId() << 40
         for batch in in_slices(batches, "_text", SLICE_BYTES):
             texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column(len(kept)))]
             row, piece, start, length, crc = [], [], [], [], []

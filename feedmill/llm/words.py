@@ -12,6 +12,8 @@ from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of parts and results that a task remembers; the memory is cleared when it is full.
 REMEMBERED_BYTES = 192 << 20
@@ -22,11 +24,14 @@ RUN_PARTS = 256
 
 #: No part but that of an empty text is empty: some tokenizers add their space only to what is not.
 _SPACE = re.compile(r"(?<=\S) (?!\Z)")
+_WIDE = re.compile(r"\s ")
 
 
 def parts_of(text: str) -> list[str]:
     """The parts of a text; joined by one space each they give the text again."""
-    return _SPACE.split(text)
+    if text[:1] == " " or text[-1:] == " " or _WIDE.search(text):
+        return _SPACE.split(text)
+    return text.split(" ")  # every space is one to cut at
 
 
 class Remembered(dict):
@@ -43,11 +48,26 @@ class Remembered(dict):
         if new and self.held > self.limit:
             self.clear()
             self.held, new = 0, list(wanted)
+        self._add(new)
+
+    def results(self, parts: list[str]) -> list:
+        """The results of all parts of a block, in their order; known parts are looked up once."""
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+        found = list(map(self.get, parts))
+        new = {p for p, r in zip(parts, found) if r is None}
+        if new:
+            self._add(list(new))
+            found = [self[p] if r is None else r for p, r in zip(parts, found)]
+        return found
+
+    def _add(self, new: list[str]) -> None:
         for at in range(0, len(new), CALL_PARTS):
             some = new[at : at + CALL_PARTS]
-            for part, result in zip(some, self.make(some)):
-                self[part] = result
-                self.held += 160 + len(part) + self.weight(result)
+            made = self.make(some)
+            self.update(zip(some, made))
+            self.held += 160 * len(some) + sum(map(len, some)) + sum(map(self.weight, made))
 
 
 class ByteLevel:
@@ -81,7 +101,7 @@ class ByteLevel:
         spelled = [" " + parts[k] for k in rest]
         packed = b"".join(self.whole(["".join(spelled[at : at + RUN_PARTS]) for at in range(0, len(spelled), RUN_PARTS)]))
         ends = np.cumsum(self.width[np.frombuffer(packed, "<u4")])
-        edges = (4 * (np.searchsorted(ends, np.cumsum([len(p.encode()) for p in spelled])) + 1)).tolist()
+        edges = (4 * (np.searchsorted(ends, np.cumsum(pc.binary_length(pa.array(spelled, pa.string())).to_numpy())) + 1)).tolist()
         for k, a, b in zip(rest, [0, *edges], edges):
             found[k] = packed[a:b]
         return found

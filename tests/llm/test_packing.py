@@ -42,6 +42,33 @@ def test_random_texts(texts):
     check_ids(texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n\t\x1c\x85\u00a0\u2003\u3000ab."), max_size=12))
+def test_both_ways_of_cutting_give_the_same_parts(text):
+    assert words.parts_of(text) == words._SPACE.split(text)
+
+
+def test_a_worker_keeps_its_encoder_for_its_next_tasks():
+    held, asked = {"tokenizer": JSON}, []
+    encoder = packing.kept_ids(held)
+    make = encoder.rest.make
+    encoder.rest.make = lambda parts: asked.extend(parts) or make(parts)
+    want = encoder.many(["one two three two", "", "two"])
+    assert sorted(asked) == ["three", "two"]
+    assert packing.kept_ids(held) is encoder and encoder.many(["one two three two", "", "two"]) == want
+    assert len(asked) == 2
+    assert encoder.rest.results(["three", "new", "new", "two"]) == make(["three", "new", "new", "two"])
+    assert asked[2:] == ["new"]
+
+
+def test_results_of_a_full_memory():
+    memory = words.Remembered(lambda parts: [p * 2 for p in parts], limit=500)
+    for k in range(20):
+        block = [f"{k}-{i}" for i in range(3)] + ["same", f"{k}-0"]
+        assert memory.results(block) == [p * 2 for p in block]
+    assert len(memory) < 20 and memory.results([]) == []
+
+
 def test_a_full_memory_is_cleared_and_filled_again():
     memory = words.Remembered(lambda parts: [p * 2 for p in parts], limit=500)
     for k in range(20):
