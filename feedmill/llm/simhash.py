@@ -258,7 +258,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = found.groupBy("label").agg(F.min(order).alias("_one")).select(F.col("_one.doc_id").alias("_doc"), F.col("_one.text_key").alias("_kept"))
     counts = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("_n"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_kept"))
-    first = staged(first.distinct().join(counts, same).select("_doc", "_kept", "_n"), "kept")
+    first = staged(first.distinct().join(counts.hint("merge"), same).select("_doc", "_kept", "_n"), "kept")
     own = [F.col(c).alias(f"_in{i}") for i, c in enumerate(docs.columns)]  # no column of the input can clash with the ones joined to it
     keyed = docs.select(*own, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"))
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_kept"))

@@ -5,7 +5,8 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from feedmill.llm import bpe
+from feedmill.llm import bpe, simhash
+from feedmill.session import staged
 from tests.llm.test_decontaminate import brute as brute_items
 from tests.llm.test_repeats import brute as brute_repeats
 from tests.llm.test_simhash import brute as brute_groups
@@ -68,3 +69,16 @@ def test_odd_rows_and_no_rows(spark, tmp_path, small):
     assert 1 <= out.count() <= 4
     spark.createDataFrame([], DOCUMENTS).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_near_duplicates_collect_no_keys_on_the_driver(spark, medium, monkeypatch):
+    plans = {}
+
+    def kept(rows, name):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        return staged(rows, name)
+
+    monkeypatch.setattr(simhash, "staged", kept)
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    corpus_pipeline.one_of_each_group(spark, docs, medium)
+    assert not [name for name in ("members", "rest", "still", "kept") if "Broadcast" in plans[name]]
