@@ -21,6 +21,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
+def as_texts(column: pa.Array) -> pa.Array:
+    """The values of a string or binary column as valid UTF-8; null is empty, and bytes that are none are replaced."""
+    raw = column.cast(pa.binary()).fill_null(b"")
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+
+
 def byte_sizes(column: pa.Array) -> list[int]:
     """Lengths of the values in bytes, without copying them; null is empty."""
     return pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()

@@ -20,8 +20,8 @@ The result is always whole; rounds only lower the number of sequences.
 * Equal lengths are ordered by item number, which follows the order of the rows in their files.
 * An empty table gives an empty result.  Columns of the input that are not in ``carry`` are not moved; a carried column
   that is named like an added one is replaced by it.
-* Texts are cut at spaces for encoding and each different part is encoded once for a block, so a text of any length
-  takes little more than its ids; a part without spaces is encoded whole.
+* Texts are cut where pre-tokens surely begin (``pieces_of``) and each different piece of a block is encoded once, so a text of
+  any length takes little more than its ids; a piece without such a place is encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Sequence
-from itertools import accumulate, islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedmill.llm.blocks import as_bytes, in_slices
-from feedmill.llm.words import ByteLevel, Remembered, parts_of
+from feedmill.llm.blocks import as_texts, gather, in_slices
+from feedmill.llm.words import CALL_PARTS, ByteLevel, Remembered, pieces_of
 from feedmill.session import staged
 
 ITEMS = 1 << 16
 FAN = 4
 ROUNDS = 6
 #: Bytes of text that a task holds unpacked at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Largest k of the rounding functions.
 MOST_K = 64
 
@@ -72,11 +72,25 @@ class TokenIds:
         self.first, self.rest = Remembered(encoder.whole), Remembered(encoder.after_space)
 
     def many(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [parts_of(t) for t in texts]
-        first = self.first.results([c[0] for c in cut])
-        rest = self.rest.results([p for c in cut for p in islice(c, 1, None)])
-        ends = list(accumulate(len(c) - 1 for c in cut))
-        return [b"".join([ids, *rest[a:b]]) for ids, a, b in zip(first, [0, *ends], ends)]
+        ids, ends = self.joined(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
+
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many there are up to the end of each text."""
+        pieces, ends = pieces_of(texts)
+        coded = pieces.dictionary_encode()  # each different piece of a block is looked up once
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self.rest.results([p[1:] for p in different if p[0] == " "])
+        order = np.argsort(np.array([p[0] != " " for p in different], bool), kind="stable")
+        found += self.first.results([p for p in different if p[0] != " "])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        codes = place[coded.indices.to_numpy()]
+        known, lengths = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        stretches = [codes[at : at + CALL_PARTS] for at in range(0, len(codes), CALL_PARTS)]
+        ids = [known[:0], *(gather(known, starts[c], lengths[c]) for c in stretches)]
+        return np.concatenate(ids), np.append(0, np.cumsum(lengths[codes]))[ends]
 
 
 def kept_ids(held: dict) -> TokenIds:
@@ -104,20 +118,20 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int, end_id: int, car
     schema = T.StructType([df.schema[c] for c in kept] + PIECES + [T.StructField("_item", T.LongType())])
 
     def run(batches):
-        encoder, number = kept_ids(shared.value), TaskContext.get().partitionId() << 40
+        encoder, number, end = kept_ids(shared.value), TaskContext.get().partitionId() << 40, end_id.to_bytes(4, "little")
         for batch in in_slices(batches, "_text", SLICE_BYTES):
-            texts = [t.decode("utf-8", "replace") for t in as_bytes(batch.column(len(kept)))]
+            ids, ends = encoder.joined(as_texts(batch.column(len(kept))))
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.many(texts)):
-                packed = memoryview(ids + end_id.to_bytes(4, "little"))
+            for i, (a, b) in enumerate(pairwise([0, *ends.tolist()])):
                 at = 0
-                for k, n in enumerate(piece_lengths(len(packed) // 4, capacity)):
+                for k, n in enumerate(piece_lengths(b - a + 1, capacity)):
                     row.append(i)
                     piece.append(k)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(packed[4 * at : 4 * (at + n)]))
+                    crc.append(zlib.crc32(ids[a + at : min(a + at + n, b)]))
                     at += n
+                crc[-1] = zlib.crc32(end, crc[-1])  # the end id is the last of the last piece
             taken = batch.select(kept).take(pa.array(row, pa.int64())) if kept else None
             columns = [taken.column(i) for i in range(len(kept))]
             columns += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]

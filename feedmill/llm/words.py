@@ -3,6 +3,10 @@
 A space after a character that is no white space always begins a pre-token of the byte-level pattern, and no
 piece of a vocabulary that marks word starts with spaces crosses it.  So a text may be cut there and its parts encoded one
 by one: the ids are those of the whole text.
+
+Where only the byte-level pattern counts, ``pieces_of`` cuts finer: a line end after what is no white space and a mark after a
+letter or digit begin a pre-token too, so a word is one piece whatever stands behind it.  No cut follows white space, where
+the pattern looks ahead.
 """
 
 from __future__ import annotations
@@ -34,6 +38,55 @@ def parts_of(text: str) -> list[str]:
     return text.split(" ")  # every space is one to cut at
 
 
+#: Kinds of bytes: a space or line end, other ASCII white space, an ASCII mark, other ASCII, an ASCII letter or digit, not ASCII.
+_GAP, _WHITE, _MARK, _OTHER, _WORD, _HIGH = range(6)
+_KIND = np.array([
+    _HIGH if b > 0x7F else _GAP if chr(b) in " \n" else _WHITE if chr(b).isspace() else _WORD if chr(b).isalnum()
+    else _MARK if 0x20 < b < 0x7F else _OTHER for b in range(256)
+], np.uint8)
+
+
+def _codes(chars: Iterable[str]) -> np.ndarray:
+    return np.array([int.from_bytes(c.encode(), "big") for c in chars])
+
+
+#: UTF-8 bytes of the white space that is not ASCII, and of the letters of Latin-1, Latin Extended-A and Cyrillic.
+_WIDE_SPACES = _codes(c for c in map(chr, range(0x80, 0x10000)) if c.isspace())
+_LETTERS = _codes(c for c in map(chr, [*range(0xC0, 0x180), *range(0x400, 0x482)]) if c.isalpha())
+
+
+def _follow(data: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether one of these characters of two or three bytes ends before each place; the bytes before the places are not ASCII."""
+    two = data[at - 2].astype(np.int64) << 8 | data[at - 1]
+    three = data[np.maximum(at - 3, 0)].astype(np.int64) << 16 | two
+    return np.isin(two, codes) | np.isin(three, codes)
+
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts (valid UTF-8 without nulls) one after another, and how many there are up to the end of each text."""
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    kind = _KIND[data]
+    before, at = kind[:-1], kind[1:]
+    begins = np.zeros(len(data), bool)
+    for found, codes, ends in (
+        (np.flatnonzero((at == _GAP) & (before > _WHITE)) + 1, _WIDE_SPACES, False),
+        (np.flatnonzero((at == _MARK) & (before > _OTHER)) + 1, _LETTERS, True),
+    ):
+        wide = kind[found - 1] == _HIGH
+        begins[found[~wide]] = True
+        wide = found[wide]
+        begins[wide[_follow(data, wide, codes) == ends]] = True
+    begins[edges[:-1][edges[:-1] < edges[1:]]] = True
+    starts = np.flatnonzero(begins)
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return pieces, np.searchsorted(starts, edges[1:])
+
+
 class Remembered(dict):
     """Results by part.  ``make`` works out the results of many new parts at once."""
 

@@ -48,6 +48,44 @@ def test_both_ways_of_cutting_give_the_same_parts(text):
     assert words.parts_of(text) == words._SPACE.split(text)
 
 
+MARKED = [
+    "it's 'tis don'tx a's's 3.14 1a2b _a_b a_b x--'s y'd've", "(a) [b]{c} d/e f: g; h! \"i\" j... k,l,,m", "a\nb a\n\nb a \nb a\n b a\t\nb a\r\nb\n",
+    "café, naïve! œuvre. слово, слово. ß; ×, 5÷, ª. µ, ö\nÖ Ω, 日本. ٣, ½.", "a\u2003 b\u2003\nc\u00a0 d\x85 e\u3000\n f\u200b g\x1c h\x1f\ni\x7f j", "\n", "\na", ".", ".a", " .", "a.",
+]
+
+
+def test_pieces_give_the_ids_of_the_whole_text():
+    check_ids(MARKED)
+    check_ids(["".join(MARKED), "", " ".join(MARKED) * 20])
+    assert IDS.many([]) == []
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" '\n\tstrevmld.,_-!aZ09éßя×÷½日\x1c\x85\u00a0\u2003\u3000\u200b"), max_size=40), max_size=4))
+def test_random_marks_and_line_ends(texts):
+    check_ids(texts)
+    pieces, ends = words.pieces_of(packing.pa.array(texts, packing.pa.string()))
+    pieces.validate(full=True)
+    bounds = [0, *ends.tolist()]
+    assert ["".join(pieces.to_pylist()[a:b]) for a, b in zip(bounds, bounds[1:])] == texts
+
+
+def test_a_word_is_encoded_once_whatever_stands_behind_it():
+    encoder, asked = packing.TokenIds(JSON), []
+    for memory in (encoder.rest, encoder.first):
+        memory.make = lambda parts, make=memory.make: asked.extend(parts) or make(parts)
+    encoder.many(["a word, word. word\nNext word; word", "a naïveté, naïveté! (naïveté) word's\nNext"])
+    assert sorted(asked) == sorted(["a", "word", ",", ".", "\nNext", ";", "naïveté", "!", "(naïveté", ")", "'s"])
+
+
+def test_null_texts_and_bytes_that_are_no_text():
+    raw = [b"a b, \xff c", None, b"\x80, x\xc3", b"", b"\xe2\x80 \xe3\x80\x80 a\xc3, b", "é, é".encode()]
+    for given_rows in (raw, raw[3:]):
+        ids, ends = IDS.joined(packing.as_texts(packing.pa.array([b"first", *given_rows], packing.pa.binary()).slice(1)))
+        want = [whole((r or b"").decode("utf-8", "replace")) for r in given_rows]
+        assert [part.tolist() for part in np.split(ids, ends)[:-1]] == want
+
+
 def test_a_worker_keeps_its_encoder_for_its_next_tasks():
     held, asked = {"tokenizer": JSON}, []
     encoder = packing.kept_ids(held)
